@@ -1,0 +1,16 @@
+"""Join helpers: size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark ``df`` for broadcast only if it holds at most ``max_rows`` rows.
+
+    The check is one small job that stops reading after ``max_rows + 1`` rows;
+    above the bound the frame is returned as is and the planner shuffles.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

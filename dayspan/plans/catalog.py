@@ -28,3 +28,6 @@ def register(name: str, fn: Query, sql: str | None = None, views: tuple[str, ...
 
 register("daily_absence_rate", daily_rate.daily_absence_rate, daily_rate.DAILY_ABSENCE_RATE_SQL,
          ("spans", "kept_absences"))
+
+# Importing the query modules registers their queries.
+from dayspan.plans import queries_curation  # noqa: E402,F401

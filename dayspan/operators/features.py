@@ -86,7 +86,9 @@ def build_features(spec: FeatureSpec, output: str = "features", handle_invalid:
                                     stringOrderType="frequencyDesc"))
         if spec.one_hot:
             ohe = [f"{c}__ohe" for c in spec.categorical]
-            stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"))
+            # the indexer's extra "unseen" index is the last level: dropLast
+            # turns unseen values into the all-zero vector
+            stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="error"))
             cat_out = ohe
         else:
             cat_out = idx

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayspan.functions.columns import guarded_greatest
-from dayspan.operators.joins import bounded_broadcast
 
-# Upper bound for broadcasting the day set of a period table: every calendar
-# day of three centuries.
-MAX_PERIOD_DAYS = 110_000
+# The day set of a period table holds distinct DATE values, so it can never
+# exceed the size of the date domain (0001-01-01 .. 9999-12-31): a proven
+# bound of 3,652,059 four-byte rows, safe to broadcast without a count.
+DATE_DOMAIN_DAYS = 3_652_059
 
 
 def calendar_features(df: DataFrame, day: str, week: str = "week_of_year",
@@ -31,12 +31,11 @@ def flag_periods(df: DataFrame, day: str, periods: DataFrame, out: str = "in_per
                  start: str = "start_date", end: str = "end_date") -> DataFrame:
     """1 when ``day`` falls in any ``[start, end]`` period, else 0.
 
-    The periods become a set of days; its size is bounded by the calendar, it
-    is checked before broadcasting, and the lookup is an equi-join on the day
-    instead of a range test per row and period.
+    The periods become a set of distinct days, bounded by the date domain
+    (``DATE_DOMAIN_DAYS``), which is broadcast; the lookup is an equi-join on
+    the day instead of a range test per row and period.
     """
-    days = period_days(periods, start, end, "__pday").withColumn("__hit", F.lit(1))
-    days = bounded_broadcast(days, MAX_PERIOD_DAYS)
+    days = F.broadcast(period_days(periods, start, end, "__pday").withColumn("__hit", F.lit(1)))
     j = df.join(days, df[day] == days["__pday"], "left")
     return j.withColumn(out, F.coalesce(F.col("__hit"), F.lit(0))).drop("__pday", "__hit")
 

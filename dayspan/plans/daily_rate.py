@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.operators.intervals import attach_day_flags, day_events, expand_days
+from dayspan.operators.intervals import attach_day_flags, day_events, event_days, expand_days
 from dayspan.plans.spans import KEYS, SPAN, clipped_absences, clipped_spans
 
 
@@ -29,7 +29,9 @@ def daily_absence_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     calendar day and is pre-aggregated map-side.
     """
     cd = contract_days(spark, sf_dir).select(*KEYS, "day")
-    ad = absence_days(spark, sf_dir)
+    # presence per (worker, division, day) is all the rate needs: duplicate
+    # absence rows collapse in the same distinct, so the row-level one is skipped
+    ad = event_days(clipped_absences(spark, sf_dir, distinct=False), KEYS, "abs_start", "abs_end")
     flagged = attach_day_flags(cd, ad, KEYS, "day", flag="absent")
     return flagged.groupBy("day").agg(
         F.count(F.lit(1)).alias("contract_days"),

@@ -66,8 +66,15 @@ def day_features(m: DataFrame, spans: DataFrame, holidays: DataFrame) -> DataFra
     return range_bands(m, "tenure_days", TENURE_FRACTIONS, TENURE_LABELS, lo, hi, "tenure_band")
 
 
-def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None) -> DataFrame:
+def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,
+               absences: DataFrame | None = None) -> DataFrame:
+    """Stage 2 over the stage-1 outputs. When not given they are computed and
+    checkpointed into the shared checkpoint folder (the stage boundary):
+    lineage is cut there and both are read, not recomputed, by the span-level
+    min/max subqueries and the day join."""
     if spans is None:
         spans = curated_spans(spark, sf_dir, materialize=True).select(*SPAN_COLS)
-    m = flagged_days(spans, clipped_absences(spark, sf_dir))
+    if absences is None:
+        absences = clipped_absences(spark, sf_dir).checkpoint()
+    m = flagged_days(spans, absences)
     return day_features(m, spans, fx.holiday_periods(spark))

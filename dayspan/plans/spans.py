@@ -20,12 +20,13 @@ def clipped_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_days(c, *SPAN, "span_days")
 
 
-def kept_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def kept_absences(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     """Absences without the excluded classes (a null class is kept)."""
-    return exclude_values(fx.absences(spark, sf_dir), "absence_class", fx.EXCLUDED_CLASSES, keep_null=True)
+    return exclude_values(fx.absences(spark, sf_dir, distinct), "absence_class", fx.EXCLUDED_CLASSES,
+                          keep_null=True)
 
 
-def clipped_absences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clipped_absences(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
     """Kept absences clipped to the window (days outside can match nothing)."""
-    return clip_span(kept_absences(spark, sf_dir), "start_date", "end_date",
+    return clip_span(kept_absences(spark, sf_dir, distinct), "start_date", "end_date",
                      fx.WINDOW_START, fx.WINDOW_END, "abs_start", "abs_end")

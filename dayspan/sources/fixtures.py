@@ -65,19 +65,25 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def absences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """worker_id, division, absence_class, start_date, end_date (distinct rows)."""
+def absences(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """worker_id, division, absence_class, start_date, end_date (distinct rows).
+
+    ``distinct=False`` skips the row-level dedupe for consumers that only use
+    set semantics downstream (e.g. a distinct per worker and day), saving a
+    shuffle of the largest table.
+    """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
     owner = order_owner(spark, sf_dir).select("o_orderkey", "o_custkey", "c_nationkey")
     start = F.to_date("l_shipdate")
-    return li.join(owner, li.l_orderkey == owner.o_orderkey, "inner").select(
+    out = li.join(owner, li.l_orderkey == owner.o_orderkey, "inner").select(
         F.col("o_custkey").alias("worker_id"),
         F.col("c_nationkey").alias("division"),
         F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("absence_class"),
         start.alias("start_date"),
         F.date_add(start, (F.col("l_quantity") % 10).cast("int")).alias("end_date"),
-    ).distinct()
+    )
+    return out.distinct() if distinct else out
 
 
 def holiday_periods(spark: SparkSession) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dayspan.functions.columns import hash_key, hash_unit
 from dayspan.operators.joins import bounded_broadcast
+from dayspan.sources.tables import materialize
 
 MAX_CLASSES = 100_000
 
@@ -98,7 +99,7 @@ def balance_exact(df: DataFrame, label: str, key: Sequence[str], levels: int = 3
     base = _attach(base, need, label, ["__need"])
     # rows of the class below the current bucket; the frame is read once per
     # level, so it is materialised in the shared checkpoint folder first
-    base = base.withColumn("__lo", F.lit(0).cast("long")).checkpoint()
+    base = materialize(base.withColumn("__lo", F.lit(0).cast("long")), "balance-base")
     kept_parts = []
     pending = base
     for lvl in range(levels):
@@ -115,7 +116,8 @@ def balance_exact(df: DataFrame, label: str, key: Sequence[str], levels: int = 3
         kept_parts.append(tagged.where(F.col("__state") == 0))
         # rows inside the cut bucket: about rows / 16^width per class
         pending = tagged.where(F.col("__state") == 1) \
-                        .withColumn("__lo", F.col("__before")).drop("__before", "__state", "__b").checkpoint()
+                        .withColumn("__lo", F.col("__before")).drop("__before", "__state", "__b")
+        pending = materialize(pending, "balance-pending")
     rank = Window.partitionBy(label).orderBy("__h", hash_key(key))
     last = pending.withColumn("__r", F.col("__lo") + F.row_number().over(rank)) \
                   .where(F.col("__r") <= F.col("__need")).drop("__r")

@@ -181,12 +181,11 @@ def day_events(events: DataFrame, keys: Sequence[str], start: str, end: str, lab
     over its days, and the partial aggregate combines duplicates map-side.
     """
     days = expand_days(events.select(*keys, start, end, label), start, end, day)
-    # two stages: a primitive hash aggregate per (key, day, label) first, so
-    # the set aggregate only sees one row per distinct label of a day
-    per_label = days.groupBy(*keys, day, label).agg(F.count(F.lit(1)).alias("__n"))
-    return per_label.groupBy(*keys, day).agg(
-        F.sum("__n").alias("n_events"),
-        F.array_sort(F.collect_list(F.when(F.trim(F.col(label)) != "", F.col(label)))).alias("labels"))
+    # one aggregate (partial set per map task, one exchange); splitting it in
+    # a per-label hash aggregate plus a set costs a second exchange
+    return days.groupBy(*keys, day).agg(
+        F.count(F.lit(1)).alias("n_events"),
+        F.array_sort(F.collect_set(F.when(F.trim(F.col(label)) != "", F.col(label)))).alias("labels"))
 
 
 def event_days(events: DataFrame, keys: Sequence[str], start: str, end: str, day: str = "day") -> DataFrame:

@@ -20,6 +20,7 @@ from dayspan.operators.intervals import (clip_span, interval_overlap_join_bucket
                                          repair_open_ended, span_days)
 from dayspan.plans.spans import KEYS, SPAN, kept_absences
 from dayspan.sources import fixtures as fx
+from dayspan.sources.tables import materialize as materialize_table
 
 BLANK_DEFAULTS = {"cost_center": "undefined", "category": "undefined"}
 CONCURRENT_KEYS = ["worker_id", "span_start", "span_end"]
@@ -60,18 +61,23 @@ def prepared_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_open_ended(c, "start_date", "end_date", "prev_end", out="eff_start")
 
 
-def curated_spans(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+def curated_spans(spark: SparkSession, sf_dir: str, materialize: bool = False,
+                  absences: DataFrame | None = None) -> DataFrame:
+    """One row per contract touching the window. ``absences`` (worker_id,
+    division, absence_class, start_date, end_date) default to the kept
+    absences; absences already clipped to the window give the same totals,
+    since every span lies inside the window."""
     c = prepared_contracts(spark, sf_dir)
     c = clip_span(c, "eff_start", "end_date", fx.WINDOW_START, fx.WINDOW_END, *SPAN)
     c = span_days(c, *SPAN, "span_days")
     c = cap_date(c, "hire_date", "span_start")
     c = group_size(c, CONCURRENT_KEYS, "concurrent")
     c = c.withColumn("birth_date", birth_date())
-    totals = absence_totals(c, kept_absences(spark, sf_dir))
+    totals = absence_totals(c, absences if absences is not None else kept_absences(spark, sf_dir))
     c = c.join(totals, "contract_id", "left") \
          .withColumn("total_absence_days", F.coalesce(F.col("total_absence_days"), F.lit(0).cast("long"))) \
          .withColumn("total_absence_share", F.round(ratio("total_absence_days", "span_days"), 6))
-    return c.checkpoint(eager=True) if materialize else c
+    return materialize_table(c, "curated-spans") if materialize else c
 
 
 def overlap_rows(spans: DataFrame, absences: DataFrame) -> DataFrame:

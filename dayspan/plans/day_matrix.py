@@ -19,6 +19,7 @@ from dayspan.operators.intervals import attach_day_flags, day_events, expand_day
 from dayspan.plans.curation import curated_spans
 from dayspan.plans.spans import KEYS, SPAN, clipped_absences
 from dayspan.sources import fixtures as fx
+from dayspan.sources.tables import materialize
 
 AGE_FLOOR = 16 * 365
 AGE_FRACTIONS = [(1, 6), (2, 6), (4, 6)]
@@ -69,12 +70,14 @@ def day_features(m: DataFrame, spans: DataFrame, holidays: DataFrame) -> DataFra
 def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,
                absences: DataFrame | None = None) -> DataFrame:
     """Stage 2 over the stage-1 outputs. When not given they are computed and
-    checkpointed into the shared checkpoint folder (the stage boundary):
+    written as tables into the shared checkpoint folder (the stage boundary):
     lineage is cut there and both are read, not recomputed, by the span-level
     min/max subqueries and the day join."""
-    if spans is None:
-        spans = curated_spans(spark, sf_dir, materialize=True).select(*SPAN_COLS)
     if absences is None:
-        absences = clipped_absences(spark, sf_dir).checkpoint()
+        absences = materialize(clipped_absences(spark, sf_dir), "clipped-absences")
+    if spans is None:
+        clipped = absences.select(*KEYS, "absence_class", F.col("abs_start").alias("start_date"),
+                                  F.col("abs_end").alias("end_date"))
+        spans = curated_spans(spark, sf_dir, materialize=True, absences=clipped).select(*SPAN_COLS)
     m = flagged_days(spans, absences)
     return day_features(m, spans, fx.holiday_periods(spark))

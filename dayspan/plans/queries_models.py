@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import hashlib
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -31,7 +31,7 @@ def _sample_summary(df: DataFrame) -> DataFrame:
 
 # E13 -- label histogram ----------------------------------------------------------
 def q_label_histogram(spark, sf):
-    h = balance.label_histogram(tr.model_frame(spark, sf), "absent")
+    h = balance.label_histogram(tr.model_frame(spark, sf, materialize=False), "absent")
     return h.withColumn("share", F.round("share", 6))
 
 
@@ -76,7 +76,8 @@ FIXED_RATES = {0: 0.8, 1: 3.2}
 
 
 def q_resample_fixed(spark, sf):
-    return _sample_summary(balance.resample(tr.model_frame(spark, sf), "absent", UNIT, rates=FIXED_RATES))
+    return _sample_summary(balance.resample(tr.model_frame(spark, sf, materialize=False), "absent", UNIT,
+                                            rates=FIXED_RATES))
 
 
 register("resample_fixed", q_resample_fixed, with_matrix(_replicate_sql(
@@ -85,7 +86,7 @@ register("resample_fixed", q_resample_fixed, with_matrix(_replicate_sql(
 
 # M4, F5 -- exact undersample to the smallest class ------------------------------------
 def q_balance_exact(spark, sf):
-    b = balance.balance_exact(tr.model_frame(spark, sf), "absent", UNIT)
+    b = balance.balance_exact(tr.model_frame(spark, sf, materialize=False), "absent", UNIT)
     return b.groupBy("absent").agg(F.count(F.lit(1)).alias("rows"),
                                    F.sum("contract_id").cast("long").alias("key_sum"),
                                    F.min("day").alias("first_day"), F.max("day").alias("last_day"))
@@ -305,11 +306,17 @@ def _scored_summary(scored: DataFrame) -> DataFrame:
 
 
 def q_logistic_scored(spark, sf):
+    """Weighted (balanced class weights) and unweighted logistic regression,
+    both fitted on the training years and scored on the test year."""
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
     train = balance.class_weights(train, tr.LABEL, "weight")
-    model = models.train("logistic", train, tr.SPEC, weight="weight")
-    return _scored_summary(models.score(model, test))
+    out = None
+    for name, weight in (("weighted", "weight"), ("unweighted", None)):
+        model = models.train("logistic", train, tr.SPEC, weight=weight)
+        part = _scored_summary(models.score(model, test)).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def q_logistic_tuned(spark, sf):
@@ -336,7 +343,7 @@ def q_model_roundtrip(spark, sf):
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
     model = models.train("naive_bayes", train, tr.NB_SPEC)
-    path = scratch_path(spark, f"model-nb-{abs(hash(sf)) % 10**8}")
+    path = scratch_path(spark, "model-nb-" + hashlib.md5(sf.encode()).hexdigest()[:12])
     models.save_model(model, path)
     again = models.load_model(path)
     a = models.score(model, test).select(*UNIT, F.col("prediction").alias("p1"))
@@ -353,7 +360,7 @@ def q_backtest_years(spark, sf):
 
 def q_table_roundtrip(spark, sf):
     m = tr.model_frame(spark, sf).select(*UNIT, "worker_id", "absent", "absence_class", "year")
-    base = scratch_path(spark, f"matrix-{abs(hash(sf)) % 10**8}")
+    base = scratch_path(spark, "matrix-" + hashlib.md5(sf.encode()).hexdigest()[:12])
     write_table(m, base + "/parquet", partition_by=["year"])
     write_table(m.drop("year"), base + "/csv", fmt="csv")
     back = read_table(spark, base + "/parquet").where(F.col("year") == fx.TEST_YEAR)
@@ -368,3 +375,34 @@ for _name, _fn in [("features_pipeline", q_features_pipeline), ("logistic_scored
                    ("model_roundtrip", q_model_roundtrip), ("backtest_years", q_backtest_years),
                    ("table_roundtrip", q_table_roundtrip)]:
     register(_name, _fn)
+
+
+# Model fits on line items with a planted label (l_quantity > 25), four numeric
+# features, trained on ship years before 1997 and scored on 1997-1998.
+LINE_SPEC = None
+
+
+def _line_frame(spark, sf):
+    from dayspan.operators.features import FeatureSpec
+    global LINE_SPEC
+    LINE_SPEC = LINE_SPEC or FeatureSpec(label="label", numeric=["l_quantity", "l_extendedprice", "l_discount",
+                                                                 "l_tax"])
+    li = fx.table(spark, sf, "lineitem").select(
+        (F.col("l_quantity") > 25).cast("double").alias("label"), "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax", F.year("l_shipdate").alias("year"))
+    from dayspan.operators.features import temporal_split
+    return temporal_split(li, "year", 1997, [1997, 1998])
+
+
+def _line_model(kind: str):
+    def q(spark, sf):
+        train, test = _line_frame(spark, sf)
+        model = models.train(kind, train, LINE_SPEC)
+        scored = models.score(model, test)
+        return evaluate.accuracy(scored, "label", "prediction", by=("year",))
+    return q
+
+
+for _kind, _name in [("logistic", "logistic_lineitem"), ("naive_bayes", "naive_bayes_lineitem"),
+                     ("forest", "forest_lineitem")]:
+    register(_name, _line_model(_kind))

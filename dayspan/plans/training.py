@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dayspan.operators.features import FeatureSpec
 from dayspan.plans.day_matrix import day_matrix
 from dayspan.sources import fixtures as fx
+from dayspan.sources.tables import materialize as materialize_table
 
 LABEL = "label"
 # Columns derived from the label or from the whole contract (incl. the day
@@ -23,9 +24,18 @@ NB_SPEC = FeatureSpec(label=LABEL, categorical=["weekday"], passthrough=["holida
 STAND_IN_CUT = 0.2
 
 
-def model_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day matrix with a double label and double copies of the numerics."""
+def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """Day matrix with a double label and double copies of the numerics.
+
+    Stage 3 reads the day matrix several times (class histogram, feature
+    fits, iterative model fit, scoring of the held-out year), so by default
+    it is written once as a table into the shared checkpoint folder -- the
+    stage boundary -- instead of being recomputed for every pass. Single-pass
+    consumers pass ``materialize=False``.
+    """
     m = day_matrix(spark, sf_dir)
+    if materialize:
+        m = materialize_table(m, "day-matrix")
     return m.withColumns({
         LABEL: F.col("absent").cast("double"),
         "age_d": F.col("age_days").cast("double"),
@@ -42,6 +52,6 @@ def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def stand_in_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic predictor for exact evaluation checks: predict absent
     when the contract's absence share reaches the cut."""
-    m = model_frame(spark, sf_dir)
+    m = model_frame(spark, sf_dir, materialize=False)
     return m.withColumn("prediction", F.when(F.col("total_absence_share") >= STAND_IN_CUT, F.lit(1.0))
                         .otherwise(F.lit(0.0)))

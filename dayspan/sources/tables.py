@@ -95,3 +95,16 @@ def hash_sample(df: DataFrame, key: Sequence[str] | str, fraction: float, salt:
     Bernoulli sample, the same on every run and after executor loss."""
     key = [key] if isinstance(key, str) else list(key)
     return df.where(hash_unit(key, salt) < F.lit(float(fraction)))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table into the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: a stage boundary that cuts
+    the lineage, survives executor loss and, unlike an RDD checkpoint, is
+    columnar and compressed and gives the planner real size statistics."""
+    import uuid
+
+    from dayspan.session import scratch_path
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

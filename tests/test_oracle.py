@@ -28,6 +28,7 @@ def test_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_model():
     rows_only = set(E.queries()) - set(E.oracle_sql())
     assert rows_only == {"features_pipeline", "logistic_scored", "logistic_tuned", "forest_scored",
+                         "logistic_lineitem", "naive_bayes_lineitem", "forest_lineitem",
                          "model_roundtrip", "backtest_years", "table_roundtrip"}
 
 

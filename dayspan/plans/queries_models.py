@@ -36,7 +36,7 @@ def q_label_histogram(spark, sf):
 
 
 register("label_histogram", q_label_histogram, with_matrix("""
-select absent, count(*) as n, sum(count(*)) over () as total, count(*) over () as classes,
+select absent, count(*) as n, cast(sum(count(*)) over () as bigint) as total, count(*) over () as classes,
        round(count(*) / sum(count(*)) over (), 6) as share
 from matrix group by absent"""))
 
@@ -148,9 +148,9 @@ def _index_sql(body: str) -> str:
 
 register("index_categories", q_index_categories, _index_sql("""
 select m.contract_id, m.day,
-       coalesce(a.idx, (select max(k) from r_weekday)) as weekday_idx,
-       coalesce(b.idx, (select max(k) from r_age_band)) as age_band_idx,
-       coalesce(c.idx, (select max(k) from r_cost_center)) as cost_center_idx
+       cast(coalesce(a.idx, (select max(k) from r_weekday)) as int) as weekday_idx,
+       cast(coalesce(b.idx, (select max(k) from r_age_band)) as int) as age_band_idx,
+       cast(coalesce(c.idx, (select max(k) from r_cost_center)) as int) as cost_center_idx
 from matrix m left join r_weekday a using (weekday) left join r_age_band b using (age_band)
      left join r_cost_center c using (cost_center)"""))
 
@@ -222,7 +222,8 @@ register("nb_statistics_weighted", lambda spark, sf: _nb_frame(spark, sf, True),
 # E14, O1, O3, O4, O5 -- evaluation of a deterministic stand-in predictor ------------------------
 STAND_IN_SQL = f"""
 , scored as (select *, cast(absent as double) as label,
-                    case when total_absence_share >= {tr.STAND_IN_CUT} then 1.0 else 0.0 end as prediction
+                    cast(case when total_absence_share >= {tr.STAND_IN_CUT} then 1 else 0 end as double)
+                      as prediction
              from matrix where year = {fx.TEST_YEAR})"""
 
 

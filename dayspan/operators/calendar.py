@@ -13,11 +13,22 @@ from dayspan.functions.columns import guarded_greatest
 DATE_DOMAIN_DAYS = 3_652_059
 
 
+# Short English weekday names, Sunday first (dayofweek 1..7),
+# the same text as date_format(d, 'E') in the default locale.
+WEEKDAY_NAMES = ["Sun", "Mon", "Tue", "Wed", "Thu", "Fri", "Sat"]
+
+
+def weekday_name(d) -> "F.Column":
+    """Short weekday name by array lookup on ``dayofweek`` (codegen'd, no
+    per-row formatter)."""
+    return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), F.dayofweek(d))
+
+
 def calendar_features(df: DataFrame, day: str, week: str = "week_of_year",
                       weekday: str = "weekday", year: str = "year") -> DataFrame:
     """ISO week number, short weekday name (``Mon``) and year of ``day``."""
     d = F.col(day)
-    return df.withColumns({week: F.weekofyear(d), weekday: F.date_format(d, "E"), year: F.year(d)})
+    return df.withColumns({week: F.weekofyear(d), weekday: weekday_name(d), year: F.year(d)})
 
 
 def period_days(periods: DataFrame, start: str = "start_date", end: str = "end_date",

@@ -113,3 +113,10 @@ def test_day_level_join_equals_expand_and_fold(spark):
 def test_flag_in_span_null_is_zero(spark):
     df = spark.createDataFrame([(D(2000, 1, 1), None, None)], "d date, s date, e date")
     assert iv.flag_in_span(df, "d", "s", "e").first()["flag"] == 0
+
+
+def test_weekday_lookup_equals_date_format(spark):
+    from dayspan.operators.calendar import weekday_name
+    df = spark.range(0, 14).select(F.date_add(F.lit(D(2000, 1, 1)), F.col("id").cast("int")).alias("d"))
+    out = df.select(weekday_name(F.col("d")).alias("a"), F.date_format("d", "E").alias("b"))
+    assert out.where("a != b").count() == 0

@@ -132,13 +132,15 @@ def recode(df: DataFrame, mapping: DataFrame, bindings: Mapping[str, str],
            max_mapping_rows: int = 1_000_000) -> DataFrame:
     """Replace coded values through the dictionary; unknown values pass.
 
-    ``bindings`` maps a column to its category. The mapping is broadcast when
+    ``bindings`` maps a column to its category. A raw value listed twice in
+    a category keeps its smallest canonical value. The mapping is broadcast when
     it has at most ``max_mapping_rows`` rows (checked), else shuffle-joined.
     """
     out = df
     for col, cat in bindings.items():
-        m = mapping.where(F.col("category") == cat).select(
-            F.col("raw").alias("__raw"), F.col("canonical").alias("__canon"))
+        # one canonical value per raw value, so the join never multiplies rows
+        m = mapping.where(F.col("category") == cat).groupBy(F.col("raw").alias("__raw")) \
+                   .agg(F.min("canonical").alias("__canon"))
         m = bounded_broadcast(m, max_mapping_rows)
         out = out.join(m, out[col] == m["__raw"], "left") \
                  .withColumn(col, F.coalesce(F.col("__canon"), F.col(col))) \

@@ -272,7 +272,8 @@ DAILY_SQL = """
 
 
 def _daily(spark, sf):
-    return evaluate.daily_error(_test_scored(spark, sf), "day", "label", "prediction", 1.0)
+    """The daily report, sorted by day at the sink (one row per day)."""
+    return evaluate.daily_error(_test_scored(spark, sf), "day", "label", "prediction", 1.0).orderBy("day")
 
 
 register("daily_error", _daily, with_matrix(STAND_IN_SQL + DAILY_SQL + " select * from derr"))

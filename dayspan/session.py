@@ -56,3 +56,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder, for written stage tables."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, "tables", name)
+
+
+def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+    """Submit-time settings for a large cluster (≈100 TB of input).
+
+    Not applied by library code; pass them to ``spark-submit --conf`` or the
+    session builder. Shuffles start wide and AQE coalesces them to ~256 MB
+    partitions, splits skewed ones, and turns joins into broadcasts only when
+    the measured side is small.
+    """
+    slots = executors * cores_per_executor
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(slots * 4),
+        "spark.sql.shuffle.partitions": str(slots * 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.parquet.filterPushdown": "true",
+        "spark.sql.ansi.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
+        "spark.shuffle.service.enabled": "true",
+        "spark.decommission.enabled": "true",
+        "spark.storage.decommission.shuffleBlocks.enabled": "true",
+        "spark.task.maxFailures": "8",
+    }

@@ -83,3 +83,10 @@ def test_previous_end(spark):
                                 (4, 8, D(2005, 1, 1))], "id int, w int, e date")
     out = groups.previous_end(df, ["w"], "e", D(2001, 1, 1))
     assert rows(out, "id", "prev_end") == [(1, D(2000, 3, 2)), (2, D(2000, 3, 2)), (3, D(2000, 3, 2)), (4, None)]
+
+
+def test_recode_duplicate_raw_does_not_multiply_rows(spark):
+    schema = "category string, raw string, canonical string"
+    m = spark.createDataFrame([("sex", "M", "male"), ("sex", "M", "man")], schema)
+    df = spark.createDataFrame([("M",), ("F",)], "sex string")
+    assert rows(clean.recode(df, m, {"sex": "sex"})) == [("F",), ("male",)]

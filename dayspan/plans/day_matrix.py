@@ -41,18 +41,21 @@ def flagged_days(spans: DataFrame, absences: DataFrame) -> DataFrame:
                             default_label=NO_ABSENCE)
 
 
-def age_range(spans: DataFrame):
-    lo = spans.agg(F.min(guarded_greatest(F.datediff(F.col("span_start"), F.col("birth_date")),
-                                          F.lit(AGE_FLOOR)))).scalar()
-    hi = spans.agg(F.max(guarded_greatest(F.datediff(F.col("span_end"), F.col("birth_date")),
-                                          F.lit(AGE_FLOOR)))).scalar()
-    return lo, hi
-
-
-def tenure_range(spans: DataFrame):
-    lo = spans.agg(F.min(F.datediff(F.col("span_start"), F.col("hire_date")))).scalar()
-    hi = spans.agg(F.max(F.datediff(F.col("span_end"), F.col("hire_date")))).scalar()
-    return lo, hi
+def span_ranges(spans: DataFrame) -> dict:
+    """min/max of age and tenure over all contract-days, from the spans.
+
+    Age and tenure grow by one per day along a span, so their extremes over
+    the days are reached at the span ends (the age floor is monotone too).
+    One struct-valued scalar subquery: evaluated once, reused by all four
+    references, nothing collected into driver code.
+    """
+    age_lo = guarded_greatest(F.datediff(F.col("span_start"), F.col("birth_date")), F.lit(AGE_FLOOR))
+    age_hi = guarded_greatest(F.datediff(F.col("span_end"), F.col("birth_date")), F.lit(AGE_FLOOR))
+    stats = spans.agg(F.struct(
+        F.min(age_lo).alias("age_lo"), F.max(age_hi).alias("age_hi"),
+        F.min(F.datediff(F.col("span_start"), F.col("hire_date"))).alias("tenure_lo"),
+        F.max(F.datediff(F.col("span_end"), F.col("hire_date"))).alias("tenure_hi"))).scalar()
+    return {k: stats.getField(k) for k in ("age_lo", "age_hi", "tenure_lo", "tenure_hi")}
 
 
 def day_features(m: DataFrame, spans: DataFrame, holidays: DataFrame) -> DataFrame:
@@ -61,10 +64,10 @@ def day_features(m: DataFrame, spans: DataFrame, holidays: DataFrame) -> DataFra
     m = elapsed_days(m, "hire_date", "day", "tenure_days")
     m = flag_periods(m, "day", holidays, "holiday")
     m = calendar_features(m, "day")
-    lo, hi = age_range(spans)
-    m = range_bands(m, "age_days", AGE_FRACTIONS, AGE_LABELS, lo, hi, "age_band")
-    lo, hi = tenure_range(spans)
-    return range_bands(m, "tenure_days", TENURE_FRACTIONS, TENURE_LABELS, lo, hi, "tenure_band")
+    r = span_ranges(spans)
+    m = range_bands(m, "age_days", AGE_FRACTIONS, AGE_LABELS, r["age_lo"], r["age_hi"], "age_band")
+    return range_bands(m, "tenure_days", TENURE_FRACTIONS, TENURE_LABELS, r["tenure_lo"], r["tenure_hi"],
+                       "tenure_band")
 
 
 def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,

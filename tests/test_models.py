@@ -45,3 +45,17 @@ def test_forest_cardinality_check(spark):
     spec = FeatureSpec(label="label", categorical=["order"])
     with pytest.raises(ValueError, match="maxBins"):
         models.check_cardinality(li, spec, 90)
+
+
+def test_weighted_forest_and_tuning(spark):
+    from dayspan.operators.balance import class_weights
+    df = _planted(spark)
+    train, test = temporal_split(df, "year", 1997, [1997, 1998])
+    train = class_weights(train, "label", "weight")
+    model = models.train("forest", train, SPEC, weight="weight", numTrees=10)
+    assert evaluate.accuracy(models.score(model, test)).first()["accuracy"] >= 0.95
+    cv = models.tune("logistic", train, SPEC, weight="weight", grid={"regParam": [0.0, 0.1]}, folds=2,
+                     parallelism=2)
+    assert len(cv.avgMetrics) == 2
+    bt = models.backtest(cv.bestModel, df, "year", [1997, 1998], "label")
+    assert bt.select("year").distinct().count() == 2

@@ -120,9 +120,6 @@ def q_fold_days(spark, sf):
     return _round(folded, ["absent_share"])
 
 
-register("fold_days", q_fold_days)
-
-
 def _fold_days_sql() -> str:
     head = fx.with_views("", "contracts", "absences", "kept_absences").rstrip()
     spans = f", spans as ({fx.SPANS_SQL})"
@@ -139,9 +136,7 @@ group by fr.contract_id, fr.day"""
     return head + ",\n" + curation.CURATED_SQL + spans + body
 
 
-from dayspan.plans.catalog import ORACLE  # noqa: E402
-
-ORACLE["fold_days"] = _fold_days_sql()
+register("fold_days", q_fold_days, _fold_days_sql())
 
 
 # Day matrix and its parts --------------------------------------------------------------

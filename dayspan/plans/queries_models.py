@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dayspan.functions.columns import hash_key
 from dayspan.operators import balance, evaluate, models
-from dayspan.operators.features import build_features
+from dayspan.operators.features import FeatureSpec, build_features, temporal_split
 from dayspan.plans import training as tr
 from dayspan.plans.catalog import register
 from dayspan.plans.queries_days import with_matrix
@@ -381,18 +381,13 @@ for _name, _fn in [("features_pipeline", q_features_pipeline), ("logistic_scored
 
 # Model fits on line items with a planted label (l_quantity > 25), four numeric
 # features, trained on ship years before 1997 and scored on 1997-1998.
-LINE_SPEC = None
+LINE_SPEC = FeatureSpec(label="label", numeric=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
 def _line_frame(spark, sf):
-    from dayspan.operators.features import FeatureSpec
-    global LINE_SPEC
-    LINE_SPEC = LINE_SPEC or FeatureSpec(label="label", numeric=["l_quantity", "l_extendedprice", "l_discount",
-                                                                 "l_tax"])
     li = fx.table(spark, sf, "lineitem").select(
         (F.col("l_quantity") > 25).cast("double").alias("label"), "l_quantity", "l_extendedprice", "l_discount",
         "l_tax", F.year("l_shipdate").alias("year"))
-    from dayspan.operators.features import temporal_split
     return temporal_split(li, "year", 1997, [1997, 1998])
 
 

@@ -120,3 +120,22 @@ def test_weekday_lookup_equals_date_format(spark):
     df = spark.range(0, 14).select(F.date_add(F.lit(D(2000, 1, 1)), F.col("id").cast("int")).alias("d"))
     out = df.select(weekday_name(F.col("d")).alias("a"), F.date_format("d", "E").alias("b"))
     assert out.where("a != b").count() == 0
+
+
+def test_skewed_input_three_plans_agree(spark):
+    """One worker holds a third of all spans and absences (derived by hash)."""
+    from conftest import SF_SMALL
+    from dayspan.plans.spans import KEYS, SPAN, clipped_spans, kept_absences
+    hot = lambda cols: F.when(F.abs(F.xxhash64(*cols)) % 3 == 0, F.lit(1)).otherwise(F.col("worker_id"))  # noqa
+    sp = clipped_spans(spark, SF_SMALL).select("contract_id", *KEYS, *SPAN).withColumn("worker_id", hot(["contract_id"]))
+    sp = sp.withColumn("division", F.when(F.col("worker_id") == 1, F.lit(1)).otherwise(F.col("division")))
+    ab = kept_absences(spark, SF_SMALL).withColumn("worker_id", hot(["worker_id", "start_date", "absence_class"]))
+    ab = ab.withColumn("division", F.when(F.col("worker_id") == 1, F.lit(1)).otherwise(F.col("division")))
+    days_of = F.coalesce(F.datediff("overlap_end", "overlap_start") + 1, F.lit(0))
+    plain = iv.interval_overlap_join(sp, ab, KEYS, SPAN, ("start_date", "end_date"))
+    bucketed = iv.interval_overlap_join_bucketed(sp, ab, KEYS, SPAN, ("start_date", "end_date"), ["contract_id"])
+    cols = ["contract_id", "r_absence_class", "r_start_date", "overlap_start", "overlap_end"]
+    assert rows(plain, *cols) == rows(bucketed, *cols)
+    ev = iv.day_events(ab, KEYS, "start_date", "end_date", "absence_class")
+    flagged = iv.attach_day_flags(iv.expand_days(sp, *SPAN, "day"), ev, KEYS, "day", count="n_abs")
+    assert flagged.agg(F.sum("n_abs")).first()[0] == plain.agg(F.sum(days_of)).first()[0]

@@ -82,8 +82,13 @@ from spans""", ("spans",))
 
 # H7 -- day flag per overlap row (the explicit path) ---------------------------------
 def day_flag_rows(spark, sf) -> DataFrame:
+    """The explicit path: every (contract, overlapping absence) row expanded
+    over the contract's days and flagged. The pairs come from the skew-safe
+    bucketed join; the day matrix itself uses the day-level join instead,
+    which never expands pairs."""
     spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN)
-    j = intervals.interval_overlap_join(spans, kept_absences(spark, sf), KEYS, SPAN, ("start_date", "end_date"))
+    j = intervals.interval_overlap_join_bucketed(spans, kept_absences(spark, sf), KEYS, SPAN,
+                                                 ("start_date", "end_date"), left_id=["contract_id"])
     d = intervals.expand_days(j, *SPAN, "day")
     return intervals.flag_in_span(d, "day", "overlap_start", "overlap_end", "absent")
 

@@ -91,41 +91,62 @@ def _month_index(d: Column) -> Column:
 def interval_overlap_join_bucketed(left: DataFrame, right: DataFrame, on: Sequence[str],
                                    left_span: tuple[str, str], right_span: tuple[str, str],
                                    left_id: Sequence[str], how: str = "left", right_prefix: str = "r_",
-                                   out_span: tuple[str, str] = ("overlap_start", "overlap_end")) -> DataFrame:
+                                   out_span: tuple[str, str] = ("overlap_start", "overlap_end"),
+                                   clamp=False) -> DataFrame:
     """Same result as ``interval_overlap_join``, skew-safe.
 
     Both sides are split into calendar months; the equi-join runs on the keys
     plus the month, so one key with many spans is spread over as many tasks as
     it has months, and only spans sharing a month are compared. Each pair is
-    kept once: in the month where the overlap starts. For ``how='left'`` the
-    left rows without partner (found by an anti join on ``left_id``, a unique
-    key of ``left``) are added back with null partner columns.
+    kept once: in the month where the overlap starts.
+
+    ``clamp`` limits the months a span is split into, so that a sentinel end
+    such as 9999-12-31 does not explode: ``(low, high)`` dates known to bound
+    every overlap (e.g. the observation window the spans were clipped to),
+    or ``True`` for the dates both inputs cover, found by one scalar
+    subquery per input (an extra pass; meant for materialized inputs). Both
+    are exact, since the overlap start always lies inside. For ``how='left'``
+    the left rows without partner (found by an anti join on ``left_id``, a
+    unique key of ``left``) are added back with null partner columns.
     """
+    if how not in ("left", "inner"):
+        raise ValueError("how must be 'left' or 'inner'")
     ls, le = left_span
-    r = right.select(*on, *[F.col(c).alias(right_prefix + c) for c in right.columns if c not in on])
+    right_cols = [c for c in right.columns if c not in on]
+    rkey = {k: f"__rk{i}" for i, k in enumerate(on)}
+    r = right.select(*[F.col(k).alias(rkey[k]) for k in on], *[F.col(c).alias(right_prefix + c) for c in right_cols])
     rs, re_ = right_prefix + right_span[0], right_prefix + right_span[1]
-    month = "__month"
-
-    def months(df: DataFrame, s: str, e: str) -> DataFrame:
+    first = last = None
+    if clamp is True:
+        lbounds = left.agg(F.struct(F.min(ls).alias("lo"), F.max(le).alias("hi"))).scalar()
+        rbounds = right.agg(F.struct(F.min(right_span[0]).alias("lo"), F.max(right_span[1]).alias("hi"))).scalar()
+        first = F.greatest(_month_index(lbounds.getField("lo")), _month_index(rbounds.getField("lo")))
+        last = F.least(_month_index(lbounds.getField("hi")), _month_index(rbounds.getField("hi")))
+    elif clamp:
+        first, last = _month_index(_lit_date(clamp[0])), _month_index(_lit_date(clamp[1]))
+
+    def months(df: DataFrame, s: str, e: str, out: str) -> DataFrame:
         valid = df.where(F.col(s).isNotNull() & F.col(e).isNotNull() & (F.col(s) <= F.col(e)))
-        return valid.withColumn(month, F.explode(F.sequence(_month_index(F.col(s)), _month_index(F.col(e)))))
-
-    lb, rb = months(left, ls, le), months(r, rs, re_)
-    cond = [lb[k] == rb[k] for k in on] + [lb[month] == rb[month], rb[rs] <= lb[le], rb[re_] >= lb[ls]]
+        m0, m1 = _month_index(F.col(s)), _month_index(F.col(e))
+        if first is not None:
+            m0, m1 = F.greatest(m0, first), F.least(m1, last)
+        return valid.withColumn("__m0", m0).withColumn("__m1", m1).where(F.col("__m0") <= F.col("__m1")) \
+                    .withColumn(out, F.explode(F.sequence(F.col("__m0"), F.col("__m1")))).drop("__m0", "__m1")
+
+    lb, rb = months(left, ls, le, "__lm"), months(r, rs, re_, "__rm")
+    cond = [F.col(k) == F.col(rkey[k]) for k in on] + [
+        F.col("__lm") == F.col("__rm"), F.col(rs) <= F.col(le), F.col(re_) >= F.col(ls)]
     pairs = lb.join(rb, cond, "inner").where(
-        _month_index(guarded_greatest(lb[ls], rb[rs])) == lb[month])
-    right_cols = [c for c in r.columns if c not in on]
-    matched = pairs.select(*[lb[c] for c in left.columns], *[rb[c] for c in right_cols],
-                           *_overlap_columns(lb[ls], lb[le], rb[rs], rb[re_], *out_span))
+        _month_index(guarded_greatest(F.col(ls), F.col(rs))) == F.col("__lm"))
+    matched = pairs.select(*left.columns, *[right_prefix + c for c in right_cols],
+                           *_overlap_columns(F.col(ls), F.col(le), F.col(rs), F.col(re_), *out_span))
     if how == "inner":
         return matched
-    if how != "left":
-        raise ValueError("how must be 'left' or 'inner'")
     ids = matched.select(*left_id).distinct()
     lone = left.join(ids, list(left_id), "left_anti")
     r_types = dict(r.dtypes)
     lone = lone.select(*left.columns,
-                       *[F.lit(None).cast(r_types[c]).alias(c) for c in right_cols],
+                       *[F.lit(None).cast(r_types[right_prefix + c]).alias(right_prefix + c) for c in right_cols],
                        F.lit(None).cast("date").alias(out_span[0]),
                        F.lit(None).cast("date").alias(out_span[1]))
     return matched.unionByName(lone)

@@ -25,6 +25,8 @@ from dayspan.sources.tables import materialize as materialize_table
 BLANK_DEFAULTS = {"cost_center": "undefined", "category": "undefined"}
 CONCURRENT_KEYS = ["worker_id", "span_start", "span_end"]
 BIRTH_BASE = dt.date(1950, 1, 1)
+# spans are clipped to the window, so every overlap lies inside it
+WINDOW = (fx.WINDOW_START, fx.WINDOW_END)
 
 
 def birth_date(worker_id: str = "worker_id"):
@@ -85,7 +87,7 @@ def overlap_rows(spans: DataFrame, absences: DataFrame) -> DataFrame:
     overlaps it (left join), the clipped overlap and its days."""
     left = spans.select("contract_id", *KEYS, *SPAN, "span_days")
     j = interval_overlap_join_bucketed(left, absences, KEYS, SPAN, ("start_date", "end_date"),
-                                       left_id=["contract_id"], how="left")
+                                       left_id=["contract_id"], how="left", clamp=WINDOW)
     return overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
 
 
@@ -93,7 +95,7 @@ def absence_totals(spans: DataFrame, absences: DataFrame) -> DataFrame:
     """contract_id, total_absence_days (overlapping absences are summed)."""
     left = spans.select("contract_id", *KEYS, *SPAN)
     j = interval_overlap_join_bucketed(left, absences, KEYS, SPAN, ("start_date", "end_date"),
-                                       left_id=["contract_id"], how="inner")
+                                       left_id=["contract_id"], how="inner", clamp=WINDOW)
     j = overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
     return j.groupBy("contract_id").agg(F.sum("overlap_days").cast("long").alias("total_absence_days"))
 

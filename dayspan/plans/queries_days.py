@@ -88,7 +88,8 @@ def day_flag_rows(spark, sf) -> DataFrame:
     which never expands pairs."""
     spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN)
     j = intervals.interval_overlap_join_bucketed(spans, kept_absences(spark, sf), KEYS, SPAN,
-                                                 ("start_date", "end_date"), left_id=["contract_id"])
+                                                 ("start_date", "end_date"), left_id=["contract_id"],
+                                                 clamp=(fx.WINDOW_START, fx.WINDOW_END))
     d = intervals.expand_days(j, *SPAN, "day")
     return intervals.flag_in_span(d, "day", "overlap_start", "overlap_end", "absent")
 

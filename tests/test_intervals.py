@@ -139,3 +139,17 @@ def test_skewed_input_three_plans_agree(spark):
     ev = iv.day_events(ab, KEYS, "start_date", "end_date", "absence_class")
     flagged = iv.attach_day_flags(iv.expand_days(sp, *SPAN, "day"), ev, KEYS, "day", count="n_abs")
     assert flagged.agg(F.sum("n_abs")).first()[0] == plain.agg(F.sum(days_of)).first()[0]
+
+
+def test_bucketed_join_open_ended_sentinel(spark):
+    left = spark.createDataFrame([(1, 7, D(2000, 1, 1), D(9999, 12, 31)), (2, 7, D(2000, 3, 1), D(2000, 3, 2))],
+                                 "cid int, w int, s date, e date")
+    right = spark.createDataFrame([(7, "A", D(2000, 3, 2), D(2000, 3, 9)), (7, "B", D(1990, 1, 1), D(1990, 1, 2))],
+                                  "w int, cls string, s date, e date")
+    cols = ["cid", "r_cls", "overlap_start", "overlap_end"]
+    plain = iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"))
+    bucketed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), ["cid"], clamp=True)
+    fixed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), ["cid"],
+                                              clamp=(D(1996, 1, 1), D(2001, 12, 31)))
+    assert rows(fixed, *cols) == rows(bucketed, *cols) == rows(plain, *cols) == [
+        (1, "A", D(2000, 3, 2), D(2000, 3, 9)), (2, "A", D(2000, 3, 2), D(2000, 3, 2))]

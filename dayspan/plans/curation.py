@@ -55,27 +55,43 @@ def dependent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_label(d, "relation", "has_dependent", "some", "none", out="relation_label")
 
 
-def prepared_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = fx.contracts(spark, sf_dir)
-    c = fill_blank(c, BLANK_DEFAULTS)
+def prepare_contracts(contracts: DataFrame, as_of) -> DataFrame:
+    """Blank defaults, hire date default, previous end and open-ended repair
+    on any contract table with the columns of ``fixtures.contracts``."""
+    c = fill_blank(contracts, BLANK_DEFAULTS)
     c = fill_null(c, {"hire_date": F.col("start_date")})
-    c = previous_end(c, KEYS, "end_date", fx.AS_OF, "prev_end")
+    c = previous_end(c, KEYS, "end_date", as_of, "prev_end")
     return repair_open_ended(c, "start_date", "end_date", "prev_end", out="eff_start")
 
 
+def prepared_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare_contracts(fx.contracts(spark, sf_dir), fx.AS_OF)
+
+
 def curated_spans(spark: SparkSession, sf_dir: str, materialize: bool = False,
                   absences: DataFrame | None = None) -> DataFrame:
     """One row per contract touching the window. ``absences`` (worker_id,
     division, absence_class, start_date, end_date) default to the kept
     absences; absences already clipped to the window give the same totals,
     since every span lies inside the window."""
-    c = prepared_contracts(spark, sf_dir)
-    c = clip_span(c, "eff_start", "end_date", fx.WINDOW_START, fx.WINDOW_END, *SPAN)
+    absences = absences if absences is not None else kept_absences(spark, sf_dir)
+    return curate_spans(fx.contracts(spark, sf_dir), absences, WINDOW, fx.AS_OF, materialize)
+
+
+def curate_spans(contracts: DataFrame, absences: DataFrame, window=None, as_of=None,
+                 materialize: bool = False) -> DataFrame:
+    """Stage 1 on any contract and absence tables (columns as in
+    ``fixtures.contracts`` / ``fixtures.absences``), with the observation
+    window and as-of date as arguments."""
+    window = window or WINDOW
+    as_of = as_of or fx.AS_OF
+    c = prepare_contracts(contracts, as_of)
+    c = clip_span(c, "eff_start", "end_date", window[0], window[1], *SPAN)
     c = span_days(c, *SPAN, "span_days")
     c = cap_date(c, "hire_date", "span_start")
     c = group_size(c, CONCURRENT_KEYS, "concurrent")
     c = c.withColumn("birth_date", birth_date())
-    totals = absence_totals(c, absences if absences is not None else kept_absences(spark, sf_dir))
+    totals = absence_totals(c, absences, window)
     c = c.join(totals, "contract_id", "left") \
          .withColumn("total_absence_days", F.coalesce(F.col("total_absence_days"), F.lit(0).cast("long"))) \
          .withColumn("total_absence_share", F.round(ratio("total_absence_days", "span_days"), 6))
@@ -91,11 +107,12 @@ def overlap_rows(spans: DataFrame, absences: DataFrame) -> DataFrame:
     return overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
 
 
-def absence_totals(spans: DataFrame, absences: DataFrame) -> DataFrame:
-    """contract_id, total_absence_days (overlapping absences are summed)."""
+def absence_totals(spans: DataFrame, absences: DataFrame, window=None) -> DataFrame:
+    """contract_id, total_absence_days (overlapping absences are summed).
+    ``window`` bounds every span (they are clipped to it)."""
     left = spans.select("contract_id", *KEYS, *SPAN)
     j = interval_overlap_join_bucketed(left, absences, KEYS, SPAN, ("start_date", "end_date"),
-                                       left_id=["contract_id"], how="inner", clamp=WINDOW)
+                                       left_id=["contract_id"], how="inner", clamp=window or WINDOW)
     j = overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
     return j.groupBy("contract_id").agg(F.sum("overlap_days").cast("long").alias("total_absence_days"))
 

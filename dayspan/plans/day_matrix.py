@@ -16,7 +16,9 @@ from dayspan.functions.columns import guarded_greatest
 from dayspan.operators.bands import range_bands
 from dayspan.operators.calendar import calendar_features, elapsed_days, flag_periods
 from dayspan.operators.intervals import attach_day_flags, day_events, expand_days, share
-from dayspan.plans.curation import curated_spans
+from dayspan.operators.clean import exclude_values
+from dayspan.operators.intervals import clip_span
+from dayspan.plans.curation import curate_spans, curated_spans
 from dayspan.plans.spans import KEYS, SPAN, clipped_absences
 from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import materialize
@@ -84,3 +86,19 @@ def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,
         spans = curated_spans(spark, sf_dir, materialize=True, absences=clipped).select(*SPAN_COLS)
     m = flagged_days(spans, absences)
     return day_features(m, spans, fx.holiday_periods(spark))
+
+
+def build_day_matrix(contracts: DataFrame, absences: DataFrame, holidays: DataFrame, window, as_of,
+                     excluded=()) -> DataFrame:
+    """Stages 1 and 2 on any contract, absence and holiday tables (columns as
+    in ``fixtures``): absences of the ``excluded`` classes are dropped (a null
+    class is kept), both tables are clipped to ``window``, stage-1 outputs are
+    written as tables into the shared checkpoint folder, and the day matrix is
+    returned."""
+    kept = exclude_values(absences, "absence_class", excluded, keep_null=True)
+    ab = materialize(clip_span(kept, "start_date", "end_date", window[0], window[1], "abs_start", "abs_end"),
+                     "clipped-absences")
+    clipped = ab.select(*KEYS, "absence_class", F.col("abs_start").alias("start_date"),
+                        F.col("abs_end").alias("end_date"))
+    spans = curate_spans(contracts, clipped, window, as_of, materialize=True).select(*SPAN_COLS)
+    return day_features(flagged_days(spans, ab), spans, holidays)

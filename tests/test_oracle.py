@@ -36,3 +36,14 @@ def test_entry(spark):
     df = E.entry(spark)
     assert df.columns == ["day", "contract_days", "absent_days", "absence_rate"]
     assert df.count() == 2192
+
+
+def test_generic_entry_equals_fixture_plan(spark):
+    from dayspan.plans.day_matrix import build_day_matrix, day_matrix
+    from dayspan.sources import fixtures as fx
+    generic = build_day_matrix(fx.contracts(spark, SF_SMALL), fx.absences(spark, SF_SMALL), fx.holiday_periods(spark),
+                               (fx.WINDOW_START, fx.WINDOW_END), fx.AS_OF, fx.EXCLUDED_CLASSES)
+    fixed = day_matrix(spark, SF_SMALL)
+    cols = sorted(fixed.columns)
+    assert generic.select(*cols).exceptAll(fixed.select(*cols)).count() == 0
+    assert generic.count() == fixed.count()

@@ -36,6 +36,12 @@ def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     m = day_matrix(spark, sf_dir)
     if materialize:
         m = materialize_table(m, "day-matrix")
+    return prepare_model_frame(m)
+
+
+def prepare_model_frame(m: DataFrame) -> DataFrame:
+    """Any day matrix (e.g. from ``build_day_matrix``) with a double label and
+    double copies of the numerics, ready for ``SPEC`` / ``NB_SPEC``."""
     return m.withColumns({
         LABEL: F.col("absent").cast("double"),
         "age_d": F.col("age_days").cast("double"),
@@ -44,9 +50,13 @@ def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     })
 
 
-def train_test(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def train_test(df: DataFrame, train_before: int | None = None,
+               test_years=None) -> tuple[DataFrame, DataFrame]:
+    """Years before ``train_before`` train, ``test_years`` test (defaults: the
+    fixture's 1999 split)."""
     from dayspan.operators.features import temporal_split
-    return temporal_split(df, "year", fx.TRAIN_BEFORE, [fx.TEST_YEAR])
+    return temporal_split(df, "year", train_before or fx.TRAIN_BEFORE,
+                          list(test_years) if test_years else [fx.TEST_YEAR])
 
 
 def stand_in_scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,14 @@ def test_weighted_forest_and_tuning(spark):
     assert len(cv.avgMetrics) == 2
     bt = models.backtest(cv.bestModel, df, "year", [1997, 1998], "label")
     assert bt.select("year").distinct().count() == 2
+
+
+def test_stage3_on_a_given_day_matrix(spark):
+    from dayspan.plans import training as tr
+    from dayspan.plans.day_matrix import day_matrix
+    m = tr.prepare_model_frame(day_matrix(spark, SF_SMALL))
+    train, test = tr.train_test(m, 1998, [1998, 1999])
+    assert train.where("year >= 1998").count() == 0
+    assert set(r["year"] for r in test.select("year").distinct().collect()) <= {1998, 1999}
+    model = models.train("naive_bayes", train, tr.NB_SPEC)
+    assert evaluate.confusion_matrix(models.score(model, test), "label").agg(F.sum("count")).first()[0] == test.count()

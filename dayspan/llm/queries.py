@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, mixing
+from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing
 from dayspan.llm.common import documents
 
 
@@ -20,7 +20,22 @@ def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(documents(spark, sf_dir))
 
 
-QUERIES = {"op2_curriculum_mixing": op2_curriculum_mixing, "op8_chunk_recipes": op8_chunk_recipes}
+def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = compression_quality.crc_mod("doc_id", 3) == 1
+    model = hyper_language.fit(docs.where(~held).select("text", "lang"))
+    return hyper_language.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = compression_quality.fit(docs, compression_quality.learnable(labels))
+    return compression_quality.score(docs, model).select(
+        "doc_id", (compression_quality.crc_mod("doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes)}
 
 ORACLE: dict[str, str] = {}
 ORACLE["op8_chunk_recipes"] = r"""

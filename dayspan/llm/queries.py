@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing
+from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, secret_index
 from dayspan.llm.common import documents
 
 
@@ -35,7 +35,12 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes)}
+def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_index.digest(secret_index.scan(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
+                                     op9_trigram_secrets)}
 
 ORACLE: dict[str, str] = {}
 ORACLE["op8_chunk_recipes"] = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, secret_index
+from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, secret_index
 from dayspan.llm.common import documents
 
 
@@ -39,8 +39,12 @@ def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_index.digest(secret_index.scan(documents(spark, sf_dir)))
 
 
+def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
-                                     op9_trigram_secrets)}
+                                     op9_trigram_secrets, op10_multi_order_jaccard)}
 
 ORACLE: dict[str, str] = {}
 ORACLE["op8_chunk_recipes"] = r"""

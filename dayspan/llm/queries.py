@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, secret_index
+from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, secret_index, token_output
 from dayspan.llm.common import documents
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_output.token_output(documents(spark, sf_dir), tokenizer_path())
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(documents(spark, sf_dir))
     first = F.get("copies", F.lit(0))["position"]
@@ -43,7 +53,7 @@ def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
                                      op9_trigram_secrets, op10_multi_order_jaccard)}
 
 ORACLE: dict[str, str] = {}

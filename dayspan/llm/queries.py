@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, secret_index, token_output
+from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, secret_index, substring_dedup, token_output
 from dayspan.llm.common import documents
 
 
@@ -30,6 +30,11 @@ def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = compression_quality.crc_mod("doc_id", 3) == 1
@@ -53,7 +58,7 @@ def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_curriculum_mixing, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_curriculum_mixing, op3_seed_extend, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
                                      op9_trigram_secrets, op10_multi_order_jaccard)}
 
 ORACLE: dict[str, str] = {}

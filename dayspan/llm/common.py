@@ -133,7 +133,7 @@ def whole_hash(words: np.ndarray) -> np.uint64:
         return mix(np.array([np.sum(words * powers(_Q, n)) + U(n) * U(0xD6E8FEB86659FD93)], U))[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``BLOCK_BYTES`` of text each."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

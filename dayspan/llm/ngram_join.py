@@ -27,18 +27,18 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayspan.llm.common import U, Words, blocks, mix, row_key, saved
 
 WIDTH, PERCENT = 5, 80
-SKETCH_BITS, SEGMENTS = 22, 64
+SKETCH_BITS, SEGMENTS = 24, 64
 SALTS = [0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8]
 
 
@@ -71,7 +71,7 @@ def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT
 
 
 def frequency_levels(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Per sketch bucket 0 for ordinary counts, and one more for every doubling above them."""
+    """Per sketch bucket its count on a logarithmic scale, 8 levels a doubling (2^SKETCH_BITS bytes)."""
     size, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SEGMENTS
 
     def count(batches):
@@ -81,26 +81,26 @@ def frequency_levels(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
                 if sets:
                     np.add.at(total, (np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
         if total.any():
-            packed = [zlib.compress(total[i * part: (i + 1) * part].tobytes(), 1) for i in range(SEGMENTS)]
+            pack = zstandard.ZstdCompressor(level=1).compress
+            packed = [pack(total[i * part: (i + 1) * part].tobytes()) for i in range(SEGMENTS)]
             yield pa.record_batch({"segment": pa.array(range(SEGMENTS), pa.int32()), "counts": pa.array(packed, pa.binary())})
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for seg, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = total.setdefault(seg, np.zeros(part, np.int64))
-                own += np.frombuffer(zlib.decompress(raw), np.uint32)
-        yield pa.record_batch({"segment": pa.array(list(total), pa.int32()),
-                               "counts": pa.array([x.tobytes() for x in total.values()], pa.binary())})
+                own += np.frombuffer(unpack(raw), np.uint32)
+        levels = [np.minimum(8 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.record_batch({"segment": pa.array(list(total), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
     rows = (docs.select("text").mapInArrow(count, "segment int, counts binary").repartition("segment")
-            .mapInArrow(add, "segment int, counts binary").collect())  # SEGMENTS rows, 2^SKETCH_BITS counts in all
-    counts = np.zeros(size, np.int64)
+            .mapInArrow(add, "segment int, levels binary").collect())  # SEGMENTS rows, 2^SKETCH_BITS bytes in all
+    levels = np.zeros(size, np.uint8)
     for r in rows:
-        counts[r.segment * part: (r.segment + 1) * part] = np.frombuffer(r.counts, np.int64)
-    mean = counts.mean()
-    usual = 2 * mean + 8 * np.sqrt(mean) + 8
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / usual)) + 1, 0, 63).astype(np.uint8)
+        levels[r.segment * part: (r.segment + 1) * part] = np.frombuffer(r.levels, np.uint8)
+    return levels
 
 
 def bloom_words(tokens: DataFrame, most_bits: int = 28) -> np.ndarray:
@@ -131,7 +131,7 @@ def _lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
 
 def describe(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = 3) -> DataFrame:
     """One row per input row: doc_id, key (row identity), node, n; and for one row per node and task
-    that may have a partner its prefix tokens (p0, and p1.. cut to 32 bits) and its set."""
+    that may have a partner its prefix tokens (p0, and p1.. cut to 32 bits)."""
     sc = docs.sparkSession.sparkContext
     levels = sc.broadcast(frequency_levels(docs, width))  # 2^SKETCH_BITS bytes
 
@@ -157,7 +157,7 @@ def describe(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders
         seen: set[int] = set()
         for batch in batches:
             for block, sets in shingle_sets(batch, width):
-                nodes, first, rest, whole = [], [], [[] for _ in range(1, orders)], []
+                nodes, first, rest = [], [], [[] for _ in range(1, orders)]
                 for s in sets:
                     node, own = node_of(s), None
                     nodes.append(node)
@@ -168,23 +168,40 @@ def describe(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders
                         p = p[in_bloom(bloom.value, p)]
                         own = p.view(np.int64) if len(p) else None
                     first.append(own)
-                    whole.append(None if own is None else s.view(np.int64))
                     for k, r in enumerate(rest):
                         r.append(None if own is None else (prefix(s, levels.value, k + 1, percent) >> U(32)).astype(np.uint32).view(np.int32))
                 cols = {"doc_id": block.column("doc_id"), "key": block.column("key"), "node": pa.array(nodes, pa.int64()),
                         "n": pa.array([len(s) for s in sets], pa.int64()), "p0": _lists(first, pa.int64()),
-                        **{f"p{k + 1}": _lists(r, pa.int32()) for k, r in enumerate(rest)}, "tokens": _lists(whole, pa.int64())}
+                        **{f"p{k + 1}": _lists(r, pa.int32()) for k, r in enumerate(rest)}}
                 yield pa.record_batch(cols)
 
-    more = "".join(f"p{k} array<int>, " for k in range(1, orders))
-    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(rows, f"doc_id {kind}, key long, node long, n long, p0 array<long>, {more}tokens array<long>")
+    more = "".join(f", p{k} array<int>" for k in range(1, orders))
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(rows, f"doc_id {kind}, key long, node long, n long, p0 array<long>{more}")
 
 
 def compatible(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, percent: int, orders: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, tokens) of the wanted nodes; a few unwanted ones may come along."""
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted))
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for _, sets in shingle_sets(batch, width):
+                nodes = np.array([node_of(s) for s in sets], np.int64)
+                own = [i for i in np.flatnonzero(in_bloom(bloom.value, nodes.view(U))).tolist() if len(sets[i]) and nodes[i] not in seen]
+                own = list({int(nodes[i]): i for i in own}.values())
+                if len(seen) < 1_000_000:
+                    seen.update(nodes[own].tolist())
+                yield pa.record_batch({"node": pa.array(nodes[own], pa.int64()), "tokens": _lists([sets[i].view(np.int64) for i in own], pa.int64())})
+
+    return docs.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
+
+
+def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
     """The pairs (a, b) that pass the filters of all further orders and the exact test."""
     keys = [f"p{k}" for k in range(1, orders)]
     one = nodes.select(F.col("node").alias("a"), F.struct(*keys).alias("pa"))
@@ -193,9 +210,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, percent: int, orders: int) -> Dat
     for k in keys:
         kept = kept.where(F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]))
     kept = saved(kept.select("a", "b"), "join-candidates")
-    one = nodes.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    two = nodes.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-    both = kept.join(one, "a").join(two, "b")
+    wanted = saved(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-wanted")
+    sets = saved(sets_of(docs, wanted, width), "join-sets")
+    both = (kept.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
     same = F.size(F.array_intersect("ta", "tb"))
     return both.where(same * 100 >= (F.size("ta") + F.size("tb") - same) * percent).select("a", "b")
 
@@ -234,7 +252,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     beside = posts.withColumn("near", F.explode(F.array("size_class", F.col("size_class") + 1)))
     stars = beside.join(centers, ["token", "near"]).where((F.col("node") != F.col("center")) & compatible(F.col("n"), F.col("center_n"), percent))
     stars = saved(stars.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct(), "stars")
-    links = saved(verify(stars, nodes, percent, orders), "star-links")
+    links = saved(verify(docs, stars, nodes, width, percent, orders), "star-links")
     found = components(spark, links)
 
     # round 2: per token only nodes of different components are still open
@@ -247,7 +265,8 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
     two = still.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     rest = (one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(F.col("na"), F.col("nb"), percent))
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = saved(verify(saved(rest, "rest"), nodes, percent, orders), "rest-links")
+    rest = saved(rest, "rest")
+    more = rest if rest.isEmpty() else saved(verify(docs, rest, nodes, width, percent, orders), "rest-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(spark, links)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, secret_index, simhash_decontamination, substring_dedup, token_output
+from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, pseudo_likelihood, secret_index, simhash_decontamination, substring_dedup, token_output
 from dayspan.llm.common import documents
 
 
@@ -35,6 +35,11 @@ def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net, tokens = pseudo_likelihood.fit(documents(spark, sf_dir))
+    return pseudo_likelihood.score(tokens, net)
+
+
 def op5_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -62,7 +67,7 @@ def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_curriculum_mixing, op3_seed_extend, op5_simhash_windows, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_curriculum_mixing, op3_seed_extend, op4_masked_likelihood, op5_simhash_windows, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
                                      op9_trigram_secrets, op10_multi_order_jaccard)}
 
 ORACLE: dict[str, str] = {}

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm import chunk_dedup, compression_quality, hyper_language, mixing, ngram_join, pseudo_likelihood, secret_index, simhash_decontamination, substring_dedup, token_output
+from dayspan.llm import (
+    chunk_dedup,
+    compression_quality,
+    hyper_language,
+    mixing,
+    ngram_join,
+    pseudo_likelihood,
+    secret_index,
+    simhash_decontamination,
+    substring_dedup,
+    token_output,
+)
 from dayspan.llm.common import documents
 
 
@@ -67,8 +78,9 @@ def op10_multi_order_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_curriculum_mixing, op3_seed_extend, op4_masked_likelihood, op5_simhash_windows, op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes,
-                                     op9_trigram_secrets, op10_multi_order_jaccard)}
+QUERIES = {f.__name__: f for f in (
+    op1_wavelet_tokens, op2_curriculum_mixing, op3_seed_extend, op4_masked_likelihood, op5_simhash_windows,
+    op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes, op9_trigram_secrets, op10_multi_order_jaccard)}
 
 ORACLE: dict[str, str] = {}
 ORACLE["op8_chunk_recipes"] = r"""

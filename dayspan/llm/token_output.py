@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -102,14 +103,13 @@ def encoder(path: str, end_id: int) -> Encoder:
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None,
-                 shard_tokens: int = SHARD_TOKENS, in_order: bool = False) -> DataFrame:
-    """Encode and write; returns the manifest: path, part, seq, n_docs, n_tokens,
-    start (tokens before the shard). ``in_order`` keeps the rows' present
-    partitions and order (documents already in training order)."""
+                 shard_tokens: int = SHARD_TOKENS, order: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Encode and write in the order of the given columns; returns the manifest:
+    path, part, seq, n_docs, n_tokens, start (tokens before the shard)."""
     folder = folder or shared_folder(docs.sparkSession, "tokens")
-    rows = docs.select("doc_id", "text")
-    if not in_order:
-        rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    by = [F.col(c) for c in order]
+    rows = docs.select("doc_id", "text", F.struct(*by).alias("place")).repartitionByRange("place")
+    rows = rows.sortWithinPartitions("place", F.xxhash64("text")).select("doc_id", "text")
 
     def run(batches):
         tool, part, seq = encoder(tokenizer_path, end_id), TaskContext.get().partitionId(), 0

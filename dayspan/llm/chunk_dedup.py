@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,10 @@ def cut_points(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     n = len(data)
     values = _TABLE[data]
     rolling = np.zeros(n, np.uint64)
-    for i in range(GRAM):  # gear hash: older bytes are shifted further
+    for i in range(GRAM if n >= GRAM else 0):  # gear hash: older bytes are shifted further
         rolling[GRAM - 1:] += values[GRAM - 1 - i: n - i] << np.uint64(i)
     mask = np.uint64((MEAN_CHUNK - 1) << (GRAM - 11))
-    hits = np.flatnonzero((rolling & mask) == 0) + 1
+    hits = np.flatnonzero((rolling & mask) == 0) + 1  # ends of the grams; the first GRAM - 1 bytes have none
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         own = hits[np.searchsorted(hits, a + GRAM): np.searchsorted(hits, b)]
@@ -76,7 +77,7 @@ def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             whole = raw.to_pybytes()[offsets[0]: offsets[-1]] if raw is not None else b""
             offsets = offsets - offsets[0]
             ends = cut_points(np.frombuffer(whole, np.uint8), offsets)
-            yield block, [[whole[a + x: a + y] for x, y in zip([0, *e[:-1].tolist()], e.tolist(), strict=True)]
+            yield block, [[whole[a + x: a + y] for x, y in pairwise([0, *e.tolist()])]
                           for a, e in zip(offsets[:-1].tolist(), ends, strict=True)]
 
 

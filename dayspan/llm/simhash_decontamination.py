@@ -45,7 +45,7 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, U)
     total = np.concatenate([np.zeros(1, U), np.cumsum(words * powers(_Q, len(words)))])
     sums = (total[n:] - total[:-n]) * powers(pow(_Q, -1, 2**64), len(words))[: len(words) - n + 1]
-    return mix(sums + U(n * 0xD6E8FEB86659FD93 & (2**64 - 1)))
+    return mix(sums + U(int(n) * 0xD6E8FEB86659FD93 % 2**64))
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:

@@ -38,9 +38,13 @@ def ratio(num: str | Column, den: str | Column) -> Column:
 
 
 def hash_key(cols: Sequence[str | Column]) -> Column:
-    """Text key of one or more columns, the input of the md5 coins."""
-    cols = [as_col(c).cast("string") for c in cols]
-    return cols[0] if len(cols) == 1 else F.concat_ws("|", *cols)
+    """Text key of one or more columns, the input of the md5 coins.
+
+    Each column is written as ``length:text``, a null as ``n``, so that two
+    keys share a text only if they are equal column by column.
+    """
+    parts = [as_col(c).cast("string") for c in cols]
+    return F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("n")) for c in parts])
 
 
 def hash_unit(cols: Sequence[str | Column], salt: str = "") -> Column:

@@ -2,8 +2,8 @@
 an exact-size undersample.
 
 Per-class constants come from the label histogram, whose size is the number
-of classes; it is broadcast after a size check. No per-class loop, no union
-of per-class samples, no driver collect.
+of classes; totals over it are scalar subqueries. No per-class loop, no union
+of per-class samples, no driver collect, no window over all classes.
 """
 
 from __future__ import annotations
@@ -14,24 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.columns import hash_key, hash_unit
-from dayspan.operators.joins import bounded_broadcast
 from dayspan.sources.tables import materialize
 
-MAX_CLASSES = 100_000
-
 
 def label_histogram(df: DataFrame, label: str) -> DataFrame:
-    """label, n, total, classes, share. The window over the histogram spans
-    one row per class only."""
+    """label, n, total, classes, share. The totals come from a scalar
+    subquery over the histogram (pre-aggregated, one row)."""
     h = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    every = Window.partitionBy()
-    return h.withColumn("total", F.sum("n").over(every)) \
-            .withColumn("classes", F.count(F.lit(1)).over(every)) \
+    every = h.agg(F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))).scalar()
+    return h.withColumn("total", every.getField("total")).withColumn("classes", every.getField("classes")) \
             .withColumn("share", F.col("n") / F.col("total"))
 
 
 def _attach(df: DataFrame, per_class: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    small = bounded_broadcast(per_class.select(F.col(label).alias("__lbl"), *cols), MAX_CLASSES)
+    small = per_class.select(F.col(label).alias("__lbl"), *cols)
     return df.join(small, df[label].eqNullSafe(small["__lbl"]), "left").drop("__lbl")
 
 
@@ -49,8 +45,7 @@ def sqrt_rates(df: DataFrame, label: str, out: str = "rate") -> DataFrame:
     """Per class: ``sqrt(max_share / share)`` -- the majority keeps its size,
     rarer classes are replicated up by the square root of the imbalance."""
     h = label_histogram(df, label)
-    return h.withColumn(out, F.sqrt(F.max("share").over(Window.partitionBy()) / F.col("share"))) \
-            .select(label, out)
+    return h.withColumn(out, F.sqrt(h.agg(F.max("share")).scalar() / F.col("share"))).select(label, out)
 
 
 def replicate(df: DataFrame, rate: Column | str, key: Sequence[str], salt: str = "resample",
@@ -83,28 +78,31 @@ def resample(df: DataFrame, label: str, key: Sequence[str], rates: Mapping[objec
 
 def balance_exact(df: DataFrame, label: str, key: Sequence[str], levels: int = 3, width: int = 4) -> DataFrame:
     """Undersample every class to exactly the size of the smallest, keeping
-    per class the rows with the smallest md5 of the key.
-
-    Without a per-class sort: the md5 hex is read ``width`` digits at a time.
-    At each level a histogram of (class, bucket) counts -- at most 16^width
-    rows per class -- locates the bucket holding the cut; rows below it are
-    kept, rows above dropped, and only the rows inside it go to the next
-    level. After ``levels`` levels the few rows left at the cut are ranked by
-    their full md5 (and key text, for equal keys).
+    per class the rows with the smallest md5 of the key, then (rows that share
+    a key) the smallest md5 of the whole row.
+
+    Without a per-class sort: the md5 hex is read ``width`` digits at a time,
+    ``levels`` times for the key (then its rest at once, for the few keys that
+    agree so far) and as often for the row. At each level a
+    histogram of (class, bucket) counts -- at most 16^width rows per class --
+    locates the bucket holding the cut; rows below it are kept, rows above
+    dropped, and only the rows inside it go to the next level. What is left at
+    the cut are equal rows or a few whose digests agree so far; they are ranked
+    as distinct rows with their counts, so a key that many rows share never
+    gathers in one task.
     """
-    h = F.md5(hash_key(key))
-    base = df.withColumn("__h", h)
-    need = label_histogram(base, label).select(
-        label, F.min("n").over(Window.partitionBy()).alias("__need"))
-    base = _attach(base, need, label, ["__need"])
-    # rows of the class below the current bucket; the frame is read once per
-    # level, so it is materialised in the shared checkpoint folder first
-    base = materialize(base.withColumn("__lo", F.lit(0).cast("long")), "balance-base")
+    cols = df.columns
+    base = df.withColumn("__h", F.concat(F.md5(hash_key(key)), F.md5(hash_key(cols))))
+    sizes = base.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    base = base.withColumn("__need", sizes.agg(F.min("n")).scalar())
+    # the frame is read once per level, so it is materialised in the shared
+    # checkpoint folder first; __lo: rows of the class below the current bucket
+    pending = materialize(base.withColumn("__lo", F.lit(0).cast("long")), "balance-base")
     kept_parts = []
-    pending = base
-    for lvl in range(levels):
-        b = F.substring(F.col("__h"), lvl * width + 1, width)
-        pending = pending.withColumn("__b", b)
+    digits = [(i * width, width) for i in range(levels)]
+    # the key's digits level by level, then all that are left of it, then the row's
+    for at, n in [*digits, (levels * width, 32 - levels * width), *[(32 + a, n) for a, n in digits]]:
+        pending = pending.withColumn("__b", F.substring(F.col("__h"), at + 1, n))
         counts = pending.groupBy(label, "__lo", "__need", "__b").agg(F.count(F.lit(1)).alias("__c"))
         w = Window.partitionBy(label).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         counts = counts.withColumn("__before", F.col("__lo") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
@@ -114,14 +112,15 @@ def balance_exact(df: DataFrame, label: str, key: Sequence[str], levels: int = 3
         tagged = pending.join(c, [pending[label].eqNullSafe(c["__cl"]), pending["__b"] == c["__cb"]], "inner") \
                         .drop("__cl", "__cb")
         kept_parts.append(tagged.where(F.col("__state") == 0))
-        # rows inside the cut bucket: about rows / 16^width per class
+        # rows inside the cut bucket: about rows / 16^width per class and level
         pending = tagged.where(F.col("__state") == 1) \
                         .withColumn("__lo", F.col("__before")).drop("__before", "__state", "__b")
         pending = materialize(pending, "balance-pending")
-    rank = Window.partitionBy(label).orderBy("__h", hash_key(key))
-    last = pending.withColumn("__r", F.col("__lo") + F.row_number().over(rank)) \
-                  .where(F.col("__r") <= F.col("__need")).drop("__r")
-    cols = df.columns
+    alike = pending.groupBy(*pending.columns).agg(F.count(F.lit(1)).alias("__c"))
+    rank = Window.partitionBy(label).orderBy("__h").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("__need") - F.col("__lo") - F.coalesce(F.sum("__c").over(rank), F.lit(0))
+    last = alike.withColumn("__n", F.least(F.col("__c"), left)).where(F.col("__n") > 0) \
+                .withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     out = last.select(*cols)
     for p in kept_parts:
         out = out.unionByName(p.select(*cols))

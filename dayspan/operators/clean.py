@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dayspan.functions.columns import as_col, blank
-from dayspan.operators.joins import bounded_broadcast
 
 
 def drop_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -128,20 +127,18 @@ def build_mapping(defaults: DataFrame, overrides: DataFrame) -> DataFrame:
     return kept.unionByName(overrides.select("category", "raw", "canonical"))
 
 
-def recode(df: DataFrame, mapping: DataFrame, bindings: Mapping[str, str],
-           max_mapping_rows: int = 1_000_000) -> DataFrame:
+def recode(df: DataFrame, mapping: DataFrame, bindings: Mapping[str, str]) -> DataFrame:
     """Replace coded values through the dictionary; unknown values pass.
 
     ``bindings`` maps a column to its category. A raw value listed twice in
-    a category keeps its smallest canonical value. The mapping is broadcast when
-    it has at most ``max_mapping_rows`` rows (checked), else shuffle-joined.
+    a category keeps its smallest canonical value. The planner broadcasts the
+    mapping if its measured size allows (adaptive execution), else it shuffles.
     """
     out = df
     for col, cat in bindings.items():
         # one canonical value per raw value, so the join never multiplies rows
         m = mapping.where(F.col("category") == cat).groupBy(F.col("raw").alias("__raw")) \
                    .agg(F.min("canonical").alias("__canon"))
-        m = bounded_broadcast(m, max_mapping_rows)
         out = out.join(m, out[col] == m["__raw"], "left") \
                  .withColumn(col, F.coalesce(F.col("__canon"), F.col(col))) \
                  .drop("__raw", "__canon")

@@ -24,9 +24,9 @@ def accuracy(scored: DataFrame, label: str = "label", prediction: str = "predict
 
 
 def auc(spark: SparkSession, scored: DataFrame, label: str = "label", raw: str = "rawPrediction") -> DataFrame:
-    """Area under the ROC curve (Spark's evaluator, distributed sort and
-    binning), as a one-row frame."""
-    v = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC").evaluate(scored)
+    """Area under the ROC curve (Spark's evaluator, distributed sort, every
+    distinct score a point), as a one-row frame."""
+    v = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=raw, metricName="areaUnderROC", numBins=0).evaluate(scored)
     return spark.createDataFrame([(float(v),)], "auc double")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dayspan.functions.columns import as_col, days_inclusive, guarded_greatest, guarded_least, ratio
+from dayspan.sources.tables import materialize
 
 
 def _lit_date(x) -> Column:
@@ -70,6 +71,7 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
     and whose spans overlap (touching ends count). The overlap, clipped to both
     spans, is added as ``out_span`` (null for an unmatched left row).
 
+    A span with a null bound or with its end before its start overlaps nothing.
     Right columns other than the keys are renamed with ``right_prefix``.
     Planned as a sort-merge (or AQE broadcast) join on the keys with the
     range test as residual; for keys with many spans see
@@ -78,7 +80,7 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
     ls, le = left_span
     r = right.select(*on, *[F.col(c).alias(right_prefix + c) for c in right.columns if c not in on])
     rs, re_ = right_prefix + right_span[0], right_prefix + right_span[1]
-    cond = [left[k] == r[k] for k in on] + [r[rs] <= left[le], r[re_] >= left[ls]]
+    cond = [left[k] == r[k] for k in on] + [r[rs] <= left[le], r[re_] >= left[ls], left[ls] <= left[le], r[rs] <= r[re_]]
     joined = left.join(r, cond, how)
     keep = [left[c] for c in left.columns] + [r[c] for c in r.columns if c not in on]
     return joined.select(*keep, *_overlap_columns(left[ls], left[le], r[rs], r[re_], *out_span))
@@ -88,11 +90,20 @@ def _month_index(d: Column) -> Column:
     return F.year(d) * 12 + F.month(d) - 1
 
 
+def month_pieces(df: DataFrame, start: str, end: str, low, high, out: str) -> DataFrame:
+    """One row for each calendar month that a span shares with ``[low, high]``
+    (month index in ``out``); spans that are null, inverted or outside yield none."""
+    valid = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(start) <= F.col(end)))
+    m0 = F.greatest(_month_index(F.col(start)), _month_index(_lit_date(low)))
+    m1 = F.least(_month_index(F.col(end)), _month_index(_lit_date(high)))
+    return valid.withColumn("__m0", m0).withColumn("__m1", m1).where(F.col("__m0") <= F.col("__m1")) \
+                .withColumn(out, F.explode(F.sequence(F.col("__m0"), F.col("__m1")))).drop("__m0", "__m1")
+
+
 def interval_overlap_join_bucketed(left: DataFrame, right: DataFrame, on: Sequence[str],
-                                   left_span: tuple[str, str], right_span: tuple[str, str],
-                                   left_id: Sequence[str], how: str = "left", right_prefix: str = "r_",
-                                   out_span: tuple[str, str] = ("overlap_start", "overlap_end"),
-                                   clamp=False) -> DataFrame:
+                                   left_span: tuple[str, str], right_span: tuple[str, str], clamp: tuple,
+                                   how: str = "left", right_prefix: str = "r_",
+                                   out_span: tuple[str, str] = ("overlap_start", "overlap_end")) -> DataFrame:
     """Same result as ``interval_overlap_join``, skew-safe.
 
     Both sides are split into calendar months; the equi-join runs on the keys
@@ -100,56 +111,39 @@ def interval_overlap_join_bucketed(left: DataFrame, right: DataFrame, on: Sequen
     it has months, and only spans sharing a month are compared. Each pair is
     kept once: in the month where the overlap starts.
 
-    ``clamp`` limits the months a span is split into, so that a sentinel end
-    such as 9999-12-31 does not explode: ``(low, high)`` dates known to bound
-    every overlap (e.g. the observation window the spans were clipped to),
-    or ``True`` for the dates both inputs cover, found by one scalar
-    subquery per input (an extra pass; meant for materialized inputs). Both
-    are exact, since the overlap start always lies inside. For ``how='left'``
-    the left rows without partner (found by an anti join on ``left_id``, a
-    unique key of ``left``) are added back with null partner columns.
+    ``clamp`` is the ``(low, high)`` date range known to hold every overlap
+    (e.g. the observation window the spans were clipped to); spans are split
+    within it only, so a sentinel end such as 9999-12-31 does not explode.
+
+    For ``how='left'`` the left rows get an identity of their own in a stage
+    table (no column of ``left`` need be unique), the pairs are built once as
+    a second stage table, and the rows that it lacks are added back with null
+    partner columns.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
     ls, le = left_span
-    right_cols = [c for c in right.columns if c not in on]
+    cols, right_cols = left.columns, [c for c in right.columns if c not in on]
     rkey = {k: f"__rk{i}" for i, k in enumerate(on)}
     r = right.select(*[F.col(k).alias(rkey[k]) for k in on], *[F.col(c).alias(right_prefix + c) for c in right_cols])
     rs, re_ = right_prefix + right_span[0], right_prefix + right_span[1]
-    first = last = None
-    if clamp is True:
-        lbounds = left.agg(F.struct(F.min(ls).alias("lo"), F.max(le).alias("hi"))).scalar()
-        rbounds = right.agg(F.struct(F.min(right_span[0]).alias("lo"), F.max(right_span[1]).alias("hi"))).scalar()
-        first = F.greatest(_month_index(lbounds.getField("lo")), _month_index(rbounds.getField("lo")))
-        last = F.least(_month_index(lbounds.getField("hi")), _month_index(rbounds.getField("hi")))
-    elif clamp:
-        first, last = _month_index(_lit_date(clamp[0])), _month_index(_lit_date(clamp[1]))
-
-    def months(df: DataFrame, s: str, e: str, out: str) -> DataFrame:
-        valid = df.where(F.col(s).isNotNull() & F.col(e).isNotNull() & (F.col(s) <= F.col(e)))
-        m0, m1 = _month_index(F.col(s)), _month_index(F.col(e))
-        if first is not None:
-            m0, m1 = F.greatest(m0, first), F.least(m1, last)
-        return valid.withColumn("__m0", m0).withColumn("__m1", m1).where(F.col("__m0") <= F.col("__m1")) \
-                    .withColumn(out, F.explode(F.sequence(F.col("__m0"), F.col("__m1")))).drop("__m0", "__m1")
-
-    lb, rb = months(left, ls, le, "__lm"), months(r, rs, re_, "__rm")
+    if how == "left":
+        left = materialize(left.withColumn("__row", F.monotonically_increasing_id()), "overlap-left")
+    lb, rb = month_pieces(left, ls, le, *clamp, "__lm"), month_pieces(r, rs, re_, *clamp, "__rm")
     cond = [F.col(k) == F.col(rkey[k]) for k in on] + [
         F.col("__lm") == F.col("__rm"), F.col(rs) <= F.col(le), F.col(re_) >= F.col(ls)]
-    pairs = lb.join(rb, cond, "inner").where(
-        _month_index(guarded_greatest(F.col(ls), F.col(rs))) == F.col("__lm"))
-    matched = pairs.select(*left.columns, *[right_prefix + c for c in right_cols],
-                           *_overlap_columns(F.col(ls), F.col(le), F.col(rs), F.col(re_), *out_span))
+    # the overlap may start before the range: it then counts in the range's first month
+    starts = F.greatest(_month_index(guarded_greatest(F.col(ls), F.col(rs))), _month_index(_lit_date(clamp[0])))
+    pairs = lb.join(rb, cond, "inner").where(starts == F.col("__lm"))
+    overlap = _overlap_columns(F.col(ls), F.col(le), F.col(rs), F.col(re_), *out_span)
+    partner = [right_prefix + c for c in right_cols]
     if how == "inner":
-        return matched
-    ids = matched.select(*left_id).distinct()
-    lone = left.join(ids, list(left_id), "left_anti")
-    r_types = dict(r.dtypes)
-    lone = lone.select(*left.columns,
-                       *[F.lit(None).cast(r_types[right_prefix + c]).alias(right_prefix + c) for c in right_cols],
-                       F.lit(None).cast("date").alias(out_span[0]),
-                       F.lit(None).cast("date").alias(out_span[1]))
-    return matched.unionByName(lone)
+        return pairs.select(*cols, *partner, *overlap)
+    pairs = materialize(pairs.select("__row", *cols, *partner, *overlap), "overlap-pairs")
+    lone = left.join(pairs.select("__row"), "__row", "left_anti")
+    types = dict(pairs.dtypes)
+    lone = lone.select(*cols, *[F.lit(None).cast(types[c]).alias(c) for c in [*partner, *out_span]])
+    return pairs.select(*lone.columns).unionByName(lone)
 
 
 def overlap_days(df: DataFrame, start: str, end: str, out: str = "overlap_days") -> DataFrame:
@@ -157,6 +151,49 @@ def overlap_days(df: DataFrame, start: str, end: str, out: str = "overlap_days")
     return df.withColumn(out, F.when(F.col(start).isNull(), F.lit(0)).otherwise(days_inclusive(start, end)))
 
 
+def overlap_day_rows(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequence[str],
+                     row_span: tuple[str, str], event_span: tuple[str, str], clamp: tuple,
+                     label: str | None = None, day: str = "day") -> DataFrame:
+    """Distinct (row_id, day[, label]) for the days of a row's span that an
+    event of the same keys covers.
+
+    Joined by keys and month on narrow columns; only overlapping days are
+    expanded, after the join. ``clamp`` bounds every overlap.
+    """
+    (rs, re_), (es, ee) = row_span, event_span
+    left = month_pieces(rows.select(F.col(row_id).alias("__id"), *keys, F.col(rs).alias("__rs"), F.col(re_).alias("__re")),
+                        "__rs", "__re", *clamp, "__m")
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    text = [F.col(label).alias("__label")] if label else []
+    right = month_pieces(events.select(*names, F.col(es).alias("__es"), F.col(ee).alias("__ee"), *text),
+                         "__es", "__ee", *clamp, "__em")
+    first = F.make_date((F.col("__m") / 12).cast("int"), (F.col("__m") % 12 + 1).cast("int"), F.lit(1))
+    j = left.join(right, [*[F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)], F.col("__m") == F.col("__em"),
+                          F.col("__es") <= F.col("__re"), F.col("__ee") >= F.col("__rs")])
+    j = j.withColumn("__a", F.greatest("__rs", "__es", first)).withColumn("__b", F.least("__re", "__ee", F.last_day(first)))
+    j = j.where(F.col("__a") <= F.col("__b")).withColumn(day, F.explode(F.sequence("__a", "__b")))
+    return j.select(F.col("__id").alias(row_id), day, *([F.col("__label").alias(label)] if label else [])).distinct()
+
+
+def covered_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_span: tuple[str, str],
+                 event_span: tuple[str, str], clamp: tuple, label: str, row_id: str = "__row") -> DataFrame:
+    """``rows`` (a stage table with the unique ``row_id``) expanded to days.
+
+    Adds day, flag (1 if an event of the same keys covers the day) and the
+    sorted distinct non-blank labels of those events. The covered days of a
+    row are gathered in one map (at most the days of its span), joined to the
+    row, and the row is expanded after that last shuffle.
+    """
+    days = overlap_day_rows(rows, events, row_id, keys, row_span, event_span, clamp, label)
+    days = days.groupBy(row_id, "day").agg(F.array_sort(F.collect_set(F.when(F.trim(F.col(label)) != "", F.col(label)))).alias("__labels"))
+    per_row = days.groupBy(F.col(row_id).alias("__id")).agg(
+        F.map_from_entries(F.collect_list(F.struct("day", "__labels"))).alias("__covered"))
+    out = rows.join(per_row, F.col(row_id) == F.col("__id"), "left").drop("__id")
+    out = expand_days(out, *row_span, "day").withColumn("__labels", F.try_element_at("__covered", F.col("day")))
+    return out.withColumn("flag", F.when(F.col("__labels").isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
+              .withColumnRenamed("__labels", "labels").drop("__covered")
+
+
 def expand_days(df: DataFrame, start: str, end: str, out: str = "day") -> DataFrame:
     """One row per calendar day of ``[start, end]``.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dayspan.functions.columns import ratio
 from dayspan.operators.clean import cap_date, fill_blank, fill_null, presence_flag, case_label
 from dayspan.operators.groups import group_size, group_value, previous_end
-from dayspan.operators.intervals import (clip_span, interval_overlap_join_bucketed, overlap_days,
+from dayspan.operators.intervals import (clip_span, interval_overlap_join_bucketed, overlap_day_rows, overlap_days,
                                          repair_open_ended, span_days)
 from dayspan.plans.spans import KEYS, SPAN, kept_absences
 from dayspan.sources import fixtures as fx
@@ -24,16 +24,11 @@ from dayspan.sources.tables import materialize as materialize_table
 
 BLANK_DEFAULTS = {"cost_center": "undefined", "category": "undefined"}
 CONCURRENT_KEYS = ["worker_id", "span_start", "span_end"]
-BIRTH_BASE = dt.date(1950, 1, 1)
+ROW = "__row"
 # spans are clipped to the window, so every overlap lies inside it
 WINDOW = (fx.WINDOW_START, fx.WINDOW_END)
 
 
-def birth_date(worker_id: str = "worker_id"):
-    """Stand-in birth date derived from the worker id (1950 .. 1982)."""
-    return F.date_add(F.lit(BIRTH_BASE), (F.col(worker_id) % 12000).cast("int"))
-
-
 def dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in dependents: one per line item of a contract (order).
 
@@ -55,12 +50,14 @@ def dependent_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return case_label(d, "relation", "has_dependent", "some", "none", out="relation_label")
 
 
-def prepare_contracts(contracts: DataFrame, as_of) -> DataFrame:
-    """Blank defaults, hire date default, previous end and open-ended repair
-    on any contract table with the columns of ``fixtures.contracts``."""
+def prepare_contracts(contracts: DataFrame, as_of, keys=KEYS) -> DataFrame:
+    """Blank defaults, hire date default, previous end per ``keys`` and
+    open-ended repair on any contract table with the columns of
+    ``fixtures.contracts``. The defaulted contracts are a stage table, read
+    for the previous ends and again for the rows."""
     c = fill_blank(contracts, BLANK_DEFAULTS)
-    c = fill_null(c, {"hire_date": F.col("start_date")})
-    c = previous_end(c, KEYS, "end_date", as_of, "prev_end")
+    c = materialize_table(fill_null(c, {"hire_date": F.col("start_date")}), "contracts")
+    c = previous_end(c, keys, "end_date", as_of, "prev_end")
     return repair_open_ended(c, "start_date", "end_date", "prev_end", out="eff_start")
 
 
@@ -75,24 +72,32 @@ def curated_spans(spark: SparkSession, sf_dir: str, materialize: bool = False,
     absences; absences already clipped to the window give the same totals,
     since every span lies inside the window."""
     absences = absences if absences is not None else kept_absences(spark, sf_dir)
-    return curate_spans(fx.contracts(spark, sf_dir), absences, WINDOW, fx.AS_OF, materialize)
+    return curate_spans(fx.contracts(spark, sf_dir), absences, WINDOW, fx.AS_OF, materialize=materialize)
 
 
-def curate_spans(contracts: DataFrame, absences: DataFrame, window=None, as_of=None,
-                 materialize: bool = False) -> DataFrame:
-    """Stage 1 on any contract and absence tables (columns as in
-    ``fixtures.contracts`` / ``fixtures.absences``), with the observation
-    window and as-of date as arguments."""
-    window = window or WINDOW
-    as_of = as_of or fx.AS_OF
-    c = prepare_contracts(contracts, as_of)
+def curate_spans(contracts: DataFrame, absences: DataFrame, window, as_of, keys=KEYS,
+                 concurrent_keys=CONCURRENT_KEYS, totals: str = "sum", materialize: bool = False) -> DataFrame:
+    """Stage 1 on any contract and absence tables with the columns of
+    ``fixtures.contracts`` / ``fixtures.absences``, which pass through as they
+    are (birth date included).
+
+    ``window`` (first, last day) and ``as_of`` are the caller's; ``keys`` are
+    the columns that tie an absence to a contract (e.g. also cost centre, order
+    and contract) and group the previous ends; ``concurrent_keys`` those that
+    group concurrent assignments. ``totals``: see ``absence_totals``.
+    """
+    if window is None or as_of is None:
+        raise ValueError("window and as_of are required")
+    c = prepare_contracts(contracts, as_of, keys)
     c = clip_span(c, "eff_start", "end_date", window[0], window[1], *SPAN)
     c = span_days(c, *SPAN, "span_days")
     c = cap_date(c, "hire_date", "span_start")
-    c = group_size(c, CONCURRENT_KEYS, "concurrent")
-    c = c.withColumn("birth_date", birth_date())
-    totals = absence_totals(c, absences, window)
-    c = c.join(totals, "contract_id", "left") \
+    # the spans are a stage table with an identity of their own, read for the
+    # concurrent counts, the totals and the rows
+    c = materialize_table(c.withColumn(ROW, F.monotonically_increasing_id()), "spans")
+    t = absence_totals(c, absences, window, keys, totals)
+    c = group_size(c, concurrent_keys, "concurrent")
+    c = c.join(t.withColumnRenamed(ROW, "__row2"), F.col(ROW) == F.col("__row2"), "left").drop(ROW, "__row2") \
          .withColumn("total_absence_days", F.coalesce(F.col("total_absence_days"), F.lit(0).cast("long"))) \
          .withColumn("total_absence_share", F.round(ratio("total_absence_days", "span_days"), 6))
     return materialize_table(c, "curated-spans") if materialize else c
@@ -102,27 +107,34 @@ def overlap_rows(spans: DataFrame, absences: DataFrame) -> DataFrame:
     """Every span with every absence of the same worker and division that
     overlaps it (left join), the clipped overlap and its days."""
     left = spans.select("contract_id", *KEYS, *SPAN, "span_days")
-    j = interval_overlap_join_bucketed(left, absences, KEYS, SPAN, ("start_date", "end_date"),
-                                       left_id=["contract_id"], how="left", clamp=WINDOW)
+    j = interval_overlap_join_bucketed(left, absences, KEYS, SPAN, ("start_date", "end_date"), WINDOW, how="left")
     return overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
 
 
-def absence_totals(spans: DataFrame, absences: DataFrame, window=None) -> DataFrame:
-    """contract_id, total_absence_days (overlapping absences are summed).
+def absence_totals(spans: DataFrame, absences: DataFrame, window, keys=KEYS, totals: str = "sum") -> DataFrame:
+    """``__row`` and total_absence_days of the spans (with that identity) that
+    any absence overlaps. ``sum`` adds the overlaps of all absences, so a day
+    under two absences counts twice; ``distinct_days`` counts it once.
     ``window`` bounds every span (they are clipped to it)."""
-    left = spans.select("contract_id", *KEYS, *SPAN)
-    j = interval_overlap_join_bucketed(left, absences, KEYS, SPAN, ("start_date", "end_date"),
-                                       left_id=["contract_id"], how="inner", clamp=window or WINDOW)
+    left = spans.select(ROW, *keys, *SPAN)
+    if totals == "distinct_days":
+        days = overlap_day_rows(left, absences, ROW, keys, SPAN, ("start_date", "end_date"), window)
+        return days.groupBy(ROW).agg(F.count(F.lit(1)).alias("total_absence_days"))
+    if totals != "sum":
+        raise ValueError("totals must be 'sum' or 'distinct_days'")
+    narrow = absences.select(*keys, "start_date", "end_date")
+    j = interval_overlap_join_bucketed(left, narrow, keys, SPAN, ("start_date", "end_date"), window, how="inner")
     j = overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
-    return j.groupBy("contract_id").agg(F.sum("overlap_days").cast("long").alias("total_absence_days"))
+    return j.groupBy(ROW).agg(F.sum("overlap_days").cast("long").alias("total_absence_days"))
 
 
 def contract_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap rows with the contract totals attached to each (D4)."""
+    """Overlap rows with the contract totals attached to each (D4). The rows
+    are a stage table, read once for the totals and once for the rows."""
     spans = fx.contracts(spark, sf_dir)
     spans = span_days(clip_span(spans, "start_date", "end_date", fx.WINDOW_START, fx.WINDOW_END, *SPAN),
                       *SPAN, "span_days")
-    rows = overlap_rows(spans, kept_absences(spark, sf_dir))
+    rows = materialize_table(overlap_rows(spans, kept_absences(spark, sf_dir)), "overlap-rows")
     rows = group_value(rows, ["contract_id"], F.sum("overlap_days").cast("long"), "total_absence_days")
     return rows.withColumn("total_absence_share", F.round(ratio("total_absence_days", "span_days"), 6))
 
@@ -137,7 +149,7 @@ CURATED_SQL = f"""
 c1 as (select contract_id, worker_id, division,
          case when trim(cost_center) = '' then 'undefined' else cost_center end as cost_center,
          case when trim(category) = '' then 'undefined' else category end as category,
-         contract_type, start_date, end_date, coalesce(hire_date, start_date) as hire_date, amount
+         contract_type, start_date, end_date, coalesce(hire_date, start_date) as hire_date, birth_date, amount
        from contracts),
 pe as (select worker_id, division,
               max(case when end_date <= {_d(fx.AS_OF)} then end_date end) + 1 as prev_end
@@ -152,8 +164,7 @@ c3 as (select *, case when eff_start < {_d(fx.WINDOW_START)} then {_d(fx.WINDOW_
        from c2),
 c4 as (select * replace (case when hire_date > span_start then span_start else hire_date end as hire_date),
               cast(datediff('day', span_start, span_end) + 1 as int) as span_days,
-              count(*) over (partition by worker_id, span_start, span_end) as concurrent,
-              {_d(BIRTH_BASE)} + cast(worker_id % 12000 as int) as birth_date
+              count(*) over (partition by worker_id, span_start, span_end) as concurrent
        from c3 where span_start <= span_end),
 tot as (select c4.contract_id,
                cast(sum(datediff('day', greatest(c4.span_start, a.start_date), least(c4.span_end, a.end_date)) + 1)

@@ -1,7 +1,8 @@
 """Stage 2: the day matrix, one row per contract and calendar day.
 
-Curated spans are expanded to days and joined on worker, division and day to
-the absences folded per day (no range join at day level). Then: share per
+Curated spans meet the absences by worker, division and month on narrow rows;
+the covered days of a span come back as one map, and the wide rows are expanded
+to days after that last shuffle. Then: share per
 concurrent assignment, age and tenure in days, holiday flag, calendar
 features and age/tenure bands whose cut points come from span-level min/max
 (exact, since age and tenure grow with the day along a span).
@@ -15,14 +16,15 @@ from pyspark.sql import functions as F
 from dayspan.functions.columns import guarded_greatest
 from dayspan.operators.bands import range_bands
 from dayspan.operators.calendar import calendar_features, elapsed_days, flag_periods
-from dayspan.operators.intervals import attach_day_flags, day_events, expand_days, share
+from dayspan.operators.intervals import covered_days, share
 from dayspan.operators.clean import exclude_values
 from dayspan.operators.intervals import clip_span
-from dayspan.plans.curation import curate_spans, curated_spans
+from dayspan.plans.curation import ROW, curate_spans, curated_spans
 from dayspan.plans.spans import KEYS, SPAN, clipped_absences
 from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import materialize
 
+# Youngest age in days, cut points of the age and tenure bands as fractions of their range.
 AGE_FLOOR = 16 * 365
 AGE_FRACTIONS = [(1, 6), (2, 6), (4, 6)]
 AGE_LABELS = ["band_1", "band_2", "band_3", "band_4"]
@@ -34,13 +36,15 @@ SPAN_COLS = ["contract_id", *KEYS, "cost_center", "category", "contract_type", *
              "hire_date", "birth_date", "concurrent", "total_absence_days", "total_absence_share"]
 
 
-def flagged_days(spans: DataFrame, absences: DataFrame) -> DataFrame:
+def flagged_days(spans: DataFrame, absences: DataFrame, window, keys=KEYS) -> DataFrame:
     """Contract-days with ``absent`` (0/1) and ``absence_class`` (sorted
-    distinct classes joined by ',', or ``no_absence``)."""
-    days = expand_days(spans, *SPAN, "day")
-    ev = day_events(absences, KEYS, "abs_start", "abs_end", "absence_class")
-    return attach_day_flags(days, ev, KEYS, "day", flag="absent", label="absence_class",
-                            default_label=NO_ABSENCE)
+    distinct classes joined by ',', or ``no_absence``). ``spans`` is a stage
+    table with the identity ``__row``; its wide rows are expanded to days after
+    the last shuffle."""
+    m = covered_days(spans, absences, keys, SPAN, ("abs_start", "abs_end"), window, "absence_class", ROW)
+    named = F.when(F.size("labels") > 0, F.array_join("labels", ",")).otherwise(F.lit(NO_ABSENCE))
+    return m.withColumn("absence_class", F.when(F.col("flag") == 1, named).otherwise(F.lit(NO_ABSENCE))) \
+            .withColumnRenamed("flag", "absent").drop("labels", ROW)
 
 
 def span_ranges(spans: DataFrame) -> dict:
@@ -83,13 +87,19 @@ def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,
     if spans is None:
         clipped = absences.select(*KEYS, "absence_class", F.col("abs_start").alias("start_date"),
                                   F.col("abs_end").alias("end_date"))
-        spans = curated_spans(spark, sf_dir, materialize=True, absences=clipped).select(*SPAN_COLS)
-    m = flagged_days(spans, absences)
+        spans = curated_spans(spark, sf_dir, absences=clipped)
+    spans = with_rows(spans)
+    m = flagged_days(spans, absences, (fx.WINDOW_START, fx.WINDOW_END))
     return day_features(m, spans, fx.holiday_periods(spark))
 
 
+def with_rows(spans: DataFrame) -> DataFrame:
+    """The spans as a stage table with an identity for each row."""
+    return materialize(spans.select(*SPAN_COLS).withColumn(ROW, F.monotonically_increasing_id()), "curated-spans")
+
+
 def build_day_matrix(contracts: DataFrame, absences: DataFrame, holidays: DataFrame, window, as_of,
-                     excluded=()) -> DataFrame:
+                     excluded=(), keys=KEYS) -> DataFrame:
     """Stages 1 and 2 on any contract, absence and holiday tables (columns as
     in ``fixtures``): absences of the ``excluded`` classes are dropped (a null
     class is kept), both tables are clipped to ``window``, stage-1 outputs are
@@ -98,7 +108,7 @@ def build_day_matrix(contracts: DataFrame, absences: DataFrame, holidays: DataFr
     kept = exclude_values(absences, "absence_class", excluded, keep_null=True)
     ab = materialize(clip_span(kept, "start_date", "end_date", window[0], window[1], "abs_start", "abs_end"),
                      "clipped-absences")
-    clipped = ab.select(*KEYS, "absence_class", F.col("abs_start").alias("start_date"),
+    clipped = ab.select(*keys, "absence_class", F.col("abs_start").alias("start_date"),
                         F.col("abs_end").alias("end_date"))
-    spans = curate_spans(contracts, clipped, window, as_of, materialize=True).select(*SPAN_COLS)
-    return day_features(flagged_days(spans, ab), spans, holidays)
+    spans = with_rows(curate_spans(contracts, clipped, window, as_of, keys))
+    return day_features(flagged_days(spans, ab, window, keys), spans, holidays)

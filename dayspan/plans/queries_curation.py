@@ -90,7 +90,7 @@ def q_hash_sample(spark, sf):
 
 register("hash_sample", q_hash_sample, """
 select contract_id, worker_id, start_date from contracts
-where cast(('0x' || substr(md5(cast(contract_id as varchar)), 1, 8)) as bigint) / 4294967296.0 < 0.1""",
+where cast(('0x' || substr(md5(length(cast(contract_id as varchar)) || ':' || cast(contract_id as varchar)), 1, 8)) as bigint) / 4294967296.0 < 0.1""",
          ("contracts",))
 
 

@@ -51,7 +51,7 @@ MATRIX_CTES = f"""
          from mdays d join mflags f on f.contract_id = d.contract_id and f.day = d.day)
 , ar as (select cast(min(age_days) as double) as lo, cast(max(age_days) as double) as hi,
                 cast(min(tenure_days) as double) as tlo, cast(max(tenure_days) as double) as thi from m0)
-, matrix as (select m0.*, {{age_case}} as age_band, {{tenure_case}} as tenure_band from m0, ar)
+, matrix as materialized (select m0.*, {{age_case}} as age_band, {{tenure_case}} as tenure_band from m0, ar)
 """
 
 
@@ -88,8 +88,7 @@ def day_flag_rows(spark, sf) -> DataFrame:
     which never expands pairs."""
     spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN)
     j = intervals.interval_overlap_join_bucketed(spans, kept_absences(spark, sf), KEYS, SPAN,
-                                                 ("start_date", "end_date"), left_id=["contract_id"],
-                                                 clamp=(fx.WINDOW_START, fx.WINDOW_END))
+                                                 ("start_date", "end_date"), (fx.WINDOW_START, fx.WINDOW_END))
     d = intervals.expand_days(j, *SPAN, "day")
     return intervals.flag_in_span(d, "day", "overlap_start", "overlap_end", "absent")
 

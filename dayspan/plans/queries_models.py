@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.functions.columns import hash_key
 from dayspan.operators import balance, evaluate, models
-from dayspan.operators.features import FeatureSpec, build_features, temporal_split
+from dayspan.operators.features import FeatureSpec, fit_features, temporal_split
 from dayspan.plans import training as tr
 from dayspan.plans.catalog import register
 from dayspan.plans.queries_days import with_matrix
@@ -19,7 +16,12 @@ from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import read_table, write_table
 
 UNIT = ["contract_id", "day"]
-KEY_SQL = "concat_ws('|', cast(contract_id as varchar), cast(day as varchar))"
+def key_sql(*cols: str) -> str:
+    """The text of ``hash_key`` in DuckDB."""
+    return " || ".join(f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), 'n')" for c in cols)
+
+
+KEY_SQL = key_sql("contract_id", "day")
 COIN_SQL = f"cast(('0x' || substr(md5({KEY_SQL} || 'resample'), 1, 8)) as bigint) / 4294967296.0"
 
 
@@ -176,43 +178,56 @@ from matrix m left join r_weekday a using (weekday)"""))
 
 
 # N4, N5 -- naive Bayes sufficient statistics (unweighted and class-weighted) ------------------
-def _nb_frame(spark, sf, weighted: bool):
+def _nb_model(spark, sf, weighted: bool):
     m = tr.model_frame(spark, sf)
     train, _ = tr.train_test(m)
-    weight = None
     if weighted:
         train = balance.class_weights(train, tr.LABEL, "weight")
-        weight = "weight"
-    model = models.train("naive_bayes", train, tr.NB_SPEC, weight=weight)
+    return m, models.train("naive_bayes", train, tr.SPEC, weight="weight" if weighted else None)
+
+
+def _nb_frame(spark, sf, weighted: bool):
+    _, model = _nb_model(spark, sf, weighted)
     nb = model.stages[-1]
-    labels = model.stages[0].stages[0].labelsArray[0]
-    names = [f"weekday={v}" for v in labels] + ["holiday"]
+    labels = model.stages[0].stages[0].labelsArray
+    names = [f"{c}={v}" for c, values in zip(tr.CATEGORICAL, labels, strict=True) for v in values] + [*tr.NUMERIC, "holiday_d"]
     pi, theta = nb.pi.toArray().tolist(), nb.theta.toArray().tolist()
     rows = [(float(c), names[j], float(pi[c]), float(theta[c][j])) for c in range(len(pi)) for j in range(len(names))]
     df = spark.createDataFrame(rows, "label double, feature string, log_prior double, log_theta double")
     return df.withColumn("log_prior", F.round("log_prior", 6)).withColumn("log_theta", F.round("log_theta", 6))
 
 
-def _nb_sql(weighted: bool) -> str:
+def _nb_ctes(weighted: bool) -> str:
+    """CTEs up to ``nb``: label, feature, log_prior, log_theta of the model on the training years."""
     w = "w" if weighted else "1.0"
-    wcte = f"""
+    wcte = """
 , cw as (select absent, (select count(*) from train) / ((select count(distinct absent) from train) * count(*)) as w
          from train group by absent)""" if weighted else ""
     tw = "train join cw using (absent)" if weighted else "train"
-    return with_matrix(f"""
-, train as (select * from matrix where year < {fx.TRAIN_BEFORE}){wcte}
-, ranked as (select weekday, row_number() over (order by n desc, weekday) - 1 as idx, count(*) over () as k
-             from (select weekday, count(*) as n from train group by weekday) x)
-, wk as (select absent, weekday, sum({w}) as s from {tw} group by absent, weekday)
-, per as (select w.absent, 'weekday=' || r.weekday as feature, w.s from ranked r join wk w using (weekday)
-
-          union all select absent, 'holiday', sum(holiday * {w}) from {tw} group by absent)
-, nbtot as (select absent, sum(s) as tot, count(*) as d from per group by absent)
+    std = ", ".join(f"stddev_samp({c}) as {d}" for d, c in tr.NUMERIC.items())
+    counted = " union all ".join(f"select absent, '{c}=' || {c} as feature, sum({w}) as s from {tw} where {c} is not null group by all"
+                                 for c in tr.CATEGORICAL)
+    summed = " union all ".join(f"select absent, '{d}', sum({c} * {w}) / nullif((select {d} from std), 0) from {tw} group by all"
+                                for d, c in tr.NUMERIC.items())
+    return f"""
+, train as materialized (select * from matrix where year < {fx.TRAIN_BEFORE}){wcte}
+, std as (select {std} from train)
+, sums as materialized ({counted} union all {summed}
+          union all select absent, 'holiday_d', sum(holiday * {w}) from {tw} group by all)
 , cls as (select absent, sum({w}) as n from {tw} group by absent)
-select cast(p.absent as double) as label, p.feature,
-       round(ln(c.n + 1.0) - ln((select sum(n) from cls) + (select count(*) from cls) * 1.0), 6) as log_prior,
-       round(ln(p.s + 1.0) - ln(t.tot + t.d * 1.0), 6) as log_theta
-from per p join nbtot t using (absent) join cls c using (absent)""")
+, per as (select cls.absent, f.feature, coalesce(sums.s, 0) as s from cls cross join (select distinct feature from sums) f
+          left join sums on sums.absent = cls.absent and sums.feature = f.feature)
+, nbtot as (select absent, sum(s) as tot, count(*) as d from per group by absent)
+, nb as materialized (
+    select cast(p.absent as double) as label, p.feature,
+           ln(c.n + 1.0) - ln((select sum(n) from cls) + (select count(*) from cls) * 1.0) as log_prior,
+           ln(p.s + 1.0) - ln(t.tot + t.d * 1.0) as log_theta
+    from per p join nbtot t using (absent) join cls c using (absent))"""
+
+
+def _nb_sql(weighted: bool) -> str:
+    return with_matrix(_nb_ctes(weighted) + """
+select label, feature, round(log_prior, 6) as log_prior, round(log_theta, 6) as log_theta from nb""")
 
 
 register("nb_statistics", lambda spark, sf: _nb_frame(spark, sf, False), _nb_sql(False))
@@ -294,13 +309,38 @@ select count(*) as days,
 from derr"""))
 
 
-# Rows-only: fitted pipelines and models ---------------------------------------------------------
+# O2 -- AUC of fixed scores, against the rank sum ------------------------------------------------
+def q_auc_stand_in(spark, sf):
+    s = _test_scored(spark, sf).select("label", F.col("total_absence_share").alias("score"))
+    return evaluate.auc(spark, s, "label", "score").select(F.round("auc", 6).alias("auc"))
+
+
+register("auc_stand_in", q_auc_stand_in, with_matrix(STAND_IN_SQL + """
+, ranked as (select label, rank() over (order by total_absence_share)
+                    + (count(*) over (partition by total_absence_share) - 1) / 2.0 as r from scored)
+select round((sum(r) filter (where label = 1) - count(*) filter (where label = 1) * (count(*) filter (where label = 1) + 1) / 2.0)
+             / (count(*) filter (where label = 1)::double * count(*) filter (where label = 0)), 6) as auc from ranked"""))
+
+
+# L1, L3, L7, L8 -- the fitted feature pipeline: width of the vector, and the scaled and passed-through values
 def q_features_pipeline(spark, sf):
     m = tr.model_frame(spark, sf)
     train, _ = tr.train_test(m)
-    fitted = build_features(tr.SPEC).fit(train)
-    out = fitted.transform(m)
-    return out.select(*UNIT, F.size(vector_to_array("features")).alias("width"))
+    out = vector_to_array(F.col("features"))
+    v = fit_features(tr.SPEC, train).transform(m).select(*UNIT, out.alias("v"))
+    last = {name: F.element_at("v", i - len(tr.NUMERIC) - 1) for i, name in enumerate([*tr.NUMERIC, "holiday_d"])}
+    hot = F.aggregate(F.slice("v", F.lit(1), F.size("v") - len(last)), F.lit(0.0), lambda a, x: a + x)
+    return v.select(*UNIT, F.size("v").cast("long").alias("width"), hot.cast("long").alias("hot"),
+                    *[F.round(c, 6).alias(n) for n, c in last.items()])
+
+
+_TRAIN = f"from matrix where year < {fx.TRAIN_BEFORE}"
+_SEEN = " + ".join(f"case when {c} in (select {c} {_TRAIN}) then 1 else 0 end" for c in tr.CATEGORICAL)
+_WIDTH = " + ".join(f"(select count(distinct {c}) {_TRAIN})" for c in tr.CATEGORICAL)
+_SCALED = ", ".join(f"round(coalesce({c} / nullif((select stddev_samp({c}) {_TRAIN}), 0), 0.0), 6) as {d}" for d, c in tr.NUMERIC.items())
+register("features_pipeline", q_features_pipeline, with_matrix(f"""
+select contract_id, day, {_WIDTH} + {len(tr.NUMERIC) + 1} as width, cast({_SEEN} as bigint) as hot, {_SCALED},
+       cast(holiday as double) as holiday_d from matrix"""))
 
 
 def _scored_summary(scored: DataFrame) -> DataFrame:
@@ -309,14 +349,17 @@ def _scored_summary(scored: DataFrame) -> DataFrame:
 
 def q_logistic_scored(spark, sf):
     """Weighted (balanced class weights) and unweighted logistic regression,
-    both fitted on the training years and scored on the test year."""
+    both fitted on the training years and scored on the test year: features
+    are fitted once, training and test vectors stored once."""
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
     train = balance.class_weights(train, tr.LABEL, "weight")
+    features = fit_features(tr.SPEC, train)
+    table, held = models.vectors(features, train, [tr.LABEL, "weight"]), models.vectors(features, test, [tr.LABEL])
     out = None
     for name, weight in (("weighted", "weight"), ("unweighted", None)):
-        model = models.train("logistic", train, tr.SPEC, weight=weight)
-        part = _scored_summary(models.score(model, test)).withColumn("model", F.lit(name))
+        model = models.estimator("logistic", tr.LABEL, weight).fit(table)
+        part = _scored_summary(models.score(model, held)).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -325,8 +368,8 @@ def q_logistic_tuned(spark, sf):
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
     train = balance.class_weights(train, tr.LABEL, "weight")
-    cv = models.tune("logistic", train, tr.SPEC, weight="weight", folds=3, parallelism=4)
-    scored = models.score(cv.bestModel, test)
+    model = models.tune("logistic", train, tr.SPEC, weight="weight", folds=4, parallelism=4)
+    scored = models.score(model, test)
     a = evaluate.auc(spark, scored, tr.LABEL)
     return _scored_summary(scored).unionByName(
         a.select(F.lit(None).cast("double").alias(tr.LABEL), F.lit(None).cast("double").alias("prediction"),
@@ -334,18 +377,27 @@ def q_logistic_tuned(spark, sf):
 
 
 def q_forest_scored(spark, sf):
+    """Forest on index-coded categories, classes resampled at fixed rates."""
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
     train = balance.resample(train, tr.LABEL, UNIT, rates={0.0: 0.8, 1.0: 3.2})
-    model = models.train("forest", train, tr.SPEC)
+    model = models.train("forest", train, tr.FOREST_SPEC)
     return _scored_summary(models.score(model, test))
 
 
-def q_model_roundtrip(spark, sf):
+def q_forest_weighted(spark, sf):
+    """Forest on index-coded categories, balanced by class weights."""
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
-    model = models.train("naive_bayes", train, tr.NB_SPEC)
-    path = scratch_path(spark, "model-nb-" + hashlib.md5(sf.encode()).hexdigest()[:12])
+    train = balance.class_weights(train, tr.LABEL, "weight")
+    model = models.train("forest", train, tr.FOREST_SPEC, weight="weight")
+    return _scored_summary(models.score(model, test))
+
+
+def q_model_roundtrip(spark, sf):
+    m, model = _nb_model(spark, sf, False)
+    _, test = tr.train_test(m)
+    path = scratch_path(spark, "model-nb")
     models.save_model(model, path)
     again = models.load_model(path)
     a = models.score(model, test).select(*UNIT, F.col("prediction").alias("p1"))
@@ -353,29 +405,53 @@ def q_model_roundtrip(spark, sf):
     return a.join(b, UNIT).groupBy((F.col("p1") == F.col("p2")).alias("same")).agg(F.count(F.lit(1)).alias("rows"))
 
 
+register("model_roundtrip", q_model_roundtrip, with_matrix(f"""
+select true as same, count(*) as rows from matrix where year = {fx.TEST_YEAR}"""))
+
+BACKTEST_YEARS = [fx.TEST_YEAR, 2000, 2001]
+
+
 def q_backtest_years(spark, sf):
-    m = tr.model_frame(spark, sf)
-    train, _ = tr.train_test(m)
-    model = models.train("naive_bayes", train, tr.NB_SPEC)
-    return models.backtest(model, m, "year", [fx.TEST_YEAR, 2000, 2001], tr.LABEL)
+    m, model = _nb_model(spark, sf, False)
+    return models.backtest(model, m, "year", BACKTEST_YEARS, tr.LABEL)
+
+
+def _nb_backtest_sql() -> str:
+    found = " + ".join(f"coalesce(theta['{c}=' || {c}], 0)" for c in tr.CATEGORICAL)
+    scaled = " + ".join(f"coalesce({c} / nullif((select {d} from std), 0), 0) * theta['{d}']" for d, c in tr.NUMERIC.items())
+    return with_matrix(_nb_ctes(False) + f"""
+, byclass as materialized (
+    select label as cl, any_value(log_prior) as prior, map(list(feature), list(log_theta)) as theta from nb group by label)
+, held as (select *, row_number() over () as r from matrix where year in ({', '.join(map(str, BACKTEST_YEARS))}))
+, lp as (select r, year, absent, cl, prior + {found} + {scaled} + holiday * theta['holiday_d'] as v from held, byclass)
+, best as (select r, any_value(year) as year, any_value(absent) as absent, arg_max(cl, v) as prediction from lp group by r)
+select year, cast(absent as double) as label, prediction, count(*) as count from best group by all""")
+
+
+register("backtest_years", q_backtest_years, _nb_backtest_sql())
+
+
+# A9-A11 -- a table written and read back, in two formats, every row ------------------------------
+ROUNDTRIP_SCHEMA = "contract_id long, day date, worker_id long, absent int, absence_class string, year int"
 
 
 def q_table_roundtrip(spark, sf):
     m = tr.model_frame(spark, sf).select(*UNIT, "worker_id", "absent", "absence_class", "year")
-    base = scratch_path(spark, "matrix-" + hashlib.md5(sf.encode()).hexdigest()[:12])
+    base = scratch_path(spark, "matrix")
     write_table(m, base + "/parquet", partition_by=["year"])
-    write_table(m.drop("year"), base + "/csv", fmt="csv")
-    back = read_table(spark, base + "/parquet").where(F.col("year") == fx.TEST_YEAR)
-    csv_back = read_table(spark, base + "/csv", fmt="csv",
-                          schema="contract_id long, day date, worker_id long, absent int, absence_class string")
-    return back.groupBy("year").agg(F.count(F.lit(1)).alias("rows")) \
-               .unionByName(csv_back.agg(F.count(F.lit(1)).alias("rows")).withColumn("year", F.lit(0)))
-
-
-for _name, _fn in [("features_pipeline", q_features_pipeline), ("logistic_scored", q_logistic_scored),
-                   ("logistic_tuned", q_logistic_tuned), ("forest_scored", q_forest_scored),
-                   ("model_roundtrip", q_model_roundtrip), ("backtest_years", q_backtest_years),
-                   ("table_roundtrip", q_table_roundtrip)]:
+    write_table(m, base + "/csv", fmt="csv")
+    back = read_table(spark, base + "/parquet").withColumn("format", F.lit("parquet"))
+    csv_back = read_table(spark, base + "/csv", fmt="csv", schema=ROUNDTRIP_SCHEMA).withColumn("format", F.lit("csv"))
+    return back.unionByName(csv_back)
+
+
+register("table_roundtrip", q_table_roundtrip, with_matrix("""
+select contract_id, day, worker_id, absent, absence_class, year, format
+from matrix, (select unnest(['parquet', 'csv']) as format) f"""))
+
+# Rows-only: iterative fits
+for _name, _fn in [("logistic_scored", q_logistic_scored), ("logistic_tuned", q_logistic_tuned),
+                   ("forest_scored", q_forest_scored), ("forest_weighted", q_forest_weighted)]:
     register(_name, _fn)
 
 
@@ -400,6 +476,23 @@ def _line_model(kind: str):
     return q
 
 
-for _kind, _name in [("logistic", "logistic_lineitem"), ("naive_bayes", "naive_bayes_lineitem"),
-                     ("forest", "forest_lineitem")]:
-    register(_name, _line_model(_kind))
+_LINE_COLS = LINE_SPEC.numeric
+LINE_NB_SQL = f"""
+with li as (select case when l_quantity > 25 then 1 else 0 end as y, l_quantity, l_extendedprice, l_discount, l_tax,
+                   year(l_shipdate) as year from lineitem),
+train as (select * from li where year < 1997),
+std as (select {', '.join(f'stddev_samp({c}) as {c}' for c in _LINE_COLS)} from train),
+sums as (select y, count(*) as n, {', '.join(f'sum({c}) / (select {c} from std) as {c}' for c in _LINE_COLS)} from train group by y),
+theta as materialized (
+    select y, ln(n + 1.0) - ln((select sum(n) from sums) + (select count(*) from sums) * 1.0) as prior,
+           {', '.join(f"ln({c} + 1.0) - ln({' + '.join(_LINE_COLS)} + {len(_LINE_COLS)}.0) as t_{c}" for c in _LINE_COLS)} from sums),
+held as (select *, row_number() over () as r from li where year in (1997, 1998)),
+lp as (select r, h.y as label, year, t.y as cl,
+              prior + {' + '.join(f'h.{c} / (select {c} from std) * t_{c}' for c in _LINE_COLS)} as v from held h, theta t),
+best as (select r, any_value(label) as label, any_value(year) as year, arg_max(cl, v) as prediction from lp group by r)
+select cast(year as int) as year, count(*) as rows, round(avg(case when label = prediction then 1.0 else 0.0 end), 6) as accuracy
+from best group by year"""
+
+register("logistic_lineitem", _line_model("logistic"))
+register("naive_bayes_lineitem", _line_model("naive_bayes"), LINE_NB_SQL)
+register("forest_lineitem", _line_model("forest"))

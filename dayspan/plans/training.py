@@ -15,11 +15,13 @@ LABEL = "label"
 # predicted) must never be features.
 FORBIDDEN = ["absent", "absent_share", "absence_class", "total_absence_days", "total_absence_share"]
 
-SPEC = FeatureSpec(label=LABEL,
-                   categorical=["weekday", "age_band", "tenure_band", "cost_center", "contract_type"],
-                   numeric=["age_d", "tenure_d"], passthrough=["holiday_d"], forbidden=FORBIDDEN)
+CATEGORICAL = ["weekday", "age_band", "tenure_band", "cost_center", "category", "contract_type"]
+NUMERIC = {"age_d": "age_days", "tenure_d": "tenure_days", "span_d": "span_days", "concurrent_d": "concurrent", "week_d": "week_of_year"}
 
-NB_SPEC = FeatureSpec(label=LABEL, categorical=["weekday"], passthrough=["holiday_d"], forbidden=FORBIDDEN)
+SPEC = FeatureSpec(label=LABEL, categorical=CATEGORICAL, numeric=list(NUMERIC), passthrough=["holiday_d"], forbidden=FORBIDDEN)
+# Trees take the category indexes as they are.
+FOREST_SPEC = FeatureSpec(label=LABEL, categorical=CATEGORICAL, numeric=list(NUMERIC), passthrough=["holiday_d"],
+                          forbidden=FORBIDDEN, one_hot=False)
 
 STAND_IN_CUT = 0.2
 
@@ -41,11 +43,10 @@ def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
 
 def prepare_model_frame(m: DataFrame) -> DataFrame:
     """Any day matrix (e.g. from ``build_day_matrix``) with a double label and
-    double copies of the numerics, ready for ``SPEC`` / ``NB_SPEC``."""
+    double copies of the numerics, ready for ``SPEC`` / ``FOREST_SPEC``."""
     return m.withColumns({
         LABEL: F.col("absent").cast("double"),
-        "age_d": F.col("age_days").cast("double"),
-        "tenure_d": F.col("tenure_days").cast("double"),
+        **{d: F.col(c).cast("double") for d, c in NUMERIC.items()},
         "holiday_d": F.col("holiday").cast("double"),
     })
 

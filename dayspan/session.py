@@ -7,11 +7,15 @@ points call these helpers.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# the folder of each local application without the setting (it cannot be changed once Spark runs)
+_local_dirs: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -41,33 +45,57 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a fresh folder under the
-    system temp dir is taken. Returns the folder in use.
+    Only in local mode, and only when the setting is absent, a fresh folder
+    under the system temp dir is taken. On a cluster a machine-local folder
+    would give every executor its own copy, so a missing setting is an error.
+    Returns the folder in use.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
-        path = tempfile.mkdtemp(prefix="dayspan-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, path)
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share (master {master})")
+        app = spark.sparkContext.applicationId
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="dayspan-ckpt-")
+        path = _local_dirs[app]
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder, for written stage tables."""
+    """A new sub-folder of the shared checkpoint folder for a written stage
+    table; two runs never share one."""
     base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", name)
+    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
 
 
-def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
+def drop_stage_tables(spark: SparkSession, folder: str | None = None) -> int:
+    """Delete the stage tables under the shared checkpoint folder once their
+    results have been written elsewhere; returns how many were removed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(os.path.join(folder or ensure_checkpoint_dir(spark), "tables"))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return 0
+    tables = [s.getPath() for s in fs.listStatus(root)]
+    for t in tables:
+        fs.delete(t, True)
+    return len(tables)
+
+
+def cluster_conf(shared_folder: str, executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
     """Submit-time settings for a large cluster (≈100 TB of input).
 
     Not applied by library code; pass them to ``spark-submit --conf`` or the
-    session builder. Shuffles start wide and AQE coalesces them to ~256 MB
+    session builder. ``shared_folder`` (HDFS or an object store) holds the stage
+    tables. Shuffles start wide and AQE coalesces them to ~256 MB
     partitions, splits skewed ones, and turns joins into broadcasts only when
     the measured side is small.
     """
     slots = executors * cores_per_executor
     return {
+        CHECKPOINT_CONF: shared_folder,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",

@@ -18,6 +18,7 @@ WINDOW_END = dt.date(2001, 12, 31)
 AS_OF = dt.date(2001, 12, 31)
 EXCLUDED_CLASSES = ("NF", "NO")
 OPEN_END = dt.date(9999, 12, 31)
+BIRTH_BASE = dt.date(1950, 1, 1)
 TRAIN_BEFORE = 1999
 TEST_YEAR = 1999
 # One holiday period per year of the window (name, first day, last day).
@@ -45,7 +46,8 @@ def order_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contract_id, worker_id, division, cost_center, category, contract_type,
-    start_date, end_date (9999-12-31 = open ended), hire_date, amount."""
+    start_date, end_date (9999-12-31 = open ended), hire_date, birth_date
+    (1950 .. 1982, derived from the worker id), amount."""
     oc = order_owner(spark, sf_dir)
     key = F.col("o_orderkey")
     start = F.to_date("o_orderdate")
@@ -61,6 +63,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(F.date_add(start, (key % 30).cast("int"))).alias("end_date"),
         F.when(key % 13 == 0, F.lit(None).cast("date"))
          .otherwise(F.date_add(start, (key % 400).cast("int") - 390)).alias("hire_date"),
+        F.date_add(F.lit(BIRTH_BASE), (F.col("o_custkey") % 12000).cast("int")).alias("birth_date"),
         F.col("o_totalprice").alias("amount"),
     )
 
@@ -107,6 +110,7 @@ select o_orderkey as contract_id, o_custkey as worker_id, c_nationkey as divisio
             else cast(o_orderdate as date) + cast(o_orderkey % 30 as int) end as end_date,
        case when o_orderkey % 13 = 0 then null
             else cast(o_orderdate as date) + cast(o_orderkey % 400 as int) - 390 end as hire_date,
+       {_d(BIRTH_BASE)} + cast(o_custkey % 12000 as int) as birth_date,
        o_totalprice as amount
 from orders join customer on o_custkey = c_custkey"""
 

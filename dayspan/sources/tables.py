@@ -32,13 +32,18 @@ def read_table(spark: SparkSession, path: str | Sequence[str], fmt: str = "parqu
 
 def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
                renames: Sequence[Mapping[str, str]] | None = None,
-               part_col: str | None = None) -> DataFrame:
+               part_col: str | None = None,
+               schemas: Sequence[StructType | str | None] | StructType | str | None = None,
+               **options) -> DataFrame:
     """Union parts whose columns may differ (yearly sheets), by column name;
     a column missing from a part is null there. ``renames`` maps each part's
-    source headers to common names; ``part_col`` records the part index."""
+    source headers to common names; ``part_col`` records the part index;
+    ``schemas`` is one explicit schema for all parts or one for each, and
+    ``options`` go to the reader."""
     frames = []
     for i, p in enumerate(paths):
-        df = read_table(spark, p, fmt)
+        schema = schemas[i] if isinstance(schemas, (list, tuple)) else schemas
+        df = read_table(spark, p, fmt, schema, **options)
         if renames:
             df = df.select(*[F.col(src).alias(dst) for src, dst in renames[i].items()])
         if part_col:
@@ -58,22 +63,32 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     w.options(**options).save(path)
 
 
+#: fixed values: letters that Unicode decomposition leaves whole, and their plain spelling
+PLAIN_LETTERS = str.maketrans({"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D",
+                               "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "ı": "i"})
+
+
 def normalize_header(name: str) -> str:
-    """Strip accents, drop '.', lower case, spaces to '_'."""
-    plain = "".join(ch for ch in unicodedata.normalize("NFKD", name) if not unicodedata.combining(ch))
+    """Strip accents, spell letters plainly, drop '.', lower case, spaces to '_'."""
+    plain = "".join(ch for ch in unicodedata.normalize("NFKD", name.translate(PLAIN_LETTERS)) if not unicodedata.combining(ch))
     return plain.replace(".", "").lower().replace(" ", "_")
 
 
 def normalize_headers(df: DataFrame, dup_suffix: str = "_dup") -> DataFrame:
-    """Rename all columns by ``normalize_header``; a name already seen gets
-    ``dup_suffix`` appended (metadata only, no data pass)."""
-    seen: list[str] = []
-    for c in df.columns:
-        n = normalize_header(c)
-        if n in seen:
-            n = n + dup_suffix
-        seen.append(n)
-    return df.toDF(*seen)
+    """Rename all columns by ``normalize_header``; a name already taken gets
+    ``dup_suffix`` appended, and a number from the second time on (metadata
+    only, no data pass). Names never clash."""
+    plain = [normalize_header(c) for c in df.columns]
+    taken: set[str] = set()
+    out = []
+    for n in plain:
+        name, k = n, 1
+        while name in taken or (k > 1 and name in plain):
+            name = f"{n}{dup_suffix}{k if k > 1 else ''}"
+            k += 1
+        taken.add(name)
+        out.append(name)
+    return df.toDF(*out)
 
 
 def bind_categories(columns: Iterable[str], categories: Iterable[str]) -> dict[str, str]:
@@ -102,9 +117,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     (``spark.checkpoint.dir``) and read it back: a stage boundary that cuts
     the lineage, survives executor loss and, unlike an RDD checkpoint, is
     columnar and compressed and gives the planner real size statistics."""
-    import uuid
-
     from dayspan.session import scratch_path
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)

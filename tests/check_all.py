@@ -12,7 +12,7 @@ import traceback
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as E  # noqa: E402
-from dayspan.plans.oracle_check import compare, duck_connection  # noqa: E402
+from oracle_check import compare, duck_connection  # noqa: E402
 from dayspan.session import local_session  # noqa: E402
 
 sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"

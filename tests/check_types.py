@@ -3,7 +3,7 @@ import sys
 sys.path.insert(0, __import__('os').path.dirname(__import__('os').path.dirname(__import__('os').path.abspath(__file__))))
 from dayspan.session import local_session
 import __spark_entry__ as E
-from dayspan.plans.oracle_check import duck_connection
+from oracle_check import duck_connection
 spark = local_session(8, 8)
 sf = sys.argv[1] if len(sys.argv) > 1 else '/root/testdata/sf0.001'
 con = duck_connection(sf)

@@ -43,7 +43,7 @@ def test_balance_exact_matches_brute_force(spark):
     expect = []
     for lbl in (0, 1):
         ids = [i for i in range(1000) if (1 if i % 10 == 0 else 0) == lbl]
-        ids.sort(key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        ids.sort(key=lambda i: hashlib.md5(f"{len(str(i))}:{i}".encode()).hexdigest())
         expect += [(lbl, i) for i in ids[:100]]
     assert got == sorted(expect)
 
@@ -59,3 +59,32 @@ def test_daily_error_keeps_days_without_positives(spark):
     assert c.agg(F.sum("count")).first()[0] == 3
     g = evaluate.rate_gap(df, positive=1.0).first()
     assert (g["predicted"], g["real"]) == (2, 1)
+
+
+def test_hash_keys_tell_columns_and_nulls_apart(spark):
+    from dayspan.functions.columns import hash_key
+    data = [("a", None, "b"), ("a", "b", None), ("a|b", None, None), (None, "a", "b"), ("a", "", "b"), ("1:a", None, "b"), ("", "", ""), (None, None, None)]
+    df = spark.createDataFrame(data, "x string, y string, z string").select(hash_key(["x", "y", "z"]).alias("k"), hash_key(["x"]).alias("one"))
+    keys = [r.k for r in df.collect()]
+    assert len(set(keys)) == len(data) and None not in keys
+    assert None not in [r.one for r in df.collect()]
+
+
+def test_balance_exact_when_many_rows_share_a_key(spark):
+    """The key of most rows is the same: exact sizes, the same rows on every run, equal rows counted."""
+    data = [(7 if i % 3 else i, i % 40, 0) for i in range(600)] + [(i, i, 1) for i in range(90)] + [(7, 1, 0)] * 50
+    df = spark.createDataFrame(data, "id int, v int, label int")
+    a = rows(balance.balance_exact(df, "label", ["id"], levels=1, width=1))
+    b = rows(balance.balance_exact(df.repartition(7), "label", ["id"], levels=1, width=1))
+    assert a == b and [sum(r[2] == c for r in a) for c in (0, 1)] == [90, 90]
+
+
+def test_histogram_needs_no_single_task_window(spark):
+    import contextlib
+    import io
+    for df in (balance.label_histogram(_skewed(spark), "label"), balance.class_weights(_skewed(spark), "label"),
+               balance.resample(_skewed(spark), "label", ["id"])):
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            df.explain("formatted")
+        assert "Window" not in out.getvalue()

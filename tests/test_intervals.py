@@ -68,9 +68,9 @@ def test_bucketed_join_equals_plain(spark):
     left, right = _spans(spark)
     cols = ["cid", "r_cls", "overlap_start", "overlap_end"]
     plain = iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"))
-    bucketed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), left_id=["cid"])
+    bucketed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), (D(1900, 1, 1), D(2100, 1, 1)))
     assert rows(plain, *cols) == rows(bucketed, *cols)
-    inner = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), ["cid"], how="inner")
+    inner = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), (D(1900, 1, 1), D(2100, 1, 1)), how="inner")
     assert rows(inner, *cols) == [r for r in rows(plain, *cols) if r[1] is not None]
 
 
@@ -85,7 +85,7 @@ def test_bucketed_join_hot_key_matches_brute_force(spark):
     R = [(w, c, s, s + dt.timedelta(rnd.randint(0, 20))) for w, c, s in R]
     left = spark.createDataFrame(L, "cid int, w int, s date, e date")
     right = spark.createDataFrame(R, "w int, cls string, s date, e date")
-    got = rows(iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), ["cid"]),
+    got = rows(iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), (D(1900, 1, 1), D(2100, 1, 1))),
                "cid", "r_cls")
     expect = []
     for cid, w, s, e in L:
@@ -133,7 +133,7 @@ def test_skewed_input_three_plans_agree(spark):
     ab = ab.withColumn("division", F.when(F.col("worker_id") == 1, F.lit(1)).otherwise(F.col("division")))
     days_of = F.coalesce(F.datediff("overlap_end", "overlap_start") + 1, F.lit(0))
     plain = iv.interval_overlap_join(sp, ab, KEYS, SPAN, ("start_date", "end_date"))
-    bucketed = iv.interval_overlap_join_bucketed(sp, ab, KEYS, SPAN, ("start_date", "end_date"), ["contract_id"])
+    bucketed = iv.interval_overlap_join_bucketed(sp, ab, KEYS, SPAN, ("start_date", "end_date"), (D(1900, 1, 1), D(2100, 1, 1)))
     cols = ["contract_id", "r_absence_class", "r_start_date", "overlap_start", "overlap_end"]
     assert rows(plain, *cols) == rows(bucketed, *cols)
     ev = iv.day_events(ab, KEYS, "start_date", "end_date", "absence_class")
@@ -148,8 +148,34 @@ def test_bucketed_join_open_ended_sentinel(spark):
                                   "w int, cls string, s date, e date")
     cols = ["cid", "r_cls", "overlap_start", "overlap_end"]
     plain = iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"))
-    bucketed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), ["cid"], clamp=True)
-    fixed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), ["cid"],
-                                              clamp=(D(1996, 1, 1), D(2001, 12, 31)))
-    assert rows(fixed, *cols) == rows(bucketed, *cols) == rows(plain, *cols) == [
+    fixed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), (D(1996, 1, 1), D(2001, 12, 31)))
+    assert rows(fixed, *cols) == rows(plain, *cols) == [
         (1, "A", D(2000, 3, 2), D(2000, 3, 9)), (2, "A", D(2000, 3, 2), D(2000, 3, 2))]
+
+
+def test_bucketed_join_keeps_rows_of_one_id_and_inverted_spans(spark):
+    """No column need be unique, and an inverted or unknown span overlaps nothing in either join."""
+    left = spark.createDataFrame([
+        (1, 7, D(2000, 1, 1), D(2000, 1, 9)), (1, 7, D(2000, 6, 1), D(2000, 6, 2)), (1, 7, D(2000, 6, 1), D(2000, 6, 2)),
+        (2, 7, D(2000, 2, 9), D(2000, 1, 2)), (3, 7, None, D(2000, 1, 2)), (None, None, D(2000, 1, 1), D(2000, 1, 2))],
+        "cid int, w int, s date, e date")
+    right = spark.createDataFrame([(7, "A", D(2000, 1, 2), D(2000, 2, 3)), (7, "B", D(2000, 1, 9), D(2000, 1, 3)), (7, None, None, None)],
+                                  "w int, cls string, s date, e date")
+    cols = ["cid", "s", "r_cls", "overlap_start", "overlap_end"]
+    plain = iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"))
+    bucketed = iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), (D(1999, 1, 1), D(2001, 1, 1)))
+    assert rows(plain, *cols) == rows(bucketed, *cols)
+    assert len(rows(plain, *cols)) == 6 and sum(r[2] == "A" for r in rows(plain, *cols)) == 1
+
+
+def test_covered_days_equal_expand_and_fold(spark):
+    left, right = _spans(spark)
+    window = (D(1999, 1, 1), D(2001, 12, 31))
+    j = iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"))
+    d = iv.flag_in_span(iv.expand_days(j, "s", "e"), "day", "overlap_start", "overlap_end", "absent")
+    folded = iv.fold_days(d, ["cid", "day"], "absent", "r_cls", "none", out_label="cls")
+    m = iv.covered_days(left.withColumn("__row", F.col("cid").cast("long")), right, ["w"], ("s", "e"), ("s", "e"), window, "cls")
+    m = m.withColumn("cls", F.when(F.col("flag") == 1, F.array_join("labels", ",")).otherwise("none")).withColumnRenamed("flag", "absent")
+    assert rows(folded, "cid", "day", "absent", "cls") == rows(m, "cid", "day", "absent", "cls")
+    days = iv.overlap_day_rows(left, right, "cid", ["w"], ("s", "e"), ("s", "e"), window)
+    assert rows(days, "cid", "day") == [r[:2] for r in rows(folded, "cid", "day", "absent") if r[2] == 1]

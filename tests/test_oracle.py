@@ -1,17 +1,14 @@
 """Spark queries against their DuckDB oracles on the smallest data set."""
 
-import os
-
 import pytest
 
 import __spark_entry__ as E
+from dayspan.plans import catalog
 from conftest import SF_SMALL
-from dayspan.plans.oracle_check import compare, duck_connection
+from oracle_check import compare, duck_connection
 
-FAST = ["daily_absence_rate", "overlap_join", "overlap_join_bucketed", "curated_spans", "fold_days", "day_matrix",
-        "recode_lookup", "profile_columns", "dedupe_keep_first", "balance_exact", "nb_statistics", "daily_error",
-        "resample_sqrt", "index_categories", "one_hot"]
-NAMES = sorted(E.oracle_sql()) if os.environ.get("DAYSPAN_ALL_ORACLES") else FAST
+# every oracle of the library itself; the optional operators have tests of their own
+NAMES = sorted(n for n in catalog.ORACLE)
 
 
 @pytest.fixture(scope="module")
@@ -26,10 +23,9 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_every_query_has_oracle_or_is_model():
-    rows_only = set(E.queries()) - set(E.oracle_sql())
-    assert rows_only == {"features_pipeline", "logistic_scored", "logistic_tuned", "forest_scored",
-                         "logistic_lineitem", "naive_bayes_lineitem", "forest_lineitem",
-                         "model_roundtrip", "backtest_years", "table_roundtrip"}
+    rows_only = set(catalog.QUERIES) - set(catalog.ORACLE)
+    assert rows_only == {"logistic_scored", "logistic_tuned", "forest_scored", "forest_weighted",
+                         "logistic_lineitem", "forest_lineitem"}
 
 
 def test_entry(spark):
@@ -47,3 +43,29 @@ def test_generic_entry_equals_fixture_plan(spark):
     cols = sorted(fixed.columns)
     assert generic.select(*cols).exceptAll(fixed.select(*cols)).count() == 0
     assert generic.count() == fixed.count()
+
+
+def test_curation_on_the_callers_tables(spark):
+    """Birth dates pass through, and absences are tied by the caller's keys."""
+    import datetime as dt
+    from dayspan.plans.curation import curate_spans
+    d = dt.date
+    keys = ["worker_id", "division", "cost_center", "order_no", "contract_id"]
+    contracts = spark.createDataFrame([
+        (1, 10, 5, "c1", 77, "k", "t", d(2000, 1, 1), d(2000, 1, 31), None, d(1975, 5, 5)),
+        (2, 10, 5, "c2", 77, "k", "t", d(2000, 1, 1), d(2000, 1, 31), d(1999, 1, 1), d(1975, 5, 5)),
+        (3, 11, 5, "c1", 78, "k", "t", d(2000, 2, 1), d(9999, 12, 31), None, None)],
+        "contract_id long, worker_id long, division int, cost_center string, order_no long, category string, contract_type string, "
+        "start_date date, end_date date, hire_date date, birth_date date")
+    absences = spark.createDataFrame([
+        (10, 5, "c1", 77, 1, "A", d(2000, 1, 5), d(2000, 1, 6)), (10, 5, "c1", 77, 1, "B", d(2000, 1, 6), d(2000, 1, 8)),
+        (10, 5, "c1", 77, 2, "A", d(2000, 1, 5), d(2000, 1, 6)), (10, 5, "c2", 76, 2, "A", d(2000, 1, 5), d(2000, 1, 6))],
+        "worker_id long, division int, cost_center string, order_no long, contract_id long, absence_class string, start_date date, end_date date")
+    window = (d(2000, 1, 1), d(2000, 12, 31))
+    out = {r.contract_id: r for r in curate_spans(contracts, absences, window, d(2000, 12, 31), keys).collect()}
+    assert [out[i].birth_date for i in (1, 2, 3)] == [d(1975, 5, 5), d(1975, 5, 5), None]
+    assert [out[i].total_absence_days for i in (1, 2, 3)] == [5, 0, 0]
+    distinct = curate_spans(contracts, absences, window, d(2000, 12, 31), keys, totals="distinct_days")
+    assert {r.contract_id: r.total_absence_days for r in distinct.collect()} == {1: 4, 2: 0, 3: 0}
+    with pytest.raises(ValueError):
+        curate_spans(contracts, absences, None, d(2000, 12, 31))

@@ -25,11 +25,27 @@ def test_flagship_scans_are_pruned(spark):
         assert bad not in p
 
 
-def test_day_join_is_keyed_on_day(spark):
+def test_wide_rows_are_expanded_after_the_last_shuffle(spark):
+    """In the day matrix no exchange stands above the day expansion of the spans."""
+    p = E.queries()["day_matrix"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    above = p[p.index("BroadcastHashJoin [day#"): p.index("Generate explode(sequence(span_start#")]
+    assert "Exchange" not in above
+
+
+def test_daily_rate_aggregates_before_shuffling_days(spark):
+    """Contract-days are pre-aggregated per day in the task that expands them."""
     p = _plan(E.entry(spark))
-    # the contract-days are shuffled on worker, division and day (skew-safe key)
-    assert any(l.strip().startswith("Arguments: hashpartitioning(worker_id") and "day#" in l
-               for l in p.splitlines())
+    assert "hashpartitioning(day#" in p
+    assert not any(line.strip().startswith("Arguments: hashpartitioning(worker_id") and "day#" in line for line in p.splitlines())
+
+
+def _scans(df, table: str) -> int:
+    return sum(line.strip().startswith("Location:") and f"/{table}.parquet" in line for line in _plan(df).splitlines())
+
+
+def test_stage_one_reads_orders_at_most_twice(spark):
+    for name in ("curated_spans", "contract_totals"):
+        assert _scans(E.queries()[name](spark, SF_SMALL), "orders") <= 2
 
 
 def test_day_matrix_has_no_quadratic_join(spark):
@@ -39,6 +55,11 @@ def test_day_matrix_has_no_quadratic_join(spark):
 
 
 def test_bucketed_overlap_join_adds_month_to_the_key(spark):
-    p = _plan(E.queries()["overlap_join_bucketed"](spark, SF_SMALL))
+    from dayspan.operators.intervals import interval_overlap_join_bucketed
+    from dayspan.plans.spans import KEYS, SPAN, clipped_spans, kept_absences
+    from dayspan.sources import fixtures as fx
+    j = interval_overlap_join_bucketed(clipped_spans(spark, SF_SMALL), kept_absences(spark, SF_SMALL), KEYS, SPAN,
+                                       ("start_date", "end_date"), (fx.WINDOW_START, fx.WINDOW_END), how="inner")
+    p = _plan(j)
     assert "__lm" in p and "__rm" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -29,3 +29,47 @@ def test_csv_round_trip_with_schema(spark):
     back = tables.read_table(spark, out + "/t", fmt="csv",
                              schema="n_nationkey int, n_name string, n_regionkey int, d date")
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_read_parts_with_schemas_and_options(spark):
+    out = tempfile.mkdtemp(prefix="dayspan-parts-")
+    for year, text in ((2000, "id;when\n1;2000-01-02\n"), (2001, "id;extra\n2;x\n")):
+        with open(f"{out}/{year}.csv", "w") as f:
+            f.write(text)
+    df = tables.read_parts(spark, [f"{out}/2000.csv", f"{out}/2001.csv"], fmt="csv", part_col="part",
+                           schemas=["id int, when date", "id int, extra string"], sep=";")
+    assert dict(df.dtypes)["when"] == "date"
+    assert sorted((r.part, r.id, str(r.when), r.extra) for r in df.collect()) == [(0, 1, "2000-01-02", None), (1, 2, "None", "x")]
+
+
+def test_headers_never_clash_and_are_plain(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6)], ["Name", "NAME", "name", "Größe", "Ærø.", "name_dup"])
+    out = tables.normalize_headers(df).columns
+    assert len(set(out)) == 6 and out[0] == "name" and out[3:5] == ["grosse", "aero"] and "name_dup2" in out
+
+
+def test_stage_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from dayspan import session
+
+    class Conf:
+        def __init__(self, master):
+            self.values = {"spark.master": master}
+
+        def get(self, key, default=None):
+            return self.values.get(key, default)
+
+    class Fake:
+        conf = Conf("spark://host:7077")
+
+    with pytest.raises(RuntimeError, match="share"):
+        session.ensure_checkpoint_dir(Fake())
+    assert session.cluster_conf("hdfs:///tmp/x")["spark.checkpoint.dir"] == "hdfs:///tmp/x"
+    assert session.scratch_path(spark, "a") != session.scratch_path(spark, "a")
+
+
+def test_stage_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from dayspan import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    assert tables.materialize(spark.range(5), "five").count() == 5
+    assert session.drop_stage_tables(spark) == 1 and session.drop_stage_tables(spark) == 0

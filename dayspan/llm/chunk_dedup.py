@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import SPACES, blocks, saved
+from dayspan.llm.common import SPACES, blocks, in_arrow, saved
 
 GRAM = 16
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 256, 2048, 16384
@@ -95,7 +95,7 @@ def chunk_table(normal: DataFrame, digest_bytes: int = 16) -> DataFrame:
             yield pa.record_batch({"mark": pa.array([fingerprint(c, digest_bytes) for c in own], pa.binary()),
                                    "chunk": pa.array(list(own), pa.binary())})
 
-    return normal.mapInArrow(run, "mark binary, chunk binary").groupBy("mark", "chunk").agg(F.count(F.lit(1)).alias("seen"))
+    return normal.transform(in_arrow, run, "mark binary, chunk binary").groupBy("mark", "chunk").agg(F.count(F.lit(1)).alias("seen"))
 
 
 def recipes(normal: DataFrame, digest_bytes: int = 16, chunks: bool = False) -> DataFrame:
@@ -109,7 +109,7 @@ def recipes(normal: DataFrame, digest_bytes: int = 16, chunks: bool = False) ->
                                    "text_sha256": pa.array(sha, pa.string())})
 
     kind = normal.schema["doc_id"].dataType.simpleString()
-    return normal.mapInArrow(run, f"doc_id {kind}, recipe array<binary>, text_sha256 string")
+    return normal.transform(in_arrow, run, f"doc_id {kind}, recipe array<binary>, text_sha256 string")
 
 
 def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dayspan.llm.common import in_arrow, row_key
+
 LEVEL = 3
 DICT_BYTES = 1 << 17
 
@@ -121,12 +123,11 @@ def _features(frame: DataFrame, model: dict) -> DataFrame:
             yield pa.record_batch(cols)
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in keep)
-    return frame.mapInArrow(run, kinds + "a double, b double, c double")
+    return frame.transform(in_arrow, run, kinds + "a double, b double, c double")
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, key (row identity) and the calibrated probability of label 1."""
-    from dayspan.llm.common import row_key
     rows = docs.select("doc_id", row_key().alias("key"), "text")
     share = F.lit(float(model["share"]))
     if model["weights"] is None:
@@ -159,4 +160,4 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **optio
                 keep.append(bool(p >= threshold))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_arrow, run, docs.schema)

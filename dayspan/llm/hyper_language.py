@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import blocks
+from dayspan.llm.common import blocks, in_arrow
 
 SLOTS, DIM, N = 64, 2048, 3
 _slots: np.ndarray | None = None
@@ -83,7 +83,7 @@ def fit(train: DataFrame) -> dict:
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, size=1 << 22):
                 langs = np.array(block.column("lang").to_pylist(), object)
                 codes, doc = gram_codes(block.column("text").to_pylist())
                 for lang in set(langs.tolist()):
@@ -95,7 +95,7 @@ def fit(train: DataFrame) -> dict:
                                    "n": pa.array(n[at], pa.int64())})
 
     counts = (train.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-              .mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
+              .transform(in_arrow, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
     table = counts.toPandas()  # bounded: languages x SLOTS^3
     langs = sorted(table["lang"].unique())
     codes = np.sort(table["code"].unique()).astype(np.int64)
@@ -125,7 +125,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     def run(batches):
         table = shared.value
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, size=1 << 22):
                 texts = block.column("text").to_pylist()
                 codes, doc = gram_codes(texts)
                 has = np.bincount(doc, minlength=len(texts)) > 0
@@ -143,4 +143,4 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.record_batch({"doc_id": block.column("doc_id"), "lang_pred": pa.array(pred, pa.string()),
                                        "score": pa.array(np.clip(np.nan_to_num(score), 0, 1), pa.float64())})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").transform(in_arrow, run, f"doc_id {kind}, lang_pred string, score double")

@@ -4,25 +4,29 @@ A document's set is its distinct five-word shingles (64-bit hashes). Two sets
 of Jaccard similarity >= t share at least ceil(t n) tokens of the one with n
 tokens, so under any total order of tokens their prefixes of
 n - ceil(t n) + 1 tokens share one. Every order puts frequent tokens last (by
-a fixed-size count sketch over the whole corpus, ``SKETCH_BITS``), then goes by
-a hash of its own. Candidates share a prefix token under the first order; they
-must also share one under each further order before the exact verification.
+classes of their count over the whole corpus, ``CLASSES``), then goes by a
+hash of its own. If the first common token of two sets stands at ranks i and
+j, they share at most min(n - i, m - j) tokens; a pair is a candidate only if
+that reaches t / (1 + t) (n + m), under the first order and then under every
+further one. What all filters leave is verified exactly.
 
 Skew: documents with equal sets are one node. Within the nodes of a token
-first only stars are verified (every node against the least one of its size
-class); then, token by token, only pairs of nodes that are still in different
-components. Pairs inside a component need no test, since links only matter up
-to reachability, so a group of m copies costs about m pairs and no link
-between components is lost.
+first only stars are verified (every node against the one of its size class
+with the fewest rare tokens); then, token by token, only candidates that are
+still in different components. Pairs inside a component need no test, since
+links only matter up to reachability, so a group of m copies costs about m
+pairs and no link between components is lost.
 
-Tokens that only one node has in its prefix make no pair; they are dropped by
-an exact count, whose result filters the second scan as a Bloom filter of at
-most 2^28 bits (false hits cost rows, never results).
+Tokens that occur once in the corpus stand first in every order and make no
+pair, so a text with enough tokens of its own emits nothing. Tokens are counted
+exactly; the classes reach the scans as Bloom filters of at most 2^28 bits each
+(a false hit is the same for all texts, so it changes the order, not the result).
 
 Nulls, empty texts and texts of white space: empty set, own component. Equal
 sets (also repeated rows) link. A null doc_id is never the smallest unless all
 ids of a component are null. Texts of any length are one set. Empty tables give
-empty results; extra columns are ignored.
+empty results; extra columns are ignored. Sets and nodes are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -31,187 +35,153 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import U, Words, blocks, mix, row_key, saved
+from dayspan.llm.common import MOST_SEEN, Bloom, U, Words, blocks, deal_bits, in_arrow, key_of, mix, repeated_keys, row_key, saved
 
 WIDTH, PERCENT = 5, 80
-SKETCH_BITS, SEGMENTS = 24, 64
+#: least number of occurrences of the frequency classes above the first one
+CLASSES = (2, 16, 256, 4096)
 SALTS = [0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8]
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n + (-percent * n) // 100 + 1
+class Sets:
+    """The sets of a block: text d has ``tokens[cut[d]: cut[d + 1]]``, sorted and distinct."""
 
-
-def shingle_sets(batch: pa.RecordBatch, width: int = WIDTH) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Blocks of a batch with each text's sorted distinct shingle hashes."""
-    for block in blocks(batch):
+    def __init__(self, block: pa.RecordBatch, width: int = WIDTH):
         words = Words(block.column("text"), lower=True)
         hashes, at = words.shingles(width)
-        cut = np.searchsorted(at, words.first)
-        yield block, [np.unique(hashes[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        hashes = hashes.copy()
+        ends = np.searchsorted(at, words.first)
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            hashes[a:b].sort()
+        new = np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)]
+        new[ends[:-1][ends[:-1] < len(hashes)]] = True
+        self.cut = np.append(0, np.cumsum(new))[ends]
+        self.tokens = hashes[new]
+        self.sizes = np.diff(self.cut)
+
+    def nodes(self) -> np.ndarray:
+        """64-bit identity of each set (0 for the empty one)."""
+        total = np.append(U(0), np.cumsum(mix(self.tokens ^ U(0xA54FF53A5F1D36F1))))
+        sums = total[self.cut[1:]] - total[self.cut[:-1]] + self.sizes.astype(U) * U(0x9E3779B97F4A7C15)
+        return np.where(self.sizes > 0, mix(sums), U(0)).view(np.int64)
+
+    def ranks(self, levels: np.ndarray, order: int) -> np.ndarray:
+        """The tokens' ranks under an order: frequency class, then the order's own hash."""
+        return (levels.astype(U) << U(56)) | (mix(self.tokens ^ U(SALTS[order])) >> U(8))
+
+    def prefix(self, ranks: np.ndarray, d: int, percent: int, ordered: bool = True) -> np.ndarray:
+        """The first tokens of set d under an order."""
+        a, b = self.cut[d], self.cut[d + 1]
+        n = prefix_length(int(b - a), percent)
+        own = ranks[a:b]
+        first = np.argpartition(own, n - 1)[:n]
+        return self.tokens[a:b][first[np.argsort(own[first])] if ordered else first]
+
 
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    return n + (-percent * n) // 100 + 1
 
-def node_of(s: np.ndarray) -> int:
-    """64-bit identity of a set (0 for the empty one)."""
-    if not len(s):
-        return 0
-    with np.errstate(over="ignore"):
-        return int(mix(np.array([np.sum(mix(s ^ U(0xA54FF53A5F1D36F1))) + U(len(s)) * U(0x9E3779B97F4A7C15)], U)).view(np.int64)[0])
 
+def fresh(nodes: np.ndarray, seen: set[int]) -> list[int]:
+    """Places of the non-empty nodes that this task has not had yet."""
+    own = {n: d for d, n in reversed(list(enumerate(nodes.tolist()))) if n and n not in seen}
+    if len(seen) < MOST_SEEN:  # only saves work: a node may come twice
+        seen.update(own)
+    return sorted(own.values())
 
-def prefix(s: np.ndarray, levels: np.ndarray, order: int, percent: int = PERCENT) -> np.ndarray:
-    """The set's first tokens under an order: frequency level, then the order's own hash."""
-    n = prefix_length(len(s), percent)
-    rank = (levels[s >> U(64 - SKETCH_BITS)].astype(U) << U(56)) | (mix(s ^ U(SALTS[order])) >> U(8))
-    return s[np.argpartition(rank, n - 1)[:n]]
 
+class Frequencies:
+    """Frequency class of every token, from Bloom filters of the classes."""
 
-def frequency_levels(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """Per sketch bucket its count on a logarithmic scale, 8 levels a doubling (2^SKETCH_BITS bytes)."""
-    size, part = 1 << SKETCH_BITS, (1 << SKETCH_BITS) // SEGMENTS
+    def __init__(self, docs: DataFrame, width: int = WIDTH):
+        self.bits = deal_bits(docs.sparkSession)
+        counts = saved(repeated_keys(docs, lambda block: Sets(block, width).tokens), "token-counts")
+        self.blooms = [Bloom(counts.where(F.col("n") >= least).select("key")) for least in CLASSES]
 
-    def count(batches):
-        total = np.zeros(size, np.uint32)
-        for batch in batches:
-            for _, sets in shingle_sets(batch, width):
-                if sets:
-                    np.add.at(total, (np.concatenate(sets) >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        if total.any():
-            pack = zstandard.ZstdCompressor(level=1).compress
-            packed = [pack(total[i * part: (i + 1) * part].tobytes()) for i in range(SEGMENTS)]
-            yield pa.record_batch({"segment": pa.array(range(SEGMENTS), pa.int32()), "counts": pa.array(packed, pa.binary())})
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            for seg, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = total.setdefault(seg, np.zeros(part, np.int64))
-                own += np.frombuffer(unpack(raw), np.uint32)
-        levels = [np.minimum(8 * np.log2(x + 1.0), 255).astype(np.uint8).tobytes() for x in total.values()]
-        yield pa.record_batch({"segment": pa.array(list(total), pa.int32()), "levels": pa.array(levels, pa.binary())})
-
-    rows = (docs.select("text").mapInArrow(count, "segment int, counts binary").repartition("segment")
-            .mapInArrow(add, "segment int, levels binary").collect())  # SEGMENTS rows, 2^SKETCH_BITS bytes in all
-    levels = np.zeros(size, np.uint8)
-    for r in rows:
-        levels[r.segment * part: (r.segment + 1) * part] = np.frombuffer(r.levels, np.uint8)
-    return levels
-
-
-def bloom_words(tokens: DataFrame, most_bits: int = 28) -> np.ndarray:
-    """Bloom filter (two bits a token) of a column of longs, built by a bit_or
-    per 64-bit word; at most 2^most_bits bits reach the driver."""
-    n = max(1, tokens.count())
-    bits = min(most_bits, max(16, (16 * n - 1).bit_length()))
-    t = tokens.columns[0]
-    at = F.explode(F.array(F.shiftrightunsigned(t, 64 - bits), F.col(t).bitwiseAND((1 << bits) - 1))).alias("at")
-    rows = (tokens.select(at).select(F.shiftright("at", 6).alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-            .groupBy("word").agg(F.bit_or("bit").alias("bits"))).toArrow()
-    words = np.zeros(1 << (bits - 6), U)
-    if rows.num_rows:
-        words[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(U)
-    return words
-
-
-def in_bloom(words: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    bits = len(words).bit_length() - 1 + 6
-    def has(at):
-        return (words[at >> U(6)] >> (at & U(63))) & U(1)
-    return (has(tokens >> U(64 - bits)) & has(tokens & U((1 << bits) - 1))).astype(bool)
+    def levels(self, tokens: np.ndarray) -> np.ndarray:
+        keys = key_of(tokens, self.bits)
+        out, at = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        for bloom in self.blooms:
+            at = at[bloom.has(keys[at])]
+            out[at] += 1
+        return out
 
 
 def _lists(arrays: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
-    return pa.array([None if a is None else a for a in arrays], pa.list_(kind))
+    return pa.array(arrays, pa.list_(kind))
 
 
-def describe(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = 3) -> DataFrame:
+def describe(docs: DataFrame, known: Broadcast, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per input row: doc_id, key (row identity), node, n; and for one row per node and task
-    that may have a partner its prefix tokens (p0, and p1.. cut to 32 bits)."""
-    sc = docs.sparkSession.sparkContext
-    levels = sc.broadcast(frequency_levels(docs, width))  # 2^SKETCH_BITS bytes
-
-    def first_prefixes(batches):
-        seen: set[int] = set()
-        for batch in batches:
-            for _, sets in shingle_sets(batch, width):
-                out = []
-                for s in sets:
-                    if len(s) and (node := node_of(s)) not in seen:
-                        if len(seen) < 1_000_000:  # only saves repeats; what is emitted twice counts twice
-                            seen.add(node)
-                        out.append(prefix(s, levels.value, 0, percent))
-                tokens = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-                yield pa.record_batch({"token": pa.array(tokens, pa.int64())})
-
-    repeated = (docs.select("text").mapInArrow(first_prefixes, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > 1).select("token"))
-    bloom = sc.broadcast(bloom_words(saved(repeated, "repeated-tokens")))
+    that may have a partner the repeated tokens of its first-order prefix with their ranks (p0, rank)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches):
         seen: set[int] = set()
         for batch in batches:
-            for block, sets in shingle_sets(batch, width):
-                nodes, first, rest = [], [], [[] for _ in range(1, orders)]
-                for s in sets:
-                    node, own = node_of(s), None
-                    nodes.append(node)
-                    if len(s) and node not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(node)
-                        p = prefix(s, levels.value, 0, percent)
-                        p = p[in_bloom(bloom.value, p)]
-                        own = p.view(np.int64) if len(p) else None
-                    first.append(own)
-                    for k, r in enumerate(rest):
-                        r.append(None if own is None else (prefix(s, levels.value, k + 1, percent) >> U(32)).astype(np.uint32).view(np.int32))
-                cols = {"doc_id": block.column("doc_id"), "key": block.column("key"), "node": pa.array(nodes, pa.int64()),
-                        "n": pa.array([len(s) for s in sets], pa.int64()), "p0": _lists(first, pa.int64()),
-                        **{f"p{k + 1}": _lists(r, pa.int32()) for k, r in enumerate(rest)}}
-                yield pa.record_batch(cols)
-
-    more = "".join(f", p{k} array<int>" for k in range(1, orders))
-    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(rows, f"doc_id {kind}, key long, node long, n long, p0 array<long>{more}")
-
-
-def compatible(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, tokens) of the wanted nodes; a few unwanted ones may come along."""
-    bloom = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted))
+            for block in blocks(batch):
+                sets = Sets(block, width)
+                nodes, levels = sets.nodes(), known.value.levels(sets.tokens)
+                ranks = sets.ranks(levels, 0)
+                first, rank = [None] * block.num_rows, [None] * block.num_rows
+                for d in fresh(nodes, seen):
+                    own = levels[sets.cut[d]: sets.cut[d + 1]]
+                    alone = int(np.count_nonzero(own == 0))  # these come first
+                    p = sets.prefix(ranks, d, percent) if alone < prefix_length(len(own), percent) else ()
+                    if len(p):
+                        first[d], rank[d] = p[alone:].view(np.int64), np.arange(alone, len(p), dtype=np.int32)
+                yield pa.record_batch({"doc_id": block.column("doc_id"), "key": block.column("key"), "node": pa.array(nodes, pa.int64()),
+                                       "n": pa.array(sets.sizes, pa.int64()), "p0": _lists(first, pa.int64()), "rank": _lists(rank, pa.int32())})
+
+    return docs.select("doc_id", row_key().alias("key"), "text").transform(
+        in_arrow, rows, f"doc_id {kind}, key long, node long, n long, p0 array<long>, rank array<int>")
+
+
+def enough(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Whether sets of n and m tokens can be similar if their first common token stands at ranks i and j (from 0)."""
+    return F.least(n - i, m - j) * (100 + percent) >= (n + m) * percent
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, frequencies: Broadcast, width: int, percent: int, orders: int) -> DataFrame:
+    """(node, n, prefixes under the further orders cut to 32 bits, tokens) of the wanted nodes; a few others may come along."""
+    known = docs.sparkSession.sparkContext.broadcast(Bloom(wanted))
+    names = [f"p{k}" for k in range(1, orders)]
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for _, sets in shingle_sets(batch, width):
-                nodes = np.array([node_of(s) for s in sets], np.int64)
-                own = [i for i in np.flatnonzero(in_bloom(bloom.value, nodes.view(U))).tolist() if len(sets[i]) and nodes[i] not in seen]
-                own = list({int(nodes[i]): i for i in own}.values())
-                if len(seen) < 1_000_000:
-                    seen.update(nodes[own].tolist())
-                yield pa.record_batch({"node": pa.array(nodes[own], pa.int64()), "tokens": _lists([sets[i].view(np.int64) for i in own], pa.int64())})
-
-    return docs.select("text").mapInArrow(run, "node long, tokens array<long>").dropDuplicates(["node"])
-
-
-def verify(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, width: int, percent: int, orders: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of all further orders and the exact test."""
-    keys = [f"p{k}" for k in range(1, orders)]
-    one = nodes.select(F.col("node").alias("a"), F.struct(*keys).alias("pa"))
-    two = nodes.select(F.col("node").alias("b"), F.struct(*keys).alias("pb"))
-    kept = pairs.join(one, "a").join(two, "b")
-    for k in keys:
-        kept = kept.where(F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]))
+            for block in blocks(batch):
+                sets = Sets(block, width)
+                nodes = sets.nodes()
+                own = fresh(np.where(known.value.has(nodes.view(U)), nodes, 0), seen)
+                more = {}
+                levels = frequencies.value.levels(sets.tokens) if own else None
+                for k, p in enumerate(names, 1):
+                    ranks = sets.ranks(levels, k) if own else None
+                    more[p] = _lists([sets.prefix(ranks, d, percent).astype(np.uint32).view(np.int32) for d in own], pa.int32())
+                yield pa.record_batch({"node": pa.array(nodes[own], pa.int64()), "n": pa.array(sets.sizes[own], pa.int64()), **more,
+                                       "tokens": _lists([sets.tokens[sets.cut[d]: sets.cut[d + 1]].view(np.int64) for d in own], pa.int64())})
+
+    kinds = "".join(f"{p} array<int>, " for p in names)
+    return docs.select("text").transform(in_arrow, run, f"node long, n long, {kinds}tokens array<long>").dropDuplicates(["node"])
+
+
+def verify(docs: DataFrame, pairs: DataFrame, frequencies: Broadcast, width: int, percent: int, orders: int) -> DataFrame:
+    """The pairs (a, b) that are candidates under every further order too and pass the exact test."""
+    wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-wanted")
+    sets = saved(sets_of(docs, wanted, frequencies, width, percent, orders), "join-sets")
+    keys = ["n", *[f"p{k}" for k in range(1, orders)]]
+    kept = (pairs.join(sets.select(F.col("node").alias("a"), F.struct(*keys).alias("x")), "a")
+            .join(sets.select(F.col("node").alias("b"), F.struct(*keys).alias("y")), "b"))
+    for k in keys[1:]:
+        x, y = F.col("x")[k], F.col("y")[k]
+        kept = kept.withColumn("t", F.get(F.array_intersect(x, y), F.lit(0))).where(
+            enough(F.col("x.n"), F.array_position(x, F.col("t")) - 1, F.col("y.n"), F.array_position(y, F.col("t")) - 1, percent))
     kept = saved(kept.select("a", "b"), "join-candidates")
-    wanted = saved(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-wanted")
-    sets = saved(sets_of(docs, wanted, width), "join-sets")
     both = (kept.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b"))
     same = F.size(F.array_intersect("ta", "tb"))
@@ -236,37 +206,57 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         labels = labels.select("node", "component")
 
 
+def postings(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, rank, size_class), without those that no other posting
+    of the token can make a candidate.
+
+    By ``enough``, a partner of a set of n tokens at rank i has at most
+    (n - i) (100 + percent) / percent - n tokens ("most"); so some set of the
+    token must be that small, and some must allow n.
+    """
+    most = (F.col("n") - F.col("rank")) * (100 + percent) / percent - F.col("n") + 1e-6
+    at = F.explode(F.arrays_zip("p0", "rank")).alias("at")
+    every = (rows.where(F.col("p0").isNotNull()).select("node", "n", at)
+             .select("node", "n", F.col("at.p0").alias("token"), F.col("at.rank").alias("rank")).withColumn("most", most))
+    token = (every.groupBy(F.col("token").alias("t")).agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("n").alias("least"),
+                                                          F.max("most").alias("widest"))
+             .where(F.col("lo") < F.col("hi")).select("t", "least", "widest"))
+    kept = every.join(saved(token, "tokens"), F.col("token") == F.col("t")).where((F.col("least") <= F.col("most")) & (F.col("widest") >= F.col("n")))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9))
+    return kept.select("node", "n", size_class.alias("size_class"), "token", "rank").distinct()
+
+
 def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = 3) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, key (row
     identity) and whether the row is the one of its component that stays."""
     spark = docs.sparkSession
-    rows = saved(describe(docs, width, percent, orders), "set-rows")
-    able = rows.where(F.col("p0").isNotNull())
-    nodes = saved(able.drop("doc_id", "key", "p0").dropDuplicates(["node"]), "set-nodes")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) + 1e-9))
-    posts = saved(able.select("node", "n", size_class.alias("size_class"), F.explode("p0").alias("token")).distinct(), "postings")
-
-    # round 1: stars, every node against the least node of its own and the next size class
-    centers = posts.groupBy("token", F.col("size_class").alias("near")).agg(F.min(F.struct("node", "n")).alias("c"))
-    centers = saved(centers.select("token", "near", F.col("c.node").alias("center"), F.col("c.n").alias("center_n")), "centers")
+    frequencies = spark.sparkContext.broadcast(Frequencies(docs, width))  # bounded Bloom filters
+    rows = saved(describe(docs, frequencies, width, percent), "set-rows")
+    posts = saved(postings(rows, percent), "postings")
+
+    # round 1: stars, every node against one node of its own and the next size class
+    first = F.min(F.struct("rank", "node", "n")).alias("c")
+    centers = posts.groupBy("token", F.col("size_class").alias("near")).agg(first)
+    centers = saved(centers.select("token", "near", F.col("c.node").alias("center"), F.col("c.n").alias("m"), F.col("c.rank").alias("center_rank")), "centers")
     beside = posts.withColumn("near", F.explode(F.array("size_class", F.col("size_class") + 1)))
-    stars = beside.join(centers, ["token", "near"]).where((F.col("node") != F.col("center")) & compatible(F.col("n"), F.col("center_n"), percent))
+    stars = beside.join(centers, ["token", "near"]).where((F.col("node") != F.col("center")) & enough(F.col("n"), F.col("rank"), F.col("m"), F.col("center_rank"), percent))
     stars = saved(stars.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct(), "stars")
-    links = saved(verify(docs, stars, nodes, width, percent, orders), "star-links")
+    links = saved(verify(docs, stars, frequencies, width, percent, orders), "star-links")
     found = components(spark, links)
 
-    # round 2: per token only nodes of different components are still open
+    # round 2: per token only candidates of different components are still open
     named = posts.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = saved(named, "named-postings")
     open_tokens = saved(named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"))
                         .where((F.col("lo") < F.col("hi")) & (F.col("m") > 2)).select("token"), "open-tokens")
     still = saved(named.join(open_tokens, "token", "left_semi"), "open-postings")
-    one = still.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = still.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = (one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & compatible(F.col("na"), F.col("nb"), percent))
+    one = still.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
+    two = still.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    rest = (one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+                                         & enough(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb"), percent))
             .select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
     rest = saved(rest, "rest")
-    more = rest if rest.isEmpty() else saved(verify(docs, rest, nodes, width, percent, orders), "rest-links")
+    more = rest if rest.isEmpty() else saved(verify(docs, rest, frequencies, width, percent, orders), "rest-links")
     if not more.isEmpty():
         links = links.unionByName(more)
         found = components(spark, links)

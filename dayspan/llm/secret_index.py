@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import blocks, row_key, saved
+from dayspan.llm.common import blocks, in_arrow, row_key, saved
 
 MOST_STRINGS = 64
 
@@ -152,14 +152,14 @@ def build_index(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, size=1 << 20):
                 keys = block.column("key").to_pylist()
                 texts = [(t or "").encode().lower() for t in block.column("text").to_pylist()]
                 postings = {t: [k for k, x in zip(keys, texts, strict=True) if raw in x] for t, raw in needles}
                 yield pa.record_batch({"postings": pa.array([[(t, p) for t, p in postings.items() if p]],
                                                             pa.map_(pa.string(), pa.list_(pa.int64())))})
 
-    return docs.select(row_key().alias("key"), "text").mapInArrow(run, "postings map<string, array<long>>")
+    return docs.select(row_key().alias("key"), "text").transform(in_arrow, run, "postings map<string, array<long>>")
 
 
 def matching(query: frozenset) -> Column:
@@ -213,7 +213,7 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE) -> DataFrame:
                 spans.append([s for _, _, s in sorted((a, rank[own[i][0].kind], s) for a, i, s in hits)])
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "spans": pa.array(spans, pa.list_(pa.string()))})
 
-    return rows.mapInArrow(run, f"doc_id {kind}, spans array<string>")
+    return rows.transform(in_arrow, run, f"doc_id {kind}, spans array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import _Q, U, Words, blocks, mix, powers
+from dayspan.llm.common import U, _Q, Words, blocks, in_arrow, mix, powers
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 ITEM_BLOCK, ITEM_BYTES = 20_000, 16 << 20
@@ -185,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                                            "start": pa.array([r[2] for r in rows], pa.int64()), "similarity": pa.array([r[3] for r in rows], pa.float64()),
                                            "hamming": pa.array([r[4] for r in rows], pa.int64())})
 
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        out = out.unionByName(docs.select("doc_id", "text").transform(in_arrow, run, schema))
     return out
 
 
@@ -202,7 +202,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
                     keep[[r[0] for r in shared.value.matches(block.column(text_at), similarity)]] = False
                     yield block.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.transform(in_arrow, run, docs.schema)
     return docs
 
 

@@ -34,8 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dayspan.llm.common import U, Words, blocks, mix, row_key, saved, window_sums
-from dayspan.llm.ngram_join import bloom_words, in_bloom
+from dayspan.llm.common import MOST_SEEN, Bloom, U, Words, blocks, deal_bits, in_arrow, key_of, mix, repeated_keys, row_key, saved, window_sums
 
 LENGTH, SEED = 35, 8
 _AT = U((1 << 30) - 1)
@@ -90,39 +89,38 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     sc = docs.sparkSession.sparkContext
     texts = docs.select(row_key().alias("key"), "text")
 
-    def seeds(batches):
-        for _, runs in _runs(batches, length, seed):
-            yield pa.record_batch({"seed": _longs(runs.seed)})
+    bits = deal_bits(docs.sparkSession)
 
-    again = (texts.select("text").mapInArrow(seeds, "seed long").groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-             .where("n > 1").select("seed"))
-    known = sc.broadcast(bloom_words(saved(again, "repeated-seeds")))
+    def seeds(block):
+        return Runs(Words(block.column("text"), lower=False), length, seed).seed
+
+    known = sc.broadcast(Bloom(saved(repeated_keys(docs, seeds), "repeated-seeds").select("key")))
 
     def found(batches):
         for block, runs in _runs(batches, length, seed):
-            at = np.flatnonzero(in_bloom(known.value, runs.seed))
+            at = np.flatnonzero(known.value.has(key_of(runs.seed, bits)))
             key = block.column("key").to_numpy(zero_copy_only=False)
             yield pa.record_batch({"key": _longs(key[runs.doc[at]]), "seed": _longs(runs.seed[at]), "digest": _longs(runs.digest[at]),
                                    "first": _longs(runs.first[at]), "windows": _longs(runs.count[at])})
 
-    seen = saved(texts.mapInArrow(found, "key long, seed long, digest long, first long, windows long"), "seed-runs")
+    seen = saved(texts.transform(in_arrow, found, "key long, seed long, digest long, first long, windows long"), "seed-runs")
     equal = saved(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d")), "equal-runs")
     whole = (seen.join(equal, F.col("digest") == F.col("d"))
              .select("key", F.col("first").alias("from"), (F.col("first") + F.col("windows") + (length - 1)).alias("to")))
 
     mixed = (seen.groupBy("seed").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where(F.col("lo") < F.col("hi")).select("seed"))
-    open_seeds = sc.broadcast(bloom_words(saved(mixed, "open-seeds")))
+    open_seeds = sc.broadcast(Bloom(saved(mixed, "open-seeds")))
 
     def windows(batches):
         sent: set[int] = set()
         for block, runs in _runs(batches, length, seed):
-            at = np.flatnonzero(in_bloom(open_seeds.value, runs.seed))
+            at = np.flatnonzero(open_seeds.value.has(runs.seed))
             digests = runs.digest[at].tolist()
             fresh = []
             for i, d in enumerate(digests):
                 if d not in sent:
                     fresh.append(i)
-                    if len(sent) < 1_000_000:
+                    if len(sent) < MOST_SEEN:
                         sent.add(d)
             at = at[fresh]
             offsets = np.append(0, np.cumsum(runs.count[at]))
@@ -131,7 +129,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
             own = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), _longs(runs.window[places]))
             yield pa.record_batch({"key": _longs(key[runs.doc[at]]), "first": _longs(runs.first[at]), "hashes": own})
 
-    single = saved(texts.mapInArrow(windows, "key long, first long, hashes array<long>"), "open-runs")
+    single = saved(texts.transform(in_arrow, windows, "key long, first long, hashes array<long>"), "open-runs")
     twice = (single.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
     twice = saved(twice, "equal-windows")
     parts = (single.select("key", "first", F.posexplode("hashes").alias("i", "hash")).join(twice, F.col("hash") == F.col("w"))
@@ -169,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
                                        "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     rows = docs.select("doc_id", row_key().alias("key"), "text").join(marks, F.col("key") == F.col("marked"), "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    return rows.select("doc_id", "text", "spans").transform(in_arrow, run, f"doc_id {kind}, n_words long, n_removed long, kept string")
 
 
 def brute_force(texts: list[str | None], length: int = LENGTH) -> list[tuple[int, int, str]]:

@@ -33,12 +33,8 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix(documents(spark, sf_dir))
     first = F.get("copies", F.lit(0))["position"]
-    return plan.select("doc_id", "size", "source_size", "target", "taken", first.alias("first_position")).orderBy(
-        F.col("first_position").asc_nulls_last(), "doc_id")
-
-
-def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_dedup.exact_dedup(documents(spark, sf_dir))
+    return (plan.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").cast("long").alias("n_copies"), first.alias("first"))
+            .orderBy(F.col("first").asc_nulls_last(), "doc_id").drop("first"))
 
 
 def op3_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +66,10 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_chunk_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.exact_dedup(documents(spark, sf_dir))
+
+
 def op9_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_index.digest(secret_index.scan(documents(spark, sf_dir)))
 
@@ -83,6 +83,62 @@ QUERIES = {f.__name__: f for f in (
     op6_hyperdimensional_language, op7_compression_quality, op8_chunk_recipes, op9_trigram_secrets, op10_multi_order_jaccard)}
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_curriculum_mixing"] = r"""
+with d as (
+    select doc_id, source, md5('mix:' || doc_id) as coin,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size
+    from documents),
+s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by source),
+w as (select *, case rank % 3 when 0 then 5 when 1 then 2 else 1 end as weight, source_size * 3 as cap from s),
+l as (select *, cap / weight as ratio,
+             (sum(source_size) over () - coalesce(sum(cap) over upto, 0))::double
+               / (sum(weight) over () - coalesce(sum(weight) over upto, 0))::double as tried
+      from w window upto as (order by cap / weight, rank rows between unbounded preceding and 1 preceding)),
+m as (select *, max(case when ratio >= tried then tried end) over () as level from l),
+t as (select source, source_size, case when level is null or ratio <= level then cap::double else level * weight end as target from m),
+p as (select d.*, t.source_size, t.target, floor(t.target)::bigint as goal,
+             coalesce(sum(size) over (partition by d.source order by coin, doc_id rows between unbounded preceding and 1 preceding), 0) as place
+      from d join t on d.source is not distinct from t.source),
+c as (select doc_id, size, source_size, target, k, greatest(0, least(size, goal - (k * source_size + place)))::bigint as words
+      from p, (select unnest([0, 1, 2]) as k) copies)
+select doc_id, size, source_size, any_value(target) as target, sum(words)::bigint as taken, count(*) filter (words > 0) as n_copies
+from c group by doc_id, size, source_size
+"""
+
+ORACLE["op3_seed_extend"] = r"""
+with d as (
+    select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+a as (select r, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35),
+x as (select r, i, md5(array_to_string(w[i:i + 34], ' ')) as h from a),
+again as (select h from x group by h having count(*) > 1),
+gone as (select distinct r, i + k as j from x join again using (h), (select unnest(range(35)) as k) o),
+words as (select r, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from d),
+kept as (select r, string_agg(word, ' ' order by j) as t, count(*) as n from words anti join gone using (r, j) group by r)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (r)
+"""
+
+ORACLE["op10_multi_order_jaccard"] = r"""
+with recursive d as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as w
+    from documents),
+a as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0),
+x as (select distinct doc_id, md5(array_to_string(w[i:i + 4], ' ')) as h from a),
+n as (select doc_id, count(*) as n from x group by doc_id),
+shared as (select p.doc_id as a, q.doc_id as b, count(*) as c from x p join x q using (h) where p.doc_id < q.doc_id group by all),
+links as (
+    select a, b from shared join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+    select doc_id as start, doc_id as node from d
+    union
+    select start, b from reach join both_ways on node = a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(node) as component_id
+from d left join n using (doc_id) join reach on start = d.doc_id group by all
+"""
+
 ORACLE["op8_chunk_recipes"] = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dayspan.functions.columns import ratio
-from dayspan.operators.clean import cap_date, fill_blank, fill_null, presence_flag, case_label
-from dayspan.operators.groups import group_size, group_value, previous_end
+from dayspan.operators.clean import cap_date, case_label, cast_columns, fill_blank, fill_null, presence_flag, recode
+from dayspan.operators.groups import fold_children, group_size, group_value, previous_end
 from dayspan.operators.intervals import (clip_span, interval_overlap_join_bucketed, overlap_day_rows, overlap_days,
                                          repair_open_ended, span_days)
 from dayspan.plans.spans import KEYS, SPAN, kept_absences
@@ -103,6 +103,18 @@ def curate_spans(contracts: DataFrame, absences: DataFrame, window, as_of, keys=
     return materialize_table(c, "curated-spans") if materialize else c
 
 
+def curate_parts(parts: DataFrame, casts, mapping: DataFrame, bindings, dependents: DataFrame, flag: str, absences: DataFrame,
+                 window, as_of, **options) -> DataFrame:
+    """Stage 1 from raw parts (``read_parts``): casts that turn unreadable
+    values into null, codes replaced through the dictionary, the dependents
+    folded to one count per contract, then ``curate_spans``."""
+    c = recode(cast_columns(parts, casts), mapping, bindings)
+    n = fold_children(dependents, ["contract_id"], flag, "dependents").withColumnRenamed("contract_id", "__child")
+    c = c.join(n, F.col("contract_id") == F.col("__child"), "left").drop("__child")
+    c = c.withColumn("dependents", F.coalesce("dependents", F.lit(0).cast("long")))
+    return curate_spans(c, absences, window, as_of, **options)
+
+
 def overlap_rows(spans: DataFrame, absences: DataFrame) -> DataFrame:
     """Every span with every absence of the same worker and division that
     overlaps it (left join), the clipped overlap and its days."""

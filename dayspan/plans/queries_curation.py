@@ -13,6 +13,7 @@ from dayspan.plans.catalog import register
 from dayspan.plans.spans import KEYS, SPAN, clipped_spans, kept_absences
 from dayspan.sources import fixtures as fx
 from dayspan.sources import tables
+from dayspan.session import scratch_path
 
 
 def _d(x: dt.date) -> str:
@@ -51,12 +52,18 @@ MAPPING_OVERRIDES = [
 ]
 
 
-def q_recode_lookup(spark, sf):
+BINDINGS = {"cost_center": "segment", "contract_type": "status"}
+
+
+def _mapping(spark):
     schema = "category string, raw string, canonical string"
-    mapping = clean.build_mapping(spark.createDataFrame(MAPPING_DEFAULTS, schema),
-                                  spark.createDataFrame(MAPPING_OVERRIDES, schema))
+    return clean.build_mapping(spark.createDataFrame(MAPPING_DEFAULTS, schema),
+                               spark.createDataFrame(MAPPING_OVERRIDES, schema))
+
+
+def q_recode_lookup(spark, sf):
     c = fx.contracts(spark, sf).select("contract_id", "cost_center", "contract_type")
-    return clean.recode(c, mapping, {"cost_center": "segment", "contract_type": "status"})
+    return clean.recode(c, _mapping(spark), BINDINGS)
 
 
 register("recode_lookup", q_recode_lookup, """
@@ -95,7 +102,8 @@ where cast(('0x' || substr(md5(length(cast(contract_id as varchar)) || ':' || ca
 
 
 # A15 -- column profile ---------------------------------------------------------
-PROFILE_COLS = ["cost_center", "category", "contract_type", "hire_date", "division"]
+PROFILE_COLS = ["contract_id", "worker_id", "division", "cost_center", "category", "contract_type", "start_date", "end_date",
+                "hire_date", "birth_date", "amount"]
 
 
 def q_profile_columns(spark, sf):
@@ -117,8 +125,8 @@ register("profile_columns", q_profile_columns, _profile_sql(), ("contracts",))
 # B1, E7 -- drop columns then full-row dedupe ----------------------------------
 def q_dedupe_rows(spark, sf):
     c = fx.contracts(spark, sf)
-    return clean.dedupe(clean.drop_columns(c, ["contract_id", "start_date", "end_date", "hire_date", "amount",
-                                               "category", "not_there"]))
+    return clean.dedupe(clean.drop_columns(c, ["contract_id", "start_date", "end_date", "hire_date", "birth_date",
+                                               "amount", "category", "not_there"]))
 
 
 register("dedupe_rows", q_dedupe_rows, """
@@ -377,9 +385,9 @@ from (select o.*, s.span_days from ({OVERLAP_SQL}) o join spans s using (contrac
 
 # E5 -- grand totals -------------------------------------------------------------------
 def q_grand_totals(spark, sf):
-    spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN, "span_days")
-    totals = curation.absence_totals(spans, kept_absences(spark, sf))
-    rows = spans.join(totals, "contract_id", "left")
+    spans = clipped_spans(spark, sf).select(F.col("contract_id").alias(curation.ROW), *KEYS, *SPAN, "span_days")
+    totals = curation.absence_totals(spans, kept_absences(spark, sf), curation.WINDOW)
+    rows = spans.join(totals, curation.ROW, "left")
     return groups.grand_totals(rows, {"absence_days": "total_absence_days", "span_days": "span_days"})
 
 
@@ -414,3 +422,57 @@ def q_curated_spans(spark, sf):
 
 register("curated_spans", q_curated_spans,
          curation.with_curated("select " + ", ".join(CURATED_COLS) + " from curated"))
+
+# D4 by days -- every day under any absence counts once ---------------------------------
+def q_contract_distinct_days(spark, sf):
+    c = curation.curate_spans(fx.contracts(spark, sf), kept_absences(spark, sf), curation.WINDOW, fx.AS_OF, totals="distinct_days")
+    return c.select("contract_id", "span_days", "total_absence_days", "total_absence_share")
+
+
+register("contract_distinct_days", q_contract_distinct_days, curation.with_curated("""
+, covered as (
+    select distinct c.contract_id, cast(unnest(generate_series(greatest(c.span_start, a.start_date), least(c.span_end, a.end_date),
+                                                               interval 1 day)) as date) as day
+    from curated c join kept_absences a on a.worker_id = c.worker_id and a.division = c.division
+     and a.start_date <= c.span_end and a.end_date >= c.span_start)
+select contract_id, any_value(span_days) as span_days, count(day) as total_absence_days,
+       round(count(day) / any_value(span_days), 6) as total_absence_share
+from curated left join covered using (contract_id) group by contract_id"""))
+
+
+# Stage 1 end to end: typed yearly parts, casts, recode, dependents, curation -----------
+PART_SCHEMA = ("contract_id long, worker_id string, division string, cost_center string, category string, contract_type string, "
+               "start_date string, end_date string, hire_date string, birth_date string, amount string")
+PART_CASTS = {"worker_id": "bigint", "division": "int", "start_date": "date", "end_date": "date", "hire_date": "date",
+              "birth_date": "date", "amount": "double"}
+CHAIN_COLS = [*CURATED_COLS, "dependents"]
+# tells null from blank text in the CSV parts
+NULL_TEXT = "\\N"
+
+
+def q_stage_one_chain(spark, sf):
+    """Contracts written as two CSV parts of text and read back with a schema,
+    then the whole of stage 1 on them."""
+    base = scratch_path(spark, "parts")
+    whole = fx.contracts(spark, sf)
+    for part, rows in (("early", F.year("start_date") < 1998), ("late", F.year("start_date") >= 1998)):
+        tables.write_table(whole.where(rows), f"{base}/{part}", fmt="csv", nullValue=NULL_TEXT)
+    parts = tables.read_parts(spark, [f"{base}/early", f"{base}/late"], fmt="csv", schemas=PART_SCHEMA, nullValue=NULL_TEXT)
+    c = curation.curate_parts(parts, PART_CASTS, _mapping(spark), BINDINGS, curation.dependent_flags(spark, sf), "has_dependent",
+                              kept_absences(spark, sf), curation.WINDOW, fx.AS_OF)
+    return c.select(*CHAIN_COLS)
+
+
+def _chain_sql() -> str:
+    code = {"cost_center": "case cost_center when 'AUTOMOBILE' then 'auto' when 'MACHINERY' then 'machines' else cost_center end",
+            "contract_type": "case contract_type when 'F' then 'finished' when 'O' then 'open' else contract_type end"}
+    cols = ", ".join(f"{code[c]} as {c}" if c in code else c for c in CHAIN_COLS if c != "dependents")
+    return curation.with_curated(f"""
+, deps as (select l_orderkey as contract_id,
+                  sum(case when l_linenumber % 3 <> 0 and trim(l_linestatus) <> '' then 1
+                           when l_linenumber % 4 <> 0 and l_partkey % 3 <> 0 then 1 else 0 end) as n
+           from lineitem group by all)
+select {cols}, cast(coalesce(n, 0) as bigint) as dependents from curated left join deps using (contract_id)""")
+
+
+register("stage_one_chain", q_stage_one_chain, _chain_sql())

@@ -157,22 +157,57 @@ def overlap_day_rows(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequ
     """Distinct (row_id, day[, label]) for the days of a row's span that an
     event of the same keys covers.
 
-    Joined by keys and month on narrow columns; only overlapping days are
-    expanded, after the join. ``clamp`` bounds every overlap.
+    The events are folded first: distinct (keys, day, label), gathered per keys
+    and month (31 days at most), so a row's month meets one row of events and no
+    span is compared with every event of a hot key. Rows stay narrow, and only
+    covered days are expanded, after the join. ``clamp`` bounds every overlap.
     """
     (rs, re_), (es, ee) = row_span, event_span
+    low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
     left = month_pieces(rows.select(F.col(row_id).alias("__id"), *keys, F.col(rs).alias("__rs"), F.col(re_).alias("__re")),
                         "__rs", "__re", *clamp, "__m")
-    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    text = [F.col(label).alias("__label")] if label else []
-    right = month_pieces(events.select(*names, F.col(es).alias("__es"), F.col(ee).alias("__ee"), *text),
-                         "__es", "__ee", *clamp, "__em")
-    first = F.make_date((F.col("__m") / 12).cast("int"), (F.col("__m") % 12 + 1).cast("int"), F.lit(1))
-    j = left.join(right, [*[F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)], F.col("__m") == F.col("__em"),
-                          F.col("__es") <= F.col("__re"), F.col("__ee") >= F.col("__rs")])
-    j = j.withColumn("__a", F.greatest("__rs", "__es", first)).withColumn("__b", F.least("__re", "__ee", F.last_day(first)))
-    j = j.where(F.col("__a") <= F.col("__b")).withColumn(day, F.explode(F.sequence("__a", "__b")))
-    return j.select(F.col("__id").alias(row_id), day, *([F.col("__label").alias(label)] if label else [])).distinct()
+    names = [f"__k{i}" for i in range(len(keys))]
+    tags = [F.col(label).alias("__label")] if label else [F.lit(None).cast("string").alias("__label")]
+    right = events.where((F.col(es) <= F.col(ee)) & (F.col(es) <= high) & (F.col(ee) >= low))
+    right = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *tags,
+                         F.greatest(F.col(es), low).alias("__es"), F.least(F.col(ee), high).alias("__ee"))
+    right = expand_days(right, "__es", "__ee", "__day").select(*names, "__label", "__day").distinct()
+    right = right.groupBy(*names, _month_index(F.col("__day")).alias("__em")).agg(
+        F.collect_list(F.struct(F.col("__day").alias("day"), F.col("__label").alias("label"))).alias("__days"))
+    j = left.join(right, [*[F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)], F.col("__m") == F.col("__em")])
+    j = j.select("__id", "__rs", "__re", F.explode("__days").alias("__d"))
+    j = j.where(F.col("__d.day").between(F.col("__rs"), F.col("__re")))
+    return j.select(F.col("__id").alias(row_id), F.col("__d.day").alias(day), *([F.col("__d.label").alias(label)] if label else []))
+
+
+def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequence[str],
+                       row_span: tuple[str, str], event_span: tuple[str, str], clamp: tuple,
+                       total: str = "overlap_days", days: str = "covered_days") -> DataFrame:
+    """Per row that any event of the same keys overlaps: the sum of its overlaps
+    in days (``total``, a day under two events counts twice) and the number of
+    covered days (``days``).
+
+    The sum over events of their overlap is the sum over days of the events on
+    that day. Events are counted per keys and day, gathered per month, and a
+    row's month meets one such row: linear also for a key with most of the rows.
+    """
+    (rs, re_), (es, ee) = row_span, event_span
+    low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
+    left = month_pieces(rows.select(F.col(row_id).alias("__id"), *keys, F.col(rs).alias("__rs"), F.col(re_).alias("__re")),
+                        "__rs", "__re", *clamp, "__m")
+    names = [f"__k{i}" for i in range(len(keys))]
+    right = events.where((F.col(es) <= F.col(ee)) & (F.col(es) <= high) & (F.col(ee) >= low))
+    right = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
+                         F.greatest(F.col(es), low).alias("__es"), F.least(F.col(ee), high).alias("__ee"))
+    right = expand_days(right, "__es", "__ee", "__day").groupBy(*names, "__day").agg(F.count(F.lit(1)).alias("__n"))
+    right = right.groupBy(*names, _month_index(F.col("__day")).alias("__em")).agg(
+        F.collect_list(F.struct(F.col("__day").alias("day"), F.col("__n").alias("n"))).alias("__days"))
+    j = left.join(right, [*[F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)], F.col("__m") == F.col("__em")])
+    inside = F.filter("__days", lambda d: d["day"].between(F.col("__rs"), F.col("__re")))
+    j = j.select("__id", inside.alias("__in")).where(F.size("__in") > 0)
+    count = F.aggregate("__in", F.lit(0).cast("long"), lambda acc, d: acc + d["n"])
+    return j.select(F.col("__id").alias(row_id), count.alias("__t"), F.size("__in").alias("__c")).groupBy(row_id).agg(
+        F.sum("__t").alias(total), F.sum("__c").alias(days))
 
 
 def covered_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_span: tuple[str, str],
@@ -182,7 +217,7 @@ def covered_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_sp
     Adds day, flag (1 if an event of the same keys covers the day) and the
     sorted distinct non-blank labels of those events. The covered days of a
     row are gathered in one map (at most the days of its span), joined to the
-    row, and the row is expanded after that last shuffle.
+    row, and the wide row is expanded after that last shuffle.
     """
     days = overlap_day_rows(rows, events, row_id, keys, row_span, event_span, clamp, label)
     days = days.groupBy(row_id, "day").agg(F.array_sort(F.collect_set(F.when(F.trim(F.col(label)) != "", F.col(label)))).alias("__labels"))

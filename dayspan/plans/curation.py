@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from dayspan.functions.columns import ratio
 from dayspan.operators.clean import cap_date, case_label, cast_columns, fill_blank, fill_null, presence_flag, recode
 from dayspan.operators.groups import fold_children, group_size, group_value, previous_end
-from dayspan.operators.intervals import (clip_span, interval_overlap_join_bucketed, overlap_day_rows, overlap_days,
+from dayspan.operators.intervals import (clip_span, interval_overlap_join_bucketed, overlap_day_totals, overlap_days,
                                          repair_open_ended, span_days)
 from dayspan.plans.spans import KEYS, SPAN, kept_absences
 from dayspan.sources import fixtures as fx
@@ -128,16 +128,10 @@ def absence_totals(spans: DataFrame, absences: DataFrame, window, keys=KEYS, tot
     any absence overlaps. ``sum`` adds the overlaps of all absences, so a day
     under two absences counts twice; ``distinct_days`` counts it once.
     ``window`` bounds every span (they are clipped to it)."""
-    left = spans.select(ROW, *keys, *SPAN)
-    if totals == "distinct_days":
-        days = overlap_day_rows(left, absences, ROW, keys, SPAN, ("start_date", "end_date"), window)
-        return days.groupBy(ROW).agg(F.count(F.lit(1)).alias("total_absence_days"))
-    if totals != "sum":
+    if totals not in ("sum", "distinct_days"):
         raise ValueError("totals must be 'sum' or 'distinct_days'")
-    narrow = absences.select(*keys, "start_date", "end_date")
-    j = interval_overlap_join_bucketed(left, narrow, keys, SPAN, ("start_date", "end_date"), window, how="inner")
-    j = overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
-    return j.groupBy(ROW).agg(F.sum("overlap_days").cast("long").alias("total_absence_days"))
+    t = overlap_day_totals(spans, absences, ROW, keys, SPAN, ("start_date", "end_date"), window)
+    return t.select(ROW, F.col("overlap_days" if totals == "sum" else "covered_days").alias("total_absence_days"))
 
 
 def contract_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,12 @@ def test_skewed_input_three_plans_agree(spark):
     ev = iv.day_events(ab, KEYS, "start_date", "end_date", "absence_class")
     flagged = iv.attach_day_flags(iv.expand_days(sp, *SPAN, "day"), ev, KEYS, "day", count="n_abs")
     assert flagged.agg(F.sum("n_abs")).first()[0] == plain.agg(F.sum(days_of)).first()[0]
+    narrow = iv.overlap_day_rows(sp, ab, "contract_id", KEYS, SPAN, ("start_date", "end_date"), (D(1900, 1, 1), D(2100, 1, 1)))
+    assert rows(narrow, "contract_id", "day") == rows(flagged.where("flag = 1"), "contract_id", "day")
+    totals = iv.overlap_day_totals(sp, ab, "contract_id", KEYS, SPAN, ("start_date", "end_date"), (D(1900, 1, 1), D(2100, 1, 1)))
+    want = plain.groupBy("contract_id").agg(F.sum(days_of).cast("long").alias("n")).where("n > 0")
+    assert rows(totals, "contract_id", "overlap_days") == rows(want, "contract_id", "n")
+    assert rows(totals, "contract_id", "covered_days") == rows(narrow.groupBy("contract_id").count(), "contract_id", "count")
 
 
 def test_bucketed_join_open_ended_sentinel(spark):

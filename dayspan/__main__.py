@@ -15,7 +15,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from dayspan.plans import catalog
-from dayspan.session import ensure_checkpoint_dir
+from dayspan.session import drop_stage_tables, ensure_checkpoint_dir
 from dayspan.sources.tables import write_table
 
 
@@ -27,6 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--out", help="output folder (one sub-folder per query)")
     ap.add_argument("--format", default="parquet")
     ap.add_argument("--partition-by", nargs="*", default=None)
+    ap.add_argument("--keep-stage-tables", action="store_true", help="leave the stage tables of this run in the shared folder")
     args = ap.parse_args(argv)
     if args.list or not args.queries:
         for name in sorted(catalog.QUERIES):
@@ -46,6 +47,8 @@ def main(argv: list[str] | None = None) -> int:
         df = catalog.QUERIES[name](spark, args.data)
         parts = [c for c in (args.partition_by or []) if c in df.columns]
         write_table(df, f"{args.out.rstrip('/')}/{name}", fmt=args.format, partition_by=parts or None)
+        if not args.keep_stage_tables:
+            drop_stage_tables(spark)
         print(f"{name}: written to {args.out.rstrip('/')}/{name}", file=sys.stderr)
     return 0
 

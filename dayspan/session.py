@@ -59,22 +59,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if app not in _local_dirs:
             _local_dirs[app] = tempfile.mkdtemp(prefix="dayspan-ckpt-")
         path = _local_dirs[app]
-    spark.sparkContext.setCheckpointDir(path)
+    if not spark.sparkContext.getCheckpointDir():  # each call would make a folder
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the shared checkpoint folder for a written stage
-    table; two runs never share one."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex}")
+    table, below a folder of this application; no two runs share one."""
+    return os.path.join(_own_tables(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def drop_stage_tables(spark: SparkSession, folder: str | None = None) -> int:
-    """Delete the stage tables under the shared checkpoint folder once their
-    results have been written elsewhere; returns how many were removed."""
+def _own_tables(spark: SparkSession) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "tables", spark.sparkContext.applicationId)
+
+
+def drop_stage_tables(spark: SparkSession) -> int:
+    """Delete this application's stage tables once their results have been
+    written elsewhere; returns how many were removed. Other runs' tables stay."""
     jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(os.path.join(folder or ensure_checkpoint_dir(spark), "tables"))
+    root = jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return 0

@@ -15,17 +15,18 @@ from dayspan.session import local_session  # noqa: E402
 
 KEY = ["daily_absence_rate", "overlap_join_bucketed", "curated_spans", "day_matrix", "balance_exact"]
 NOTES = {
-    "daily_absence_rate": "Spans clipped before the Generate; absence-days folded by a plain hash aggregate on "
-                          "(worker, division, day); contract-days shuffled on the same three keys; the per-day "
-                          "count is partial+final. Scans read only the needed columns.",
-    "overlap_join_bucketed": "Both sides exploded to calendar months; the join keys are (worker, division, month); "
-                             "the pair is kept in the month where the overlap starts; unmatched spans come back "
-                             "through an anti join on contract_id.",
-    "curated_spans": "Group values (previous end, concurrent count, totals) are partial aggregates joined back on "
-                     "null-safe keys, not windows.",
-    "day_matrix": "Reads the two stage-1 tables written to the checkpoint folder; one shuffle of the "
-                  "contract-days on (worker, division, day); band cuts come from one struct scalar subquery over "
-                  "the span table; the holiday day-set is a broadcast bounded by the date domain.",
+    "daily_absence_rate": "Contract-days are counted per day in the task that expands them (partial aggregate below the "
+                          "exchange). Absences are folded per (worker, division, day) and gathered per month; the narrow "
+                          "month pieces of the spans meet one row each. Scans read only the needed columns.",
+    "overlap_join_bucketed": "The plan after the stage tables: the pairs (joined on worker, division and month, kept in the "
+                             "month where the overlap starts) are one table, the left rows with their own identity "
+                             "another; unmatched rows come back through an anti join on that identity.",
+    "curated_spans": "The plan after the stage tables (contracts with defaults, spans). Group values (previous end, "
+                     "concurrent count, totals) are partial aggregates joined back, not windows.",
+    "day_matrix": "Reads the stage-1 tables written to the checkpoint folder. Covered days come back as one map per span; "
+                  "the wide rows are expanded to days after that join, with no exchange above; band cuts come from one "
+                  "struct scalar subquery over the span table (listed once per reference, run once); the holiday day-set "
+                  "is a broadcast bounded by the date domain.",
     "balance_exact": "md5-prefix histograms per (class, bucket) instead of a per-class sort.",
 }
 

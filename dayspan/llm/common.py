@@ -93,7 +93,7 @@ def window_sums(values: np.ndarray, width: int) -> np.ndarray:
 class Words:
     """Words of a block of texts: ``hash`` per word, ``start``/``end`` byte
     offsets into ``data``, and ``first[d] .. first[d + 1]`` the words of text d.
-    With ``cut_marks`` a final '.' or ',' after an ASCII letter is a word of its own."""
+    With ``cut_marks`` a final '.' or ',' after a plain letter is a word of its own."""
 
     def __init__(self, texts: pa.Array, lower: bool, cut_marks: bool = False):
         texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -115,8 +115,9 @@ class Words:
         after[last] = False
         self.end = np.flatnonzero(inside & ~after) + 1
         if cut_marks and len(self.end):
-            mark, before_it = data[self.end - 1], data[np.maximum(self.end - 2, 0)] | 32
-            cut = np.flatnonzero(((mark == 46) | (mark == 44)) & (self.end - self.start > 1) & (before_it >= 97) & (before_it <= 122))
+            mark = data[self.end - 1]
+            cut = np.flatnonzero(((mark == 46) | (mark == 44)) & (self.end - self.start > 1))
+            cut = cut[plain_letters(data)[self.end[cut] - 2]]
             ends = self.end[cut]
             self.end[cut] -= 1
             self.start, self.end = np.insert(self.start, cut + 1, ends - 1), np.insert(self.end, cut + 1, ends)
@@ -145,6 +146,14 @@ class Words:
         return hashes, at
 
 
+def plain_letters(data: np.ndarray) -> np.ndarray:
+    """Bytes that belong to an ASCII letter or to a letter from U+00C0 to U+00FF."""
+    low = data | 32
+    second = np.zeros(len(data), bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # two signs are among them
+    return ((low >= 97) & (low <= 122)) | (data == 0xC3) | second
+
+
 def whole_hash(words: np.ndarray) -> np.uint64:
     """Hash of a word sequence shorter than a shingle; its length counts too."""
     n = len(words)

@@ -276,12 +276,29 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """One document of each component: the row of the smallest doc_id, all
-    columns kept. Of rows that repeat id and text one stays, also of empty ones."""
-    ids = saved(linked(docs, **options).where("stays").groupBy("key").agg(F.count(F.lit(1)).alias("times")), "stays")
+    columns kept. Of rows that repeat id and text one stays, also of empty ones.
+
+    Texts that surely stay are not moved: a Bloom filter of the keys to drop (or
+    to keep once) parts the rows, and only those that it holds are joined.
+    """
+    ids = linked(docs, **options)
+    special = saved(ids.groupBy("key").agg(F.max("stays").alias("once"), F.count(F.lit(1)).alias("times"))
+                    .where(~F.col("once") | (F.col("times") > 1)).select(F.col("key").alias("special"), "once"), "dropped")
+    known = docs.sparkSession.sparkContext.broadcast(Bloom(special.select("special")))
     rows = docs.select(row_key().alias("own"), F.struct("*").alias("d"))
-    rows = rows.join(ids, F.col("own") == F.col("key"))
+
+    def held(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                keys = batch.column("own").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+                yield batch.filter(pa.array(known.value.has(keys) == wanted))
+        return run
+
     names = [F.col("d")[c].alias(c) for c in docs.columns]
-    if ids.where("times > 1").isEmpty():
-        return rows.select(*names)
-    one = rows.where("times > 1").groupBy("own").agg(F.min_by("d", F.xxhash64("d")).alias("d"))
-    return rows.where("times = 1").select(*names).unionByName(one.select(*names))
+    sure = rows.transform(in_arrow, held(False), rows.schema).select(*names)
+    looked_up = rows.transform(in_arrow, held(True), rows.schema).join(special, F.col("own") == F.col("special"), "left")
+    out = sure.unionByName(looked_up.where(F.col("special").isNull()).select(*names))
+    if not special.where("once").isEmpty():
+        once = looked_up.where("once").groupBy("own").agg(F.min_by("d", F.xxhash64("d")).alias("d"))
+        out = out.unionByName(once.select(*names))
+    return out

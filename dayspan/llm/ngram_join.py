@@ -167,13 +167,16 @@ def sets_of(docs: DataFrame, wanted: DataFrame, frequencies: Broadcast, width: i
                                        "tokens": _lists([sets.tokens[sets.cut[d]: sets.cut[d + 1]].view(np.int64) for d in own], pa.int64())})
 
     kinds = "".join(f"{p} array<int>, " for p in names)
-    return docs.select("text").transform(in_arrow, run, f"node long, n long, {kinds}tokens array<long>").dropDuplicates(["node"])
+    found = docs.select("text").transform(in_arrow, run, f"node long, n long, {kinds}tokens array<long>")
+    sets = saved(found.dropDuplicates(["node"]), "join-sets")
+    known.destroy()  # the workers need not keep it
+    return sets
 
 
 def verify(docs: DataFrame, pairs: DataFrame, frequencies: Broadcast, width: int, percent: int, orders: int) -> DataFrame:
     """The pairs (a, b) that are candidates under every further order too and pass the exact test."""
     wanted = saved(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "join-wanted")
-    sets = saved(sets_of(docs, wanted, frequencies, width, percent, orders), "join-sets")
+    sets = sets_of(docs, wanted, frequencies, width, percent, orders)
     keys = ["n", *[f"p{k}" for k in range(1, orders)]]
     kept = (pairs.join(sets.select(F.col("node").alias("a"), F.struct(*keys).alias("x")), "a")
             .join(sets.select(F.col("node").alias("b"), F.struct(*keys).alias("y")), "b"))
@@ -261,6 +264,7 @@ def linked(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders:
         links = links.unionByName(more)
         found = components(spark, links)
 
+    frequencies.destroy()  # all that used it is written
     # a component is named after its row of the smallest doc_id (nulls last)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
     classes = saved(rows.where("n > 0").groupBy("node").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("m"))

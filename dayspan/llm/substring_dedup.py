@@ -104,6 +104,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
                                    "first": _longs(runs.first[at]), "windows": _longs(runs.count[at])})
 
     seen = saved(texts.transform(in_arrow, found, "key long, seed long, digest long, first long, windows long"), "seed-runs")
+    known.destroy()  # the workers need not keep it
     equal = saved(seen.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d")), "equal-runs")
     whole = (seen.join(equal, F.col("digest") == F.col("d"))
              .select("key", F.col("first").alias("from"), (F.col("first") + F.col("windows") + (length - 1)).alias("to")))
@@ -130,6 +131,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
             yield pa.record_batch({"key": _longs(key[runs.doc[at]]), "first": _longs(runs.first[at]), "hashes": own})
 
     single = saved(texts.transform(in_arrow, windows, "key long, first long, hashes array<long>"), "open-runs")
+    open_seeds.destroy()
     twice = (single.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
     twice = saved(twice, "equal-windows")
     parts = (single.select("key", "first", F.posexplode("hashes").alias("i", "hash")).join(twice, F.col("hash") == F.col("w"))

@@ -120,9 +120,8 @@ def exact_dedup(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
     themselves, so equal recipes always mean equal texts.
     """
     normal = normalised(docs)
-    marks = saved(chunk_table(normal, digest_bytes).groupBy("mark").agg(F.count(F.lit(1)).alias("contents"))
-                  .where(F.col("contents") > 1), "chunk-clashes")
-    clash = not marks.isEmpty()
+    marks = chunk_table(normal, digest_bytes).groupBy("mark").agg(F.count(F.lit(1)).alias("contents"))
+    clash = not marks.where(F.col("contents") > 1).isEmpty()
     rows = saved(recipes(normal, digest_bytes, chunks=clash), "recipes")
     groups = saved(rows.groupBy("recipe").agg(F.min("doc_id").alias("least"), F.count("doc_id").alias("ids"),
                                               F.count(F.lit(1)).alias("group_size"))

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from cases import as_sorted, by_row, edge_texts, frame
 
 from dayspan.llm import compression_quality, hyper_language, mixing, pseudo_likelihood
@@ -182,6 +183,27 @@ def test_language_model(spark):
     assert abs(net.log_probabilities(x, np.arange(3, 203)).sum() - out[3].log_likelihood) < 1e-2
 
 
+def test_language_model_trains_on_every_position(spark, monkeypatch):
+    seen = []
+    real = pseudo_likelihood.Network.step
+    monkeypatch.setattr(pseudo_likelihood.Network, "step", lambda net, x, at, *rest: (seen.extend(at.tolist()), real(net, x, at, *rest))[1])
+    lengths = np.array([0, 1, 2, 3, 5, 8, 50])
+    starts = 3 + np.cumsum(lengths + 3) - lengths - 3
+    batch = pa.record_batch({"key": pa.array([7, -1, 0, 1, 2, 2**62, -(2**62)], pa.int64()), "ids": pa.array([bytes(n) for n in lengths], pa.binary())})
+
+    class Tokens:  # runs the training task here, where its steps can be seen
+        sparkSession, select, columns = spark, lambda self, *names: self, ["key", "ids"]
+
+        def transform(self, with_, run, schema):
+            list(run([batch]))
+            return spark.createDataFrame([], schema)
+
+    net = pseudo_likelihood.Network.start(np.ones(256))
+    for number in range(pseudo_likelihood.ROUNDS):
+        pseudo_likelihood.train_round(Tokens(), net, number)
+    assert sorted(seen) == [p for s, n in zip(starts.tolist(), lengths.tolist(), strict=True) for p in range(s, s + n)]
+
+
 def test_language_model_gradient():
     """One step's gradient against finite differences."""
     rng = np.random.default_rng(1)

@@ -204,6 +204,41 @@ def test_language_model_trains_on_every_position(spark, monkeypatch):
     assert sorted(seen) == [p for s, n in zip(starts.tolist(), lengths.tolist(), strict=True) for p in range(s, s + n)]
 
 
+def test_language_model_tells_rare_words_of_a_bucket_apart(spark, monkeypatch):
+    rng = random.Random(7)
+    common = [f"w{i}" for i in range(600)]
+    rows = [(i, " ".join(rng.choices(common, k=60)), "en", "s") for i in range(300)]
+    last = rows[0][1].rsplit(" ", 1)[0]
+    rows += [(900 + i, f"{last} junk{i}", "en", "s") for i in range(40)] + [(990, None, None, None), (900, f"{last} junk0", "en", "s")]
+    found = []
+    for near in (1 << 18, 250, 0):  # all words broadcast, some, none: the same scores
+        monkeypatch.setattr(pseudo_likelihood, "NEAR", near)
+        net, tokens = pseudo_likelihood.fit(frame(spark, rows))
+        shares = {}
+        for r in tokens.select("doc_id", "share").collect():
+            shares.setdefault(r.doc_id, set()).add(round(r.share, 6))
+        found.append(shares)
+    assert found[0] == found[1] == found[2]
+    counts = {}
+    for r in rows:
+        for w in (r[1] or "").split():
+            counts[w] = counts.get(w, 0) + 1
+    hashes = dict(zip(counts, pseudo_likelihood.Words(pa.array([" ".join(counts)]), lower=True).hash.tolist(), strict=True))
+    signed = lambda w: hashes[w] - 2**64 * (hashes[w] >= 2**63)
+    top = set(sorted(counts, key=lambda w: (-counts[w], signed(w)))[:192])
+    buckets = {}
+    for w in counts.keys() - top:
+        buckets[hashes[w] % 64] = buckets.get(hashes[w] % 64, 0) + counts[w]
+    for r in rows:
+        want = sum(np.log(counts[w] / buckets[hashes[w] % 64]) for w in (r[1] or "").split() if w not in top)
+        assert found[0][r[0]] == {round(want, 6)} or abs(min(found[0][r[0]]) - want) < 1e-5
+    scored = {r.doc_id: r for r in pseudo_likelihood.score(tokens, net).collect()}
+    flat = tokens.where("doc_id = 905").collect()[0]
+    x = np.concatenate([np.full(3, 256), np.frombuffer(flat.ids, np.uint8), np.full(3, 256)]).astype(np.int16)
+    assert abs(net.log_probabilities(x, np.arange(3, len(x) - 3)).sum() + flat.share - scored[905].log_likelihood) < 1e-2
+    assert scored[990].log_likelihood == 0
+
+
 def test_language_model_gradient():
     """One step's gradient against finite differences."""
     rng = np.random.default_rng(1)

@@ -147,7 +147,7 @@ def enough(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, frequencies: Broadcast, width: int, percent: int, orders: int) -> DataFrame:
-    """(node, n, prefixes under the further orders cut to 32 bits, tokens) of the wanted nodes; a few others may come along."""
+    """(node, n, prefixes under the further orders, tokens) of the wanted nodes; a few others may come along."""
     known = docs.sparkSession.sparkContext.broadcast(Bloom(wanted))
     names = [f"p{k}" for k in range(1, orders)]
 
@@ -162,11 +162,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, frequencies: Broadcast, width: i
                 levels = frequencies.value.levels(sets.tokens) if own else None
                 for k, p in enumerate(names, 1):
                     ranks = sets.ranks(levels, k) if own else None
-                    more[p] = _lists([sets.prefix(ranks, d, percent).astype(np.uint32).view(np.int32) for d in own], pa.int32())
+                    more[p] = _lists([sets.prefix(ranks, d, percent).view(np.int64) for d in own], pa.int64())
                 yield pa.record_batch({"node": pa.array(nodes[own], pa.int64()), "n": pa.array(sets.sizes[own], pa.int64()), **more,
                                        "tokens": _lists([sets.tokens[sets.cut[d]: sets.cut[d + 1]].view(np.int64) for d in own], pa.int64())})
 
-    kinds = "".join(f"{p} array<int>, " for p in names)
+    kinds = "".join(f"{p} array<long>, " for p in names)
     found = docs.select("text").transform(in_arrow, run, f"node long, n long, {kinds}tokens array<long>")
     sets = saved(found.dropDuplicates(["node"]), "join-sets")
     known.destroy()  # the workers need not keep it

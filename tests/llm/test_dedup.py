@@ -1,6 +1,7 @@
 """Operators 3, 8 and 10 against brute force on the awkward frame."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -74,6 +75,18 @@ def test_jaccard_group_without_a_common_center(spark):
     assert by_row(ngram_join.linked(frame(spark, rows)), rows, "doc_id", "n_shingles", "component_id") == as_sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("seed", [1, 6, 9])
+def test_jaccard_of_very_long_texts(spark, seed):
+    """So many tokens that the low halves of different ones clash, ahead of the first common token."""
+    rng = random.Random(seed)
+    one = [str(rng.randrange(10**6)) for _ in range(500_000)]
+    two = list(one)
+    for i in rng.sample(range(500_000), 500_000 // 95):
+        two[i] = f"x{i}"
+    rows = [(1, " ".join(one), None, None), (2, " ".join(two), None, None)]
+    assert {r.component_id for r in ngram_join.linked(frame(spark, rows)).collect()} == {1}
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = edge_texts()
     df = frame(spark, rows)

@@ -33,3 +33,4 @@ register("daily_absence_rate", daily_rate.daily_absence_rate, daily_rate.DAILY_A
 from dayspan.plans import queries_curation  # noqa: E402,F401
 from dayspan.plans import queries_days  # noqa: E402,F401
 from dayspan.plans import queries_models  # noqa: E402,F401
+from dayspan.plans import queries_certificates  # noqa: E402,F401

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dayspan.operators import balance, evaluate, models
-from dayspan.operators.features import FeatureSpec, fit_features, temporal_split
+from dayspan.operators.features import fit_features
 from dayspan.plans import training as tr
 from dayspan.plans.catalog import register
 from dayspan.plans.queries_days import with_matrix
@@ -455,28 +455,17 @@ for _name, _fn in [("logistic_scored", q_logistic_scored), ("logistic_tuned", q_
     register(_name, _fn)
 
 
-# Model fits on line items with a planted label (l_quantity > 25), four numeric
-# features, trained on ship years before 1997 and scored on 1997-1998.
-LINE_SPEC = FeatureSpec(label="label", numeric=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
-
-
-def _line_frame(spark, sf):
-    li = fx.table(spark, sf, "lineitem").select(
-        (F.col("l_quantity") > 25).cast("double").alias("label"), "l_quantity", "l_extendedprice", "l_discount",
-        "l_tax", F.year("l_shipdate").alias("year"))
-    return temporal_split(li, "year", 1997, [1997, 1998])
-
-
+# Model fits on line items (training.line_frame)
 def _line_model(kind: str):
     def q(spark, sf):
-        train, test = _line_frame(spark, sf)
-        model = models.train(kind, train, LINE_SPEC)
+        train, test = tr.line_frame(spark, sf)
+        model = models.train(kind, train, tr.LINE_SPEC)
         scored = models.score(model, test)
         return evaluate.accuracy(scored, "label", "prediction", by=("year",))
     return q
 
 
-_LINE_COLS = LINE_SPEC.numeric
+_LINE_COLS = tr.LINE_SPEC.numeric
 LINE_NB_SQL = f"""
 with li as (select case when l_quantity > 25 then 1 else 0 end as y, l_quantity, l_extendedprice, l_discount, l_tax,
                    year(l_shipdate) as year from lineitem),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.operators.features import FeatureSpec
+from dayspan.operators.features import FeatureSpec, temporal_split
 from dayspan.plans.day_matrix import day_matrix
 from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import materialize as materialize_table
@@ -55,7 +55,6 @@ def train_test(df: DataFrame, train_before: int | None = None,
                test_years=None) -> tuple[DataFrame, DataFrame]:
     """Years before ``train_before`` train, ``test_years`` test (defaults: the
     fixture's 1999 split)."""
-    from dayspan.operators.features import temporal_split
     return temporal_split(df, "year", train_before or fx.TRAIN_BEFORE,
                           list(test_years) if test_years else [fx.TEST_YEAR])
 
@@ -66,3 +65,15 @@ def stand_in_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = model_frame(spark, sf_dir, materialize=False)
     return m.withColumn("prediction", F.when(F.col("total_absence_share") >= STAND_IN_CUT, F.lit(1.0))
                         .otherwise(F.lit(0.0)))
+
+
+# Line items with a planted label (l_quantity > 25) and four numeric features,
+# trained on ship years before 1997 and scored on 1997-1998.
+LINE_SPEC = FeatureSpec(label="label", numeric=["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+def line_frame(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    li = fx.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_quantity") > 25).cast("double").alias("label"), "l_quantity", "l_extendedprice", "l_discount",
+        "l_tax", F.year("l_shipdate").alias("year"))
+    return temporal_split(li, "year", 1997, [1997, 1998])

@@ -76,7 +76,7 @@ class Trees:
         turn = F.lit(len(OPEN) + len(NAMED) + len(CLOSE)) + F.length(escaped("role", ROLE_MARKS)) + F.length(escaped("text"))
         score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in messages.columns else F.lit(0.0)
         now = saved(messages.select("tree", "id", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"), score.alias("score"),
-                                    turn.cast("long").alias("chars"), turn.cast("long").alias("own")), "messages")
+                                    turn.cast("long").alias("chars"), turn.cast("long").alias("own")), "ways")
         total, far = now.count(), 1
         self.jumps: list[DataFrame] = []
         done = [now.where(F.col("up").isNull())]
@@ -128,7 +128,7 @@ class Trees:
 def formatted(messages: DataFrame, top: int = 1, trained: str = "assistant", piece_chars: int = PIECE_CHARS, repeated: bool = True) -> DataFrame:
     """The chosen branches as pieces: tree, branch, piece, last_piece, n_turns, text, loss
     (array of start, end in the piece's code points). ``repeated=False``: no (tree, id) repeats."""
-    messages = saved(one_row_each(messages), "messages") if repeated else messages
+    messages = saved(one_row_each(messages) if repeated else messages, "messages")
     trees = Trees(messages)
     listed = trees.listed(trees.best(top)).withColumnsRenamed({"tree": "b_tree", "id": "b_id"})
     ways = trees.ways.select(F.col("tree").alias("w_tree"), F.col("id").alias("w_id"), "depth", (F.col("chars") - F.col("own")).alias("at"))

@@ -151,82 +151,134 @@ def overlap_days(df: DataFrame, start: str, end: str, out: str = "overlap_days")
     return df.withColumn(out, F.when(F.col(start).isNull(), F.lit(0)).otherwise(days_inclusive(start, end)))
 
 
+def event_pieces(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple,
+                 label: str | None = None) -> DataFrame:
+    """The events' share of every calendar month they touch inside ``clamp``: the keys as __k0, __k1, ...,
+    __em (month index), __d1 and __d2 (days of the month), __begins (the event's first day, clamped, lies in this month), __label."""
+    es, ee = event_span
+    low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    own = events.where((F.col(es) <= F.col(ee)) & (F.col(es) <= high) & (F.col(ee) >= low)).select(
+        *names, (F.col(label) if label else F.lit(None).cast("string")).alias("__label"),
+        F.greatest(F.col(es), low).alias("__es"), F.least(F.col(ee), high).alias("__ee"))
+    pieces = month_pieces(own, "__es", "__ee", *clamp, "__em")
+    begins, ends = _month_index(F.col("__es")) == F.col("__em"), _month_index(F.col("__ee")) == F.col("__em")
+    return pieces.select(*[f"__k{i}" for i in range(len(keys))], "__em", "__label", begins.alias("__begins"),
+                         F.when(begins, F.dayofmonth("__es")).otherwise(1).alias("__d1"),
+                         F.when(ends, F.dayofmonth("__ee")).otherwise(31).alias("__d2"))
+
+
+def _mask(first: str, last: str) -> Column:
+    """A long with the bits of the days ``first`` .. ``last`` of a month (day 1 is bit 0)."""
+    return F.expr(f"shiftleft(shiftleft(1L, {last} - {first} + 1) - 1L, {first} - 1)")
+
+
+def month_masks(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple,
+                label: str | None = None) -> DataFrame:
+    """Per keys (__k0, ...) and month (__em): __any, the covered days as a bit mask, and with ``label``
+    __marks, an array of (label, mask).
+
+    An event is one row per month it touches, and days are folded by OR, which
+    combines in every task: a hot key sends a long per month, label and task."""
+    names = [f"__k{i}" for i in range(len(keys))]
+    p = event_pieces(events, keys, event_span, clamp, label).withColumn("__mask", _mask("__d1", "__d2"))
+    if not label:
+        return p.groupBy(*names, "__em").agg(F.bit_or("__mask").alias("__any"))
+    p = p.groupBy(*names, "__em", "__label").agg(F.bit_or("__mask").alias("__mask"))
+    return p.groupBy(*names, "__em").agg(F.bit_or("__mask").alias("__any"),
+                                         F.collect_list(F.struct(F.col("__label").alias("label"), F.col("__mask").alias("mask"))).alias("__marks"))
+
+
+def _meet_months(rows: DataFrame, months: DataFrame, keys: Sequence[str], row_span: tuple[str, str]) -> DataFrame:
+    """``rows`` once per month of their span (__m; __p1 .. __p2 the piece's dates), with what ``months`` has for the keys and month."""
+    rs, re_ = F.col(row_span[0]), F.col(row_span[1])
+    pieces = rows.where(rs <= re_).withColumn("__m", F.explode(F.sequence(_month_index(rs), _month_index(re_))))
+    first = F.expr("make_date(int(`__m` div 12), int(`__m` % 12 + 1), 1)")
+    pieces = pieces.withColumns({"__p1": F.greatest(rs, first), "__p2": F.least(re_, F.last_day(first))})
+    on = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)] + [F.col("__m") == F.col("__em")]
+    return pieces.join(months, on, "left")
+
+
+def flagged_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_span: tuple[str, str],
+                 event_span: tuple[str, str], clamp: tuple, label: str | None = None) -> DataFrame:
+    """``rows`` expanded to days: day, flag (1 if an event of the same keys covers the day) and, with
+    ``label``, labels (sorted distinct non-blank labels of those events; null without a flag).
+
+    Events are folded per keys and month (``month_masks``) before they meet
+    anything. A row meets one folded row a month, in one shuffle of its
+    months, and is expanded after it: no pairs, no set per row and day. A key with most of the
+    rows is spread over its months. ``clamp`` bounds every event day that counts.
+    """
+    met = _meet_months(rows, month_masks(events, keys, event_span, clamp, label), keys, row_span)
+    extra = ["__any", *(["__marks"] if label else [])]
+    days = met.select(*rows.columns, *extra, F.explode(F.sequence("__p1", "__p2")).alias("day"))
+    bit = F.dayofmonth("day") - 1
+    days = days.withColumn("flag", F.coalesce(F.bit_get("__any", bit).cast("int"), F.lit(0)))
+    if label:
+        here = F.filter("__marks", lambda m: (F.trim(m["label"]) != "") & (F.bit_get(m["mask"], bit) == 1))
+        days = days.withColumn("labels", F.when(F.col("flag") == 1, F.array_sort(F.transform(here, lambda m: m["label"]))))
+    return days.drop(*extra)
+
+
 def overlap_day_rows(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequence[str],
                      row_span: tuple[str, str], event_span: tuple[str, str], clamp: tuple,
                      label: str | None = None, day: str = "day") -> DataFrame:
     """Distinct (row_id, day[, label]) for the days of a row's span that an
-    event of the same keys covers.
-
-    The events are folded first: distinct (keys, day, label), gathered per keys
-    and month (31 days at most), so a row's month meets one row of events and no
-    span is compared with every event of a hot key. Rows stay narrow, and only
-    covered days are expanded, after the join. ``clamp`` bounds every overlap.
-    """
-    (rs, re_), (es, ee) = row_span, event_span
-    low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
-    left = month_pieces(rows.select(F.col(row_id).alias("__id"), *keys, F.col(rs).alias("__rs"), F.col(re_).alias("__re")),
-                        "__rs", "__re", *clamp, "__m")
+    event of the same keys covers (from the folded months, see ``flagged_days``)."""
+    months = month_masks(events, keys, event_span, clamp, label)
+    narrow = rows.select(F.col(row_id).alias("__id"), *keys, F.col(row_span[0]).alias("__rs"), F.col(row_span[1]).alias("__re"))
+    met = _meet_months(narrow, months, keys, ("__rs", "__re")).where(F.col("__any").isNotNull())
+    marks = F.col("__marks") if label else F.array(F.struct(F.lit(None).cast("string").alias("label"), F.col("__any").alias("mask")))
+    met = met.select("__id", "__p1", "__p2", F.explode(marks).alias("__mark"))
+    days = met.select("__id", "__mark", F.explode(F.sequence("__p1", "__p2")).alias(day))
+    days = days.where(F.bit_get("__mark.mask", F.dayofmonth(day) - 1) == 1)
+    return days.select(F.col("__id").alias(row_id), day, *([F.col("__mark.label").alias(label)] if label else []))
+
+
+def month_changes(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple) -> DataFrame:
+    """The sweep line of every keys (__k0, ...) and month (__em): __changes, an array of (day, delta, begun): by how many
+    active events the count changes on that day of the month (+1 at a start or at
+    the month's first day, -1 after an end) and how many begin; and __any, the covered days as a bit mask.
+
+    Changes are summed per keys and day first, so a month holds 31 of them at most, whatever the number of events."""
     names = [f"__k{i}" for i in range(len(keys))]
-    tags = [F.col(label).alias("__label")] if label else [F.lit(None).cast("string").alias("__label")]
-    right = events.where((F.col(es) <= F.col(ee)) & (F.col(es) <= high) & (F.col(ee) >= low))
-    right = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *tags,
-                         F.greatest(F.col(es), low).alias("__es"), F.least(F.col(ee), high).alias("__ee"))
-    right = expand_days(right, "__es", "__ee", "__day").select(*names, "__label", "__day").distinct()
-    right = right.groupBy(*names, _month_index(F.col("__day")).alias("__em")).agg(
-        F.collect_list(F.struct(F.col("__day").alias("day"), F.col("__label").alias("label"))).alias("__days"))
-    j = left.join(right, [*[F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)], F.col("__m") == F.col("__em")])
-    j = j.select("__id", "__rs", "__re", F.explode("__days").alias("__d"))
-    j = j.where(F.col("__d.day").between(F.col("__rs"), F.col("__re")))
-    return j.select(F.col("__id").alias(row_id), F.col("__d.day").alias(day), *([F.col("__d.label").alias(label)] if label else []))
+    p = event_pieces(events, keys, event_span, clamp).withColumn("__mask", _mask("__d1", "__d2"))
+    change = F.array(
+        F.struct(F.col("__d1").alias("day"), F.lit(1).alias("delta"), F.col("__begins").cast("int").alias("begun"), F.col("__mask").alias("mask")),
+        F.struct((F.col("__d2") + 1).alias("day"), F.lit(-1).alias("delta"), F.lit(0).alias("begun"), F.lit(0).cast("long").alias("mask")))
+    p = p.select(*names, "__em", F.explode(change).alias("c")).groupBy(*names, "__em", "c.day").agg(
+        F.sum("c.delta").alias("delta"), F.sum("c.begun").alias("begun"), F.bit_or("c.mask").alias("mask"))
+    return p.groupBy(*names, "__em").agg(F.bit_or("mask").alias("__any"), F.collect_list(F.struct("day", "delta", "begun")).alias("__changes"))
 
 
 def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequence[str],
                        row_span: tuple[str, str], event_span: tuple[str, str], clamp: tuple,
-                       total: str = "overlap_days", days: str = "covered_days") -> DataFrame:
+                       total: str = "overlap_days", days: str = "covered_days", events_met: str = "events") -> DataFrame:
     """Per row that any event of the same keys overlaps: the sum of its overlaps
-    in days (``total``, a day under two events counts twice) and the number of
-    covered days (``days``).
+    in days (``total``, a day under two events counts twice), the number of
+    covered days (``days``) and the number of events met (``events_met``).
 
-    The sum over events of their overlap is the sum over days of the events on
-    that day. Events are counted per keys and day, gathered per month, and a
-    row's month meets one such row: linear also for a key with most of the rows.
+    A sweep over each month's changes: a change on day c counts for every day
+    of the row's piece from c on, so no day is expanded and no event is
+    compared with a row. Linear in rows, events and the months they touch, also
+    for a key with most of the rows. ``clamp`` bounds every overlap.
     """
-    (rs, re_), (es, ee) = row_span, event_span
     low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
-    left = month_pieces(rows.select(F.col(row_id).alias("__id"), *keys, F.col(rs).alias("__rs"), F.col(re_).alias("__re")),
-                        "__rs", "__re", *clamp, "__m")
-    names = [f"__k{i}" for i in range(len(keys))]
-    right = events.where((F.col(es) <= F.col(ee)) & (F.col(es) <= high) & (F.col(ee) >= low))
-    right = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)],
-                         F.greatest(F.col(es), low).alias("__es"), F.least(F.col(ee), high).alias("__ee"))
-    right = expand_days(right, "__es", "__ee", "__day").groupBy(*names, "__day").agg(F.count(F.lit(1)).alias("__n"))
-    right = right.groupBy(*names, _month_index(F.col("__day")).alias("__em")).agg(
-        F.collect_list(F.struct(F.col("__day").alias("day"), F.col("__n").alias("n"))).alias("__days"))
-    j = left.join(right, [*[F.col(k) == F.col(n) for k, n in zip(keys, names, strict=True)], F.col("__m") == F.col("__em")])
-    inside = F.filter("__days", lambda d: d["day"].between(F.col("__rs"), F.col("__re")))
-    j = j.select("__id", inside.alias("__in")).where(F.size("__in") > 0)
-    count = F.aggregate("__in", F.lit(0).cast("long"), lambda acc, d: acc + d["n"])
-    return j.select(F.col("__id").alias(row_id), count.alias("__t"), F.size("__in").alias("__c")).groupBy(row_id).agg(
-        F.sum("__t").alias(total), F.sum("__c").alias(days))
-
-
-def covered_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_span: tuple[str, str],
-                 event_span: tuple[str, str], clamp: tuple, label: str, row_id: str = "__row") -> DataFrame:
-    """``rows`` (a stage table with the unique ``row_id``) expanded to days.
-
-    Adds day, flag (1 if an event of the same keys covers the day) and the
-    sorted distinct non-blank labels of those events. The covered days of a
-    row are gathered in one map (at most the days of its span), joined to the
-    row, and the wide row is expanded after that last shuffle.
-    """
-    days = overlap_day_rows(rows, events, row_id, keys, row_span, event_span, clamp, label)
-    days = days.groupBy(row_id, "day").agg(F.array_sort(F.collect_set(F.when(F.trim(F.col(label)) != "", F.col(label)))).alias("__labels"))
-    per_row = days.groupBy(F.col(row_id).alias("__id")).agg(
-        F.map_from_entries(F.collect_list(F.struct("day", "__labels"))).alias("__covered"))
-    out = rows.join(per_row, F.col(row_id) == F.col("__id"), "left").drop("__id")
-    out = expand_days(out, *row_span, "day").withColumn("__labels", F.try_element_at("__covered", F.col("day")))
-    return out.withColumn("flag", F.when(F.col("__labels").isNotNull(), F.lit(1)).otherwise(F.lit(0))) \
-              .withColumnRenamed("__labels", "labels").drop("__covered")
+    rs, re_ = F.greatest(F.col(row_span[0]), low), F.least(F.col(row_span[1]), high)
+    bounded = F.col(row_span[0]).isNotNull() & F.col(row_span[1]).isNotNull() & (F.col(row_span[0]) <= F.col(row_span[1]))
+    narrow = rows.where(bounded).select(F.col(row_id).alias("__id"), *keys, rs.alias("__rs"), re_.alias("__re"))
+    met = _meet_months(narrow, month_changes(events, keys, event_span, clamp), keys, ("__rs", "__re")).where(F.col("__any").isNotNull())
+    met = met.select("__id", "__any", "__changes", F.dayofmonth("__p1").alias("__a"), F.dayofmonth("__p2").alias("__b"),
+                     (F.col("__p1") == F.col("__rs")).alias("__first"))
+    zero = F.lit(0).cast("long")
+    active = F.aggregate("__changes", zero, lambda acc, c: acc + c["delta"] * F.greatest(
+        F.lit(0), F.col("__b") - F.greatest(c["day"], F.col("__a")) + 1))
+    at_start = F.aggregate(F.filter("__changes", lambda c: c["day"] <= F.col("__a")), zero, lambda acc, c: acc + c["delta"])
+    begun = F.aggregate(F.filter("__changes", lambda c: (c["day"] > F.when(F.col("__first"), F.col("__a")).otherwise(0)) & (c["day"] <= F.col("__b"))),
+                        zero, lambda acc, c: acc + c["begun"])
+    met = met.select("__id", active.alias("__t"), F.when(F.col("__first"), at_start + begun).otherwise(begun).alias("__n"),
+                     F.bit_count(F.col("__any").bitwiseAND(_mask("__a", "__b"))).alias("__c")).where(F.col("__t") > 0)
+    return met.groupBy(F.col("__id").alias(row_id)).agg(F.sum("__t").alias(total), F.sum("__c").alias(days), F.sum("__n").alias(events_met))
 
 
 def expand_days(df: DataFrame, start: str, end: str, out: str = "day") -> DataFrame:

@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dayspan.operators.intervals import day_events, expand_days, overlap_day_rows
+from dayspan.operators.intervals import day_events, expand_days, flagged_days
 from dayspan.plans.spans import KEYS, SPAN, clipped_absences, clipped_spans
 from dayspan.sources import fixtures as fx
-from dayspan.sources.tables import materialize
-
-ROW = "__row"
 
 
 def contract_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,20 +24,16 @@ def absence_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_absence_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """day, contract_days, absent_days, absence_rate.
 
-    Contract-days are counted per day straight from the spans (expanded and
-    pre-aggregated in the same task). Absent days come from spans and absences
-    joined by worker, division and month on narrow rows; only overlapping days
-    are expanded. Neither side shuffles expanded rows before aggregating.
+    Spans and absences meet by worker, division and month on narrow rows (the
+    absences folded to a bit mask of days), and contract-days are counted per
+    day in the task that expands them.
     """
-    spans = clipped_spans(spark, sf_dir).select(*KEYS, *SPAN).withColumn(ROW, F.monotonically_increasing_id())
-    spans = materialize(spans, "daily-spans")
-    # duplicate absence rows collapse in the distinct days, so the row-level dedupe is skipped
+    spans = clipped_spans(spark, sf_dir).select(*KEYS, *SPAN)
+    # duplicate absence rows collapse in the masks, so the row-level dedupe is skipped
     absences = clipped_absences(spark, sf_dir, distinct=False)
-    days = expand_days(spans, *SPAN, "day").groupBy("day").agg(F.count(F.lit(1)).alias("contract_days"))
-    hit = overlap_day_rows(spans, absences, ROW, KEYS, SPAN, ("abs_start", "abs_end"), (fx.WINDOW_START, fx.WINDOW_END))
-    hit = hit.groupBy(F.col("day").alias("hit_day")).agg(F.count(F.lit(1)).alias("absent_days"))
-    out = days.join(hit, F.col("day") == F.col("hit_day"), "left").withColumn("absent_days", F.coalesce("absent_days", F.lit(0).cast("long")))
-    return out.select("day", "contract_days", "absent_days", F.round(F.col("absent_days") / F.col("contract_days"), 6).alias("absence_rate"))
+    days = flagged_days(spans, absences, KEYS, SPAN, ("abs_start", "abs_end"), (fx.WINDOW_START, fx.WINDOW_END))
+    out = days.groupBy("day").agg(F.count(F.lit(1)).alias("contract_days"), F.sum("flag").alias("absent_days"))
+    return out.withColumn("absence_rate", F.round(F.col("absent_days") / F.col("contract_days"), 6))
 
 
 DAILY_ABSENCE_RATE_SQL = """

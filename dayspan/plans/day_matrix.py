@@ -1,8 +1,8 @@
 """Stage 2: the day matrix, one row per contract and calendar day.
 
-Curated spans meet the absences by worker, division and month on narrow rows;
-the covered days of a span come back as one map, and the wide rows are expanded
-to days after that last shuffle. Then: share per
+Absences are folded per worker, division and month to bit masks of days, one
+for each class; curated spans meet them month by month, in one shuffle, and are
+expanded to days after it. Then: share per
 concurrent assignment, age and tenure in days, holiday flag, calendar
 features and age/tenure bands whose cut points come from span-level min/max
 (exact, since age and tenure grow with the day along a span).
@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from dayspan.functions.columns import guarded_greatest
 from dayspan.operators.bands import range_bands
 from dayspan.operators.calendar import calendar_features, elapsed_days, flag_periods
-from dayspan.operators.intervals import covered_days, share
+from dayspan.operators.intervals import flagged_days, share
 from dayspan.operators.clean import exclude_values
 from dayspan.operators.intervals import clip_span
-from dayspan.plans.curation import ROW, curate_spans, curated_spans
+from dayspan.plans.curation import curate_spans, curated_spans
 from dayspan.plans.spans import KEYS, SPAN, clipped_absences
 from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import materialize
@@ -36,15 +36,14 @@ SPAN_COLS = ["contract_id", *KEYS, "cost_center", "category", "contract_type", *
              "hire_date", "birth_date", "concurrent", "total_absence_days", "total_absence_share"]
 
 
-def flagged_days(spans: DataFrame, absences: DataFrame, window, keys=KEYS) -> DataFrame:
+def absence_days(spans: DataFrame, absences: DataFrame, window, keys=KEYS) -> DataFrame:
     """Contract-days with ``absent`` (0/1) and ``absence_class`` (sorted
-    distinct classes joined by ',', or ``no_absence``). ``spans`` is a stage
-    table with the identity ``__row``; its wide rows are expanded to days after
-    the last shuffle."""
-    m = covered_days(spans, absences, keys, SPAN, ("abs_start", "abs_end"), window, "absence_class", ROW)
+    distinct classes joined by ',', or ``no_absence``). Absences are folded per
+    keys and month first; the spans are shuffled once, by month, and expanded
+    to days after that."""
+    m = flagged_days(spans, absences, keys, SPAN, ("abs_start", "abs_end"), window, "absence_class")
     named = F.when(F.size("labels") > 0, F.array_join("labels", ",")).otherwise(F.lit(NO_ABSENCE))
-    return m.withColumn("absence_class", F.when(F.col("flag") == 1, named).otherwise(F.lit(NO_ABSENCE))) \
-            .withColumnRenamed("flag", "absent").drop("labels", ROW)
+    return m.withColumn("absence_class", F.coalesce(named, F.lit(NO_ABSENCE))).withColumnRenamed("flag", "absent").drop("labels")
 
 
 def span_ranges(spans: DataFrame) -> dict:
@@ -88,14 +87,14 @@ def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,
         clipped = absences.select(*KEYS, "absence_class", F.col("abs_start").alias("start_date"),
                                   F.col("abs_end").alias("end_date"))
         spans = curated_spans(spark, sf_dir, absences=clipped)
-    spans = with_rows(spans)
-    m = flagged_days(spans, absences, (fx.WINDOW_START, fx.WINDOW_END))
+    spans = spans_table(spans)
+    m = absence_days(spans, absences, (fx.WINDOW_START, fx.WINDOW_END))
     return day_features(m, spans, fx.holiday_periods(spark))
 
 
-def with_rows(spans: DataFrame) -> DataFrame:
-    """The spans as a stage table with an identity for each row."""
-    return materialize(spans.select(*SPAN_COLS).withColumn(ROW, F.monotonically_increasing_id()), "curated-spans")
+def spans_table(spans: DataFrame) -> DataFrame:
+    """The spans as a stage table, read for the extremes of age and tenure and for the days."""
+    return materialize(spans.select(*SPAN_COLS), "curated-spans")
 
 
 def build_day_matrix(contracts: DataFrame, absences: DataFrame, holidays: DataFrame, window, as_of,
@@ -110,5 +109,5 @@ def build_day_matrix(contracts: DataFrame, absences: DataFrame, holidays: DataFr
                      "clipped-absences")
     clipped = ab.select(*keys, "absence_class", F.col("abs_start").alias("start_date"),
                         F.col("abs_end").alias("end_date"))
-    spans = with_rows(curate_spans(contracts, clipped, window, as_of, keys))
-    return day_features(flagged_days(spans, ab, window, keys), spans, holidays)
+    spans = spans_table(curate_spans(contracts, clipped, window, as_of, keys))
+    return day_features(absence_days(spans, ab, window, keys), spans, holidays)

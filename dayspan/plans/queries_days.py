@@ -80,23 +80,17 @@ select contract_id, cast(unnest(generate_series(span_start, span_end, interval 1
 from spans""", ("spans",))
 
 
-# H7 -- day flag per overlap row (the explicit path) ---------------------------------
-def day_flag_rows(spark, sf) -> DataFrame:
-    """The explicit path: every (contract, overlapping absence) row expanded
-    over the contract's days and flagged. The pairs come from the skew-safe
-    bucketed join; the day matrix itself uses the day-level join instead,
-    which never expands pairs."""
-    spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN)
-    j = intervals.interval_overlap_join_bucketed(spans, kept_absences(spark, sf), KEYS, SPAN,
-                                                 ("start_date", "end_date"), (fx.WINDOW_START, fx.WINDOW_END))
-    d = intervals.expand_days(j, *SPAN, "day")
-    return intervals.flag_in_span(d, "day", "overlap_start", "overlap_end", "absent")
-
-
+# H7 -- flag rows per contract, by a sweep --------------------------------------------
 def q_day_flags(spark, sf):
-    """Flag rows summed per contract: rows expanded and rows flagged."""
-    return day_flag_rows(spark, sf).groupBy("contract_id").agg(
-        F.count(F.lit(1)).alias("flag_rows"), F.sum("absent").cast("long").alias("flagged"))
+    """Rows and flagged rows of (contract, overlapping absence, day), counted by
+    the sweep of ``overlap_day_totals``: no such row is made."""
+    spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN, "span_days")
+    met = intervals.overlap_day_totals(spans, kept_absences(spark, sf), "contract_id", KEYS, SPAN, ("start_date", "end_date"),
+                                       (fx.WINDOW_START, fx.WINDOW_END)).withColumnRenamed("contract_id", "met_id")
+    j = spans.join(met, F.col("contract_id") == F.col("met_id"), "left")
+    pairs = F.greatest(F.coalesce("events", F.lit(0)), F.lit(1))
+    return j.select("contract_id", (pairs * F.col("span_days")).cast("long").alias("flag_rows"),
+                    F.coalesce("overlap_days", F.lit(0)).cast("long").alias("flagged"))
 
 
 FLAG_ROWS_SQL = """
@@ -117,9 +111,11 @@ from ({FLAG_ROWS_SQL}) r group by contract_id""", ("spans", "kept_absences"))
 
 # E6, H8, H9 -- fold the flag rows per contract-day -------------------------------------
 def q_fold_days(spark, sf):
-    rows = day_flag_rows(spark, sf)
-    folded = intervals.fold_days(rows, ["contract_id", "day"], "absent", "r_absence_class", dm.NO_ABSENCE,
-                                 out_label="absence_class")
+    spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN)
+    folded = intervals.flagged_days(spans, kept_absences(spark, sf, distinct=False), KEYS, SPAN, ("start_date", "end_date"),
+                                    (fx.WINDOW_START, fx.WINDOW_END), "absence_class")
+    named = F.when(F.size("labels") > 0, F.array_join("labels", ",")).otherwise(F.lit(dm.NO_ABSENCE))
+    folded = folded.select("contract_id", "day", F.col("flag").alias("absent"), F.coalesce(named, F.lit(dm.NO_ABSENCE)).alias("absence_class"))
     conc = curation.curated_spans(spark, sf).select("contract_id", "concurrent")
     folded = intervals.share(folded.join(conc, "contract_id"), "absent", "concurrent", "absent_share")
     return _round(folded, ["absent_share"])

@@ -144,6 +144,8 @@ def test_skewed_input_three_plans_agree(spark):
     totals = iv.overlap_day_totals(sp, ab, "contract_id", KEYS, SPAN, ("start_date", "end_date"), (D(1900, 1, 1), D(2100, 1, 1)))
     want = plain.groupBy("contract_id").agg(F.sum(days_of).cast("long").alias("n")).where("n > 0")
     assert rows(totals, "contract_id", "overlap_days") == rows(want, "contract_id", "n")
+    met = plain.where("r_start_date is not null").groupBy("contract_id").count()
+    assert rows(totals, "contract_id", "events") == rows(met, "contract_id", "count")
     assert rows(totals, "contract_id", "covered_days") == rows(narrow.groupBy("contract_id").count(), "contract_id", "count")
 
 
@@ -174,14 +176,58 @@ def test_bucketed_join_keeps_rows_of_one_id_and_inverted_spans(spark):
     assert len(rows(plain, *cols)) == 6 and sum(r[2] == "A" for r in rows(plain, *cols)) == 1
 
 
-def test_covered_days_equal_expand_and_fold(spark):
+def test_flagged_days_equal_expand_and_fold(spark):
     left, right = _spans(spark)
     window = (D(1999, 1, 1), D(2001, 12, 31))
     j = iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"))
     d = iv.flag_in_span(iv.expand_days(j, "s", "e"), "day", "overlap_start", "overlap_end", "absent")
     folded = iv.fold_days(d, ["cid", "day"], "absent", "r_cls", "none", out_label="cls")
-    m = iv.covered_days(left.withColumn("__row", F.col("cid").cast("long")), right, ["w"], ("s", "e"), ("s", "e"), window, "cls")
+    m = iv.flagged_days(left, right, ["w"], ("s", "e"), ("s", "e"), window, "cls")
     m = m.withColumn("cls", F.when(F.col("flag") == 1, F.array_join("labels", ",")).otherwise("none")).withColumnRenamed("flag", "absent")
     assert rows(folded, "cid", "day", "absent", "cls") == rows(m, "cid", "day", "absent", "cls")
     days = iv.overlap_day_rows(left, right, "cid", ["w"], ("s", "e"), ("s", "e"), window)
     assert rows(days, "cid", "day") == [r[:2] for r in rows(folded, "cid", "day", "absent") if r[2] == 1]
+
+
+def test_folded_months_equal_brute_force(spark):
+    """Long and one-day spans, month borders, leap days, blank and null classes, null keys, dates outside the clamp."""
+    import random
+    rng = random.Random(11)
+    day = lambda: D(1999, 11, 20) + dt.timedelta(rng.randrange(500))
+    some = lambda: [(i, rng.choice([1, 2, None]), d := day(), d + dt.timedelta(rng.choice([-3, 0, 1, 30, 31, 200]))) for i in range(60)]
+    left = some() + [(60, 1, None, D(2000, 1, 1)), (61, 1, D(2000, 2, 29), D(2000, 2, 29)), (61, 1, D(2000, 2, 1), D(2000, 3, 31))]
+    right = [(w, rng.choice(["A", "B", " ", None, "A"]), s, e) for _, w, s, e in some()] + [(1, "Z", D(1900, 1, 1), D(9999, 12, 31)), (2, "N", None, None)]
+    low, high = D(2000, 1, 1), D(2000, 12, 31)
+    lf = spark.createDataFrame(left, "cid int, w int, s date, e date").withColumn("row", F.monotonically_increasing_id())
+    rf = spark.createDataFrame(right, "w int, cls string, s date, e date").repartition(4)
+    span = lambda s, e: [s + dt.timedelta(i) for i in range((e - s).days + 1)] if s and e else []
+    hit = lambda w, d: [c for rw, c, s, e in right if rw == w and w is not None and s and s <= d <= e and low <= d <= high]
+    want = sorted((i, str(d), int(bool(hit(w, d))), ",".join(sorted({c for c in hit(w, d) if c and c.strip()})) if hit(w, d) else "-")
+                  for i, w, s, e in left for d in span(s, e))
+    got = iv.flagged_days(lf, rf, ["w"], ("s", "e"), ("s", "e"), (low, high), "cls")
+    got = sorted((r.cid, str(r.day), r.flag, ",".join(r.labels) if r.labels is not None else "-") for r in got.collect())
+    assert got == want
+    plain = iv.flagged_days(lf, rf, ["w"], ("s", "e"), ("s", "e"), (low, high))
+    assert "labels" not in plain.columns and sorted((r.cid, str(r.day), r.flag) for r in plain.collect()) == [r[:3] for r in want]
+    totals = iv.overlap_day_totals(lf, rf, "row", ["w"], ("s", "e"), ("s", "e"), (low, high))
+    totals = sorted((r.cid, str(r.s), r.overlap_days, r.covered_days, r.events) for r in lf.join(totals, "row").collect())
+    exp = []
+    for i, w, s, e in left:
+        days = [d for d in span(s, e) if hit(w, d)]
+        if days:
+            met = sum(rw == w and rs is not None and max(rs, s, low) <= min(re, e, high) for rw, _, rs, re in right)
+            exp.append((i, str(s), sum(len(hit(w, d)) for d in days), len(days), met))
+    assert totals == sorted(exp)
+
+
+def test_a_hot_key_is_folded_before_it_meets_rows(spark):
+    """20,000 events of one key and month are one row of masks and 31 changes; no join row stands for a pair."""
+    ev = spark.range(20_000).select(F.lit(1).alias("w"), F.expr("date_add(date'2000-01-01', int(id % 28))").alias("s"),
+                                    F.expr("date_add(date'2000-01-01', int(id % 28) + int(id % 3))").alias("e"))
+    window = (D(2000, 1, 1), D(2000, 12, 31))
+    assert iv.month_masks(ev, ["w"], ("s", "e"), window).count() == 1
+    changes = iv.month_changes(ev, ["w"], ("s", "e"), window).first()
+    assert len(changes["__changes"]) <= 32
+    rows_ = spark.range(500).select("id", F.lit(1).alias("w"), F.lit(D(2000, 1, 5)).alias("s"), F.lit(D(2000, 1, 20)).alias("e"))
+    t = iv.overlap_day_totals(rows_, ev, "id", ["w"], ("s", "e"), ("s", "e"), window).distinct().where("id = 7").first()
+    assert (t.covered_days, t.events > 10_000, t.overlap_days > 10_000) == (16, True, True)

@@ -216,7 +216,10 @@ def flagged_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_sp
     days = days.withColumn("flag", F.coalesce(F.bit_get("__any", bit).cast("int"), F.lit(0)))
     if label:
         here = F.filter("__marks", lambda m: (F.trim(m["label"]) != "") & (F.bit_get(m["mask"], bit) == 1))
-        days = days.withColumn("labels", F.when(F.col("flag") == 1, F.array_sort(F.transform(here, lambda m: m["label"]))))
+        several = F.array_sort(F.transform(here, lambda m: m["label"]))
+        only = F.get("__marks", F.lit(0))["label"]  # of a month with one label every flagged day has it
+        one = F.when(F.trim(only) != "", F.array(only)).otherwise(F.array().cast("array<string>"))
+        days = days.withColumn("labels", F.when(F.col("flag") == 1, F.when(F.size("__marks") == 1, one).otherwise(several)))
     return days.drop(*extra)
 
 

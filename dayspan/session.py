@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+# The JVM interprets methods of more bytecode than this for good; a stage fused into such a method
+# (many derived columns) runs faster operator by operator.
+JIT_LIMIT = "8000"
 # the folder of each local application without the setting (it cannot be changed once Spark runs)
 _local_dirs: dict[str, str] = {}
 
@@ -33,6 +36,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -114,6 +118,7 @@ def cluster_conf(shared_folder: str, executors: int = 1000, cores_per_executor:
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.ansi.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.codegen.hugeMethodLimit": JIT_LIMIT,
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
         "spark.shuffle.service.enabled": "true",
         "spark.decommission.enabled": "true",

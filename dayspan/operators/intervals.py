@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from dayspan.functions.columns import as_col, days_inclusive, guarded_greatest, guarded_least, ratio
 from dayspan.sources.tables import materialize
@@ -66,7 +67,8 @@ def _overlap_columns(l_start: Column, l_end: Column, r_start: Column, r_end: Col
 def interval_overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
                           left_span: tuple[str, str], right_span: tuple[str, str],
                           how: str = "left", right_prefix: str = "r_",
-                          out_span: tuple[str, str] = ("overlap_start", "overlap_end")) -> DataFrame:
+                          out_span: tuple[str, str] = ("overlap_start", "overlap_end"),
+                          hot: float | None = None, clamp: tuple | None = None) -> DataFrame:
     """Join rows of ``left`` to rows of ``right`` that share the ``on`` keys
     and whose spans overlap (touching ends count). The overlap, clipped to both
     spans, is added as ``out_span`` (null for an unmatched left row).
@@ -74,9 +76,17 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
     A span with a null bound or with its end before its start overlaps nothing.
     Right columns other than the keys are renamed with ``right_prefix``.
     Planned as a sort-merge (or AQE broadcast) join on the keys with the
-    range test as residual; for keys with many spans see
-    ``interval_overlap_join_bucketed``.
+    range test as residual.
+
+    ``hot`` (a share of the rows, e.g. 0.001): keys with at least about that share of either
+    side go through ``interval_overlap_join_bucketed``, whose grid of months spreads
+    them over many tasks; all others stay on the plain path, which copies nothing.
+    The keys are found by ``hot_keys``; a key taken for hot by mistake costs time only. Key columns of
+    two types (integers aside) are joined by the plain path alone. ``clamp`` as there;
+    by default the range of the overlaps' first days, taken from the data.
     """
+    if hot is not None:
+        return _hot_and_cold(left, right, on, left_span, right_span, how, right_prefix, out_span, hot, clamp)
     ls, le = left_span
     r = right.select(*on, *[F.col(c).alias(right_prefix + c) for c in right.columns if c not in on])
     rs, re_ = right_prefix + right_span[0], right_prefix + right_span[1]
@@ -86,6 +96,55 @@ def interval_overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str],
     return joined.select(*keep, *_overlap_columns(left[ls], left[le], r[rs], r[re_], *out_span))
 
 
+def _key_hash(on: Sequence[str]) -> Column:
+    """By text, so that integers of two widths agree."""
+    return F.xxhash64(*[F.col(k).cast("string") for k in on])
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], share: float) -> list[int]:
+    """Hashes of the keys with ``share`` or more of the rows, by a top-k sketch in one pass.
+
+    The sketch holds a bounded number of items a task (a few for each of the 1 / share keys
+    there can be) and merges; its error is far below the share asked for, and half the share is
+    taken, so no key of the full share is missed. At most 2 / share + 1 numbers reach the driver.
+    """
+    if not 0 < share <= 1:
+        raise ValueError("hot must be a share of the rows, above 0 and at most 1")
+    most = min(10_000, int(2 / share) + 1)
+    found = df.where(_all_set(on)).select(_key_hash(on).alias("k")).agg(
+        F.expr(f"approx_top_k(k, {most}, {min(1_000_000, 16 * most)})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    return [int(r["item"]) for r in found["top"] or [] if r["count"] * 2 >= share * found["n"]]
+
+
+def _all_set(on: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for k in on:
+        cond = cond & F.col(k).isNotNull()
+    return cond
+
+
+def _hot_and_cold(left, right, on, left_span, right_span, how, right_prefix, out_span, hot, clamp) -> DataFrame:
+    plain = {"how": how, "right_prefix": right_prefix, "out_span": out_span}
+    # keys that are equal must have one text: the same type on both sides, or integers
+    whole = (ByteType, ShortType, IntegerType, LongType)
+    one_text = all(a == b or isinstance(a, whole) and isinstance(b, whole) for a, b in ((left.schema[k].dataType, right.schema[k].dataType) for k in on))
+    keys = sorted({*hot_keys(left, on, hot), *hot_keys(right, on, hot)}) if one_text else []
+    if not keys:
+        return interval_overlap_join(left, right, on, left_span, right_span, **plain)
+    is_hot = _all_set(on) & _key_hash(on).isin(keys)  # at most 4 / hot + 2 numbers
+    if clamp is None:
+        # an overlap begins where one of its two spans does
+        ends = [df.where(is_hot & (F.col(s) <= F.col(e))).agg(F.min(s).alias("low"), F.max(s).alias("high")).first()
+                for df, (s, e) in ((left, left_span), (right, right_span))]
+        if any(r["low"] is None for r in ends):  # no span of a hot key on one side
+            return interval_overlap_join(left, right, on, left_span, right_span, **plain)
+        clamp = (max(r["low"] for r in ends), max(r["high"] for r in ends))
+    cold = interval_overlap_join(left.where(~F.coalesce(is_hot, F.lit(False))), right.where(~F.coalesce(is_hot, F.lit(False))),
+                                 on, left_span, right_span, **plain)
+    spread = interval_overlap_join_bucketed(left.where(is_hot), right.where(is_hot), on, left_span, right_span, clamp, **plain)
+    return cold.unionByName(spread)
+
+
 def _month_index(d: Column) -> Column:
     return F.year(d) * 12 + F.month(d) - 1
 

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dayspan.functions.columns import hash_unit
 from dayspan.operators.evaluate import confusion_matrix
 from dayspan.operators.features import FeatureSpec, fit_features
 from dayspan.sources.tables import materialize
@@ -69,22 +71,72 @@ def train(kind: str, train_df: DataFrame, spec: FeatureSpec, weight: str | None
     return fit_on(kind, table, features, spec, weight, **params)
 
 
-def tune(kind: str, train_df: DataFrame, spec: FeatureSpec, weight: str | None = None,
-         grid: dict | None = None, folds: int = 4, parallelism: int = 4, seed: int = 0) -> PipelineModel:
-    """Cross-validated grid search (AUC) on the estimator being tuned; the
-    features are fitted once and their stored vectors shared by all folds."""
-    est = estimator(kind, spec.label, weight)
+def fold_of(key: Sequence[str], folds: int, salt: str = "fold") -> Column:
+    """The fold (0 .. folds - 1) of a row from the md5 of its key: the same for any
+    file layout, partitioning or rerun. Rows that repeat a key share a fold."""
+    return F.floor(hash_unit(key, salt) * folds).cast("int")
+
+
+def cross_validate(kind: str, table: DataFrame, label: str, folds: int, grid: dict | None = None, weight: str | None = None,
+                   fold_col: str | None = None, parallelism: int = 4, seed: int = 0, keep_models: bool = False) -> CrossValidatorModel:
+    """Grid search by AUC on stored vectors. With ``fold_col`` (see ``fold_of``) the folds are
+    the rows' own; without it Spark draws them from the rows' order. ``keep_models``: also the model of every fold and setting."""
+    est = estimator(kind, label, weight)
     builder = ParamGridBuilder()
     if grid is None:
         grid = {"elasticNetParam": [0.4, 0.6, 0.8], "regParam": [0.3, 0.1, 0.01]} if kind == "logistic" else {}
     for name, values in grid.items():
         builder = builder.addGrid(est.getParam(name), values)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=builder.build(), evaluator=BinaryClassificationEvaluator(labelCol=label),
+                        numFolds=folds, parallelism=parallelism, seed=seed, collectSubModels=keep_models)
+    if fold_col:
+        cv = cv.setFoldCol(fold_col)
+    return cv.fit(table)
+
+
+def tune(kind: str, train_df: DataFrame, spec: FeatureSpec, weight: str | None = None,
+         grid: dict | None = None, folds: int = 4, parallelism: int = 4, seed: int = 0, fold_key: Sequence[str] | None = None) -> PipelineModel:
+    """Cross-validated grid search (AUC) on the estimator being tuned; the
+    features are fitted once and their stored vectors shared by all folds. ``fold_key``: columns whose
+    hash gives the fold of a row."""
     features = fit_features(spec, train_df)
-    table = vectors(features, train_df, [spec.label, *([weight] if weight else [])])
-    cv = CrossValidator(estimator=est, estimatorParamMaps=builder.build(),
-                        evaluator=BinaryClassificationEvaluator(labelCol=spec.label),
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    return PipelineModel(stages=[features, cv.fit(table).bestModel])
+    if fold_key:
+        train_df = train_df.withColumn("__fold", fold_of(fold_key, folds))
+    table = vectors(features, train_df, [spec.label, *([weight] if weight else []), *(["__fold"] if fold_key else [])])
+    cv = cross_validate(kind, table, spec.label, folds, grid, weight, "__fold" if fold_key else None, parallelism, seed)
+    return PipelineModel(stages=[features, cv.bestModel])
+
+
+def fold_metrics(cv: CrossValidatorModel, table: DataFrame, label: str, fold_col: str) -> DataFrame:
+    """Per fold: rows, positives and the AUC on the fold's rows of the best setting's model that was fitted without them
+    (areas of the rank sums, ties counted half). ``cv`` must keep its models."""
+    best = max(range(len(cv.avgMetrics)), key=lambda i: cv.avgMetrics[i])
+    out = None
+    for fold, per_setting in enumerate(cv.subModels):
+        held = table.where(F.col(fold_col) == fold)
+        scored = per_setting[best].transform(held).select(F.col(label).alias("label"), vector_to_array("probability")[1].alias("score"))
+        # ranks from counts per score, so that no window holds rows
+        per = scored.groupBy("score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") != 1).alias("neg"))
+        per = per.withColumn("fold", F.lit(fold))
+        out = per if out is None else out.unionByName(per)
+    return _areas(materialize(out, "fold-scores"))
+
+
+def _areas(per: DataFrame) -> DataFrame:
+    """(fold, rows, positives, auc) from (fold, score, pos, neg). Scores are cut into
+    256 ranges at sampled quantiles; ranks are summed over the ranges first, then inside each."""
+    cuts = per.groupBy("fold").agg(F.percentile_approx("score", [i / 256 for i in range(1, 256)], 10_000).alias("cuts")).withColumnRenamed("fold", "f")
+    per = per.join(F.broadcast(cuts), F.col("fold") == F.col("f"))  # a row for each fold
+    per = per.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("score")))).drop("cuts", "f")
+    ranges = per.groupBy("fold", "range").agg(F.sum("neg").alias("neg_in"))
+    before = Window.partitionBy("fold").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("fold").alias("f"), F.col("range").alias("r"), F.coalesce(F.sum("neg_in").over(before), F.lit(0)).alias("neg_below"))
+    inner = Window.partitionBy("fold", "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("neg_inside", F.coalesce(F.sum("neg").over(inner), F.lit(0)))
+    per = per.join(F.broadcast(ranges), (F.col("fold") == F.col("f")) & (F.col("range") == F.col("r")))  # 256 rows a fold
+    won = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg_inside") + F.col("neg") / 2))
+    return per.groupBy("fold").agg(F.sum(F.col("pos") + F.col("neg")).alias("rows"), F.sum("pos").alias("positives"),
+                                   F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def score(model, df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dayspan.operators import balance, certificates, evaluate, models
 from dayspan.operators.features import fit_features
 from dayspan.plans import training as tr
 from dayspan.plans.catalog import ORACLE, register
-from dayspan.plans.queries_days import with_matrix
+from dayspan.plans.queries_days import key_sql, with_matrix
 from dayspan.session import scratch_path
 from dayspan.sources import fixtures as fx
 
@@ -130,6 +130,30 @@ from held, best group by year
 """
 
 
+# N3 -- folds of the grid search, from the rows' keys -----------------------------------------
+FOLDS = 4
+
+
+def q_tuning_folds(spark, sf) -> DataFrame:
+    """Per fold: rows and positives, and whether Spark's own AUC agrees with the rank sums of the fold's model."""
+    m = tr.model_frame(spark, sf)
+    train, _ = tr.train_test(m)
+    features = fit_features(tr.SPEC, train)
+    table = models.vectors(features, train.withColumn("fold", models.fold_of(UNIT, FOLDS)), [tr.LABEL, "fold"])
+    cv = models.cross_validate("logistic", table, tr.LABEL, FOLDS, {"regParam": [0.3, 0.001]}, fold_col="fold", keep_models=True)
+    got = models.fold_metrics(cv, table, tr.LABEL, "fold")
+    mean = got.agg(F.avg("auc")).scalar()  # Spark reports the mean over the folds
+    agrees = F.abs(mean - F.lit(max(cv.avgMetrics))) < 1e-3
+    return got.select("fold", "rows", "positives", agrees.alias("auc_agrees"), (F.col("auc") > 0.5).alias("better_than_chance"))
+
+
+_FOLD_SQL = f"floor({FOLDS} * cast(('0x' || substr(md5({key_sql('contract_id', 'day')} || 'fold'), 1, 8)) as bigint) / 4294967296.0)"
+register("tuning_folds", q_tuning_folds, with_matrix(f"""
+select cast({_FOLD_SQL} as int) as fold, count(*) as rows, count(*) filter (where absent = 1) as positives,
+       true as auc_agrees, true as better_than_chance
+from matrix where year < {fx.TRAIN_BEFORE} group by 1"""))
+
+
 # N6, N7 -- the forests as node tables, scored by joins --------------------------------------
 def _forest_nodes(weighted: bool):
     def q(spark, sf) -> DataFrame:

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from dayspan.operators import clean, groups, intervals
-from dayspan.operators.quality import profile
+from dayspan.operators.quality import DISTINCT_ERROR, RANK_ERROR, profile, profile_sketched
 from dayspan.plans import curation
 from dayspan.plans.catalog import register
 from dayspan.plans.spans import KEYS, SPAN, clipped_spans, kept_absences
@@ -122,6 +122,32 @@ def _profile_sql() -> str:
 register("profile_columns", q_profile_columns, _profile_sql(), ("contracts",))
 
 
+# A15 by sketches: the counts, and whether the estimates are as near the exact values as their error bounds say
+def q_profile_sketched(spark, sf):
+    c = fx.contracts(spark, sf)
+    p = profile_sketched(c, PROFILE_COLS)
+    medians = {r["column"]: r["median"] for r in p.select("column", "median").collect()}  # a number for each column
+    own = {k: F.unix_date(k).cast("double") if c.schema[k].dataType.typeName() == "date" else F.col(k).cast("double")
+           for k, m in medians.items() if m is not None}
+    near = F.lit(0.5 - RANK_ERROR)
+    ranks = c.agg(*[F.array(*[F.count_if(f) / F.count(v) >= near for f in (v <= medians[k], v >= medians[k])]).alias(k) for k, v in own.items()])
+    ranks = ranks.select(F.explode(F.create_map(*[x for k in own for x in (F.lit(k), F.col(k))])).alias("of", "ok"))
+    exact = profile(c, PROFILE_COLS).select(F.col("column").alias("name"), F.col("distinct_values").alias("exact"))
+    close = F.abs(F.col("distinct_values") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * DISTINCT_ERROR * F.col("exact"))
+    j = p.join(exact, F.col("column") == F.col("name")).join(ranks, F.col("column") == F.col("of"), "left")
+    return j.select("column", "rows", "nulls", "blanks", close.alias("distinct_close"), F.forall("ok", lambda x: x).alias("median_close"))
+
+
+def _profile_sketched_sql() -> str:
+    measured = ", ".join(f"'{c}'" for c in PROFILE_COLS if c not in ("cost_center", "category", "contract_type"))
+    return f"""
+select "column", rows, nulls, blanks, true as distinct_close, case when "column" in ({measured}) then true end as median_close
+from ({_profile_sql()}) p"""
+
+
+register("profile_sketched", q_profile_sketched, _profile_sketched_sql(), ("contracts",))
+
+
 # B1, E7 -- drop columns then full-row dedupe ----------------------------------
 def q_dedupe_rows(spark, sf):
     c = fx.contracts(spark, sf)
@@ -368,6 +394,28 @@ register("overlap_join", q_overlap_join, OVERLAP_SQL, ("spans", "kept_absences")
 register("overlap_join_bucketed", q_overlap_join_bucketed, OVERLAP_SQL, ("spans", "kept_absences"))
 
 
+# D3 with a hot key: a third of the workers are taken for one, and their pairs counted per contract
+def one_worker(df):
+    third = F.col("worker_id") % 3 == 0
+    return df.withColumns({k: F.when(third, F.lit(1)).otherwise(F.col(k)).cast(df.schema[k].dataType) for k in KEYS})
+
+
+def q_overlap_join_hot(spark, sf):
+    spans = one_worker(clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN))
+    j = intervals.interval_overlap_join(spans, one_worker(kept_absences(spark, sf)), KEYS, SPAN, ("start_date", "end_date"), hot=0.01)
+    j = intervals.overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
+    return j.groupBy("contract_id").agg(F.count("overlap_start").alias("pairs"), F.sum("overlap_days").cast("long").alias("overlap_days"))
+
+
+_ONE_WORKER = "* replace (case when worker_id % 3 = 0 then 1 else worker_id end as worker_id, case when worker_id % 3 = 0 then 1 else division end as division)"
+register("overlap_join_hot", q_overlap_join_hot, f"""
+select s.contract_id, count(a.start_date) as pairs,
+       cast(coalesce(sum(datediff('day', greatest(s.span_start, a.start_date), least(s.span_end, a.end_date)) + 1) filter (where a.start_date is not null), 0) as bigint) as overlap_days
+from (select {_ONE_WORKER} from spans) s left join (select {_ONE_WORKER} from kept_absences) a
+  on a.worker_id = s.worker_id and a.division = s.division and a.start_date <= s.span_end and a.end_date >= s.span_start
+group by s.contract_id""", ("spans", "kept_absences"))
+
+
 # D4, E4 -- contract totals attached to every overlap row -----------------------------
 def q_contract_totals(spark, sf):
     return curation.contract_totals(spark, sf).select(

@@ -10,15 +10,12 @@ from dayspan.operators import balance, evaluate, models
 from dayspan.operators.features import fit_features
 from dayspan.plans import training as tr
 from dayspan.plans.catalog import register
-from dayspan.plans.queries_days import with_matrix
+from dayspan.plans.queries_days import key_sql, with_matrix
 from dayspan.session import scratch_path
 from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import read_table, write_table
 
 UNIT = ["contract_id", "day"]
-def key_sql(*cols: str) -> str:
-    """The text of ``hash_key`` in DuckDB."""
-    return " || ".join(f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), 'n')" for c in cols)
 
 
 KEY_SQL = key_sql("contract_id", "day")
@@ -368,7 +365,7 @@ def q_logistic_tuned(spark, sf):
     m = tr.model_frame(spark, sf)
     train, test = tr.train_test(m)
     train = balance.class_weights(train, tr.LABEL, "weight")
-    model = models.tune("logistic", train, tr.SPEC, weight="weight", folds=4, parallelism=4)
+    model = models.tune("logistic", train, tr.SPEC, weight="weight", folds=4, parallelism=4, fold_key=UNIT)
     scored = models.score(model, test)
     a = evaluate.auc(spark, scored, tr.LABEL)
     return _scored_summary(scored).unionByName(

@@ -32,12 +32,13 @@ def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     Stage 3 reads the day matrix several times (class histogram, feature
     fits, iterative model fit, scoring of the held-out year), so by default
     it is written once as a table into the shared checkpoint folder -- the
-    stage boundary -- instead of being recomputed for every pass. Single-pass
+    stage boundary -- instead of being recomputed for every pass, partitioned by year, so that
+    the training years, the test year and a back-test read their own files only. Single-pass
     consumers pass ``materialize=False``.
     """
     m = day_matrix(spark, sf_dir)
     if materialize:
-        m = materialize_table(m, "day-matrix")
+        m = materialize_table(m, "day-matrix", partition_by=["year"])
     return prepare_model_frame(m)
 
 

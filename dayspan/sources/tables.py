@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+import uuid
 import warnings
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,15 +53,55 @@ def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "parquet",
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+#: formats that are folders of files, which can be written beside the old table and moved in its place
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "text", "avro")
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
-                partition_by: Sequence[str] | None = None, **options) -> None:
-    """Write from the executors (never through the driver)."""
-    w = df.write.format(fmt).mode(mode)
+                partition_by: Sequence[str] | None = None, only_partitions: bool = False, **options) -> None:
+    """Write from the executors (never through the driver).
+
+    Overwriting a table of files is staged: the rows are written beside it, and only a finished write
+    takes its place, so a job that fails leaves the old table whole, and ``df`` may
+    read the very table it replaces. ``only_partitions`` (with ``partition_by``): partitions that occur in ``df`` are
+    replaced, all others stay; Spark's commit moves their files once all tasks have finished.
+    """
+    w = df.write.format(fmt)
     if fmt == "csv":
         w = w.option("header", True)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.options(**options).save(path)
+    w = w.options(**options)
+    if only_partitions:
+        if not partition_by or mode != "overwrite":
+            raise ValueError("only_partitions overwrites the partitions of partition_by")
+        w.option("partitionOverwriteMode", "dynamic").mode("overwrite").save(path)
+    elif mode == "overwrite" and fmt in FILE_FORMATS:
+        _replace(df.sparkSession, path, lambda to: w.mode("errorifexists").save(to))
+    else:
+        w.mode(mode).save(path)
+
+
+def _replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Run ``write`` into a new folder beside ``path`` and move it there; on failure ``path`` is as it was."""
+    jvm = spark.sparkContext._jvm
+    home = jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    new, old = (jvm.org.apache.hadoop.fs.Path(home.getParent(), f".{home.getName()}-{kind}-{mark}") for kind in ("new", "old"))
+    try:
+        write(new.toString())
+        had = fs.exists(home)
+        if had and not fs.rename(home, old):
+            raise OSError(f"cannot move {path} aside")
+        if not fs.rename(new, home):
+            if had:
+                fs.rename(old, home)
+            raise OSError(f"cannot move the new table to {path}")
+        if had:
+            fs.delete(old, True)
+    finally:
+        fs.delete(new, True)
 
 
 #: fixed values: letters that Unicode decomposition leaves whole, and their plain spelling
@@ -112,12 +153,16 @@ def hash_sample(df: DataFrame, key: Sequence[str] | str, fraction: float, salt:
     return df.where(hash_unit(key, salt) < F.lit(float(fraction)))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: Sequence[str] | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared checkpoint folder
     (``spark.checkpoint.dir``) and read it back: a stage boundary that cuts
     the lineage, survives executor loss and, unlike an RDD checkpoint, is
-    columnar and compressed and gives the planner real size statistics."""
+    columnar and compressed and gives the planner real size statistics.
+    ``partition_by``: columns whose later filters prune whole files."""
     from dayspan.session import scratch_path
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if not partition_by:
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -90,3 +90,23 @@ def test_recode_duplicate_raw_does_not_multiply_rows(spark):
     m = spark.createDataFrame([("sex", "M", "male"), ("sex", "M", "man")], schema)
     df = spark.createDataFrame([("M",), ("F",)], "sex string")
     assert rows(clean.recode(df, m, {"sex": "sex"})) == [("F",), ("male",)]
+
+
+def test_sketched_profile_against_the_exact_one(spark):
+    """Counts agree, estimates stay within their bounds; empty text is a value, nulls and odd names are fine."""
+    from dayspan.operators.quality import DISTINCT_ERROR, RANK_ERROR, profile, profile_sketched
+    df = spark.range(20_000).select(
+        (F.col("id") % 5000).alias("n"), F.when(F.col("id") % 4 == 0, F.lit("")).otherwise(F.concat(F.lit("v"), F.col("id") % 3)).alias("a b"),
+        F.lit(None).cast("string").alias("gone"), F.expr("date_add(date'2000-01-01', int(id % 700))").alias("d"),
+        F.when(F.col("id") % 2 == 0, F.lit(float("nan"))).otherwise(F.col("id").cast("double")).alias("x")).repartition(9)
+    exact = {r.column: r for r in profile(df).collect()}
+    got = {r.column: r for r in profile_sketched(df).collect()}
+    assert got.keys() == exact.keys()
+    for c, e in exact.items():
+        g = got[c]
+        assert (g["rows"], g.nulls, g.blanks) == (e["rows"], e.nulls, e.blanks), c
+        assert abs(g.distinct_values - e.distinct_values) <= max(1, 4 * DISTINCT_ERROR * e.distinct_values), c
+    assert abs(got["n"].median / 5000 - 0.5) <= RANK_ERROR + 0.001 and abs(got["x"].median / 20_000 - 0.5) <= RANK_ERROR + 0.001
+    assert got["gone"].median is None and got["gone"].most_frequent == [] and got["a b"].median is None
+    assert {v.value for v in got["a b"].most_frequent} <= {"", "v0", "v1", "v2"} and len(got["a b"].most_frequent) == 3
+    assert got["a b"].distinct_values == 4

@@ -231,3 +231,32 @@ def test_a_hot_key_is_folded_before_it_meets_rows(spark):
     rows_ = spark.range(500).select("id", F.lit(1).alias("w"), F.lit(D(2000, 1, 5)).alias("s"), F.lit(D(2000, 1, 20)).alias("e"))
     t = iv.overlap_day_totals(rows_, ev, "id", ["w"], ("s", "e"), ("s", "e"), window).distinct().where("id = 7").first()
     assert (t.covered_days, t.events > 10_000, t.overlap_days > 10_000) == (16, True, True)
+
+
+def test_hot_keys_take_the_grid_and_no_row_changes(spark):
+    """Keys of a third of the rows, of nulls, and of one side only; both join kinds; sentinel ends."""
+    import random
+    rng = random.Random(21)
+    def some(n, key):  # noqa: E306
+        return [(key(i), D(2000, 1, 1) + dt.timedelta(rng.randrange(700)), i) for i in range(n)]
+    left = [(k, s, s + dt.timedelta(rng.randrange(40)), i) for k, s, i in some(600, lambda i: [7, i, None][i % 3])]
+    left += [(7, D(2000, 5, 5), D(9999, 12, 31), 9000), (7, D(2001, 1, 2), D(2001, 1, 1), 9001), (7, None, D(2001, 1, 1), 9002), (8, D(1990, 1, 1), D(2010, 1, 1), 9003)]
+    right = [(k, s, s + dt.timedelta(rng.randrange(9)), i) for k, s, i in some(600, lambda i: [7, i, 55][i % 3])] + [(7, D(1980, 1, 1), D(9999, 12, 31), 9100)]
+    lf = spark.createDataFrame(left, "w int, s date, e date, id int").repartition(5)
+    rf = spark.createDataFrame(right, "w int, s date, e date, id int").repartition(3)
+    assert len(iv.hot_keys(lf, ["w"], 0.1)) == 1 and len(iv.hot_keys(rf, ["w"], 0.1)) == 2
+    for how in ("left", "inner"):
+        plain = iv.interval_overlap_join(lf, rf, ["w"], ("s", "e"), ("s", "e"), how=how)
+        for hot in (0.1, 0.9):  # the second finds none
+            got = iv.interval_overlap_join(lf, rf, ["w"], ("s", "e"), ("s", "e"), how=how, hot=hot)
+            assert got.columns == plain.columns
+            assert rows(got) == rows(plain)
+    wide = rf.withColumn("w", F.col("w").cast("long"))
+    for other in (wide, rf.withColumn("w", F.col("w").cast("double"))):
+        got = iv.interval_overlap_join(lf, other, ["w"], ("s", "e"), ("s", "e"), how="inner", hot=0.1)
+        assert got.count() == plain.count()
+    none = lf.limit(0)
+    assert iv.interval_overlap_join(none, rf, ["w"], ("s", "e"), ("s", "e"), hot=0.1).count() == 0
+    assert iv.interval_overlap_join(lf, rf.limit(0), ["w"], ("s", "e"), ("s", "e"), hot=0.1).count() == len(left)
+    few = spark.createDataFrame([(7, None, None, 1)] * 5, rf.schema)
+    assert iv.interval_overlap_join(lf, few, ["w"], ("s", "e"), ("s", "e"), hot=0.1).count() == len(left)

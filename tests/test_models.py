@@ -72,3 +72,22 @@ def test_stage3_on_a_given_day_matrix(spark):
     assert set(r["year"] for r in test.select("year").distinct().collect()) <= {1998, 1999}
     model = models.train("naive_bayes", train, tr.SPEC)
     assert evaluate.confusion_matrix(models.score(model, test), "label").agg(F.sum("count")).first()[0] == test.count()
+
+
+def test_folds_do_not_depend_on_the_layout_and_areas_equal_rank_sums(spark):
+    """A row's fold comes from its key; areas agree with a plain count of ordered pairs, ties and all."""
+    import random
+    from dayspan.operators import models
+    df = spark.range(4000).select(F.col("id"), (F.col("id") % 7).cast("string").alias("k"))
+    layouts = [df.repartition(n).withColumn("fold", models.fold_of(["id", "k"], 4)) for n in (1, 9)]
+    a, b = ({r.id: r.fold for r in d.collect()} for d in layouts)
+    assert a == b and set(a.values()) == {0, 1, 2, 3} and min(list(a.values()).count(f) for f in range(4)) > 850
+    rng = random.Random(2)
+    rows = [(f, rng.choice([0, 1]), round(rng.random(), rng.choice([1, 6]))) for f in (0, 1, 2) for _ in range(500)] + [(3, 1, 0.5)]
+    per = spark.createDataFrame(rows, "fold int, label int, score double").groupBy("fold", "score").agg(
+        F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    for r in models._areas(per).collect():
+        pos, neg = ([s for f, y, s in rows if f == r.fold and y == want] for want in (1, 0))
+        want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if neg else None
+        assert r["rows"] == len(pos) + len(neg) and r.positives == len(pos)
+        assert r.auc is None if want is None else abs(r.auc - want) < 1e-12

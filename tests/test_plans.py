@@ -26,9 +26,9 @@ def test_flagship_scans_are_pruned(spark):
 
 
 def test_wide_rows_are_expanded_after_the_last_shuffle(spark):
-    """In the day matrix no exchange stands above the day expansion of the spans."""
+    """In the day matrix no exchange stands above the expansion of the months' pieces to days."""
     p = E.queries()["day_matrix"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    above = p[p.index("BroadcastHashJoin [day#"): p.index("Generate explode(sequence(span_start#")]
+    above = p[p.index("BroadcastHashJoin [day#"): p.index("Generate explode(sequence(__p1#")]
     assert "Exchange" not in above
 
 
@@ -63,3 +63,17 @@ def test_bucketed_overlap_join_adds_month_to_the_key(spark):
     p = _plan(j)
     assert "__lm" in p and "__rm" in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+
+
+def test_years_of_the_stored_matrix_are_pruned(spark):
+    """Train, test and back-test read their own years' files."""
+    from dayspan.plans import training as tr
+    m = tr.model_frame(spark, SF_SMALL)
+    train, test = tr.train_test(m)
+    back = m.where("year in (1999, 2000, 2001)")
+    for df, years in ((train, "year#"), (test, "(year#"), (back, "year#")):
+        p = _plan(df)
+        assert "PartitionFilters: [" in p and years in p[p.index("PartitionFilters: ["):].splitlines()[0]
+    files = lambda df: {f.split("year=")[1][:4] for f in df.inputFiles()}
+    assert files(m) >= {"1997", "1998", "1999"}
+    assert {r.year for r in test.select("year").distinct().collect()} == {1999}

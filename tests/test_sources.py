@@ -73,3 +73,35 @@ def test_stage_tables_can_be_dropped(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda _: str(tmp_path))
     assert tables.materialize(spark.range(5), "five").count() == 5
     assert session.drop_stage_tables(spark) == 1 and session.drop_stage_tables(spark) == 0
+
+
+def test_failed_overwrite_leaves_the_old_table(spark, tmp_path):
+    """A job that fails midway: old rows whole, nothing left beside them; the same write succeeds later."""
+    import os
+
+    import pytest
+    path = str(tmp_path / "t")
+    tables.write_table(spark.range(100), path)
+    bad = spark.range(0, 1000, 1, 8).withColumn("x", F.when(F.col("id") == 990, F.raise_error(F.lit("midway"))).otherwise(F.lit(1)))
+    with pytest.raises(Exception, match="midway"):
+        tables.write_table(bad, path)
+    assert spark.read.parquet(path).count() == 100 and os.listdir(tmp_path) == ["t"]
+    # a table may be replaced by what is read from it
+    tables.write_table(spark.read.parquet(path).where("id >= 90"), path)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(90, 100)) and os.listdir(tmp_path) == ["t"]
+
+
+def test_only_partitions_replaces_what_it_brings(spark, tmp_path):
+    import pytest
+    path = str(tmp_path / "p")
+    rows = spark.range(40).withColumn("year", (F.col("id") % 4 + 2000).cast("int"))
+    tables.write_table(rows, path, partition_by=["year"])
+    tables.write_table(rows.where("year = 2001").withColumn("id", F.col("id") + 1000), path, partition_by=["year"], only_partitions=True)
+    got = spark.read.parquet(path)
+    assert got.count() == 40 and got.where("id >= 1000").select("year").distinct().collect()[0].year == 2001
+    bad = rows.where("year = 2002").withColumn("id", F.when(F.col("id") == 38, F.raise_error(F.lit("midway"))).otherwise(F.col("id")))
+    with pytest.raises(Exception, match="midway"):
+        tables.write_table(bad, path, partition_by=["year"], only_partitions=True)
+    assert spark.read.parquet(path).count() == 40 and spark.read.parquet(path).where("year = 2002").count() == 10
+    with pytest.raises(ValueError):
+        tables.write_table(rows, path, only_partitions=True)

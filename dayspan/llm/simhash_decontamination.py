@@ -1,7 +1,8 @@
 """Operator 5: benchmark decontamination with SimHash windows.
 
-Every benchmark item has a 64-bit SimHash of its five-word shingles, weighted
-by how often each occurs. Windows of a document with as many words as an item
+Every benchmark item has a 64-bit SimHash of its five-word shingles; the k-th
+occurrence of a shingle counts as a value of its own, so that the distance of two fingerprints
+follows the similarity of their weighted sets, also where words repeat. Windows of a document with as many words as an item
 are fingerprinted, and multi-index tables over eight 8-bit blocks give all
 items within Hamming distance ``RADIUS``: if all 64 bits differ in at most
 RADIUS places, some block differs in at most RADIUS // 8, and the tables list
@@ -48,12 +49,38 @@ def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(sums + U(int(n) * 0xD6E8FEB86659FD93 % 2**64))
 
 
-def signs(shingles: np.ndarray) -> np.ndarray:
-    """(n, 64) matrix of +1 and -1, the bits of another hash of each shingle."""
-    h = mix(shingles ^ U(0x3C6EF372FE94F82B))
+def signs(shingles: np.ndarray, occurrence: int = 1) -> np.ndarray:
+    """(n, 64) matrix of +1 and -1, the bits of another hash of each shingle's ``occurrence``."""
+    h = mix((shingles + U((occurrence - 1) * 0x9FB21C651E98DF25 % 2**64)) ^ U(0x3C6EF372FE94F82B))
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * 2 - 1
 
 
+def sign_sums(g: np.ndarray, count: int) -> np.ndarray:
+    """(windows, 64): summed signs of the first, second, ... occurrences of the shingles in every window of ``count``."""
+    windows = len(g) - count + 1
+    order = np.argsort(g, kind="stable")
+    again = g[order[1:]] == g[order[:-1]]
+    if not (again & (np.diff(order) < count)).any():  # no window repeats a shingle
+        total = np.zeros((len(g) + 1, 64), np.int32)
+        np.cumsum(signs(g), axis=0, out=total[1:])
+        return total[count:] - total[:-count]
+    before = np.append(-1, np.where(again, order[:-1], -1))
+    steps = np.zeros((windows + 1, 64), np.int32)
+    for k in range(1, count + 1):
+        # windows that begin after the shingle's last place, up to this one, and reach the (k - 1)-th place after it
+        first, last = order[: len(order) - k + 1], order[k - 1:]
+        here = (g[first] == g[last]) & (last - first < count)
+        if not here.any():
+            break
+        lo = np.maximum(np.maximum(before[: len(first)][here] + 1, last[here] - count + 1), 0)
+        hi = np.minimum(first[here], windows - 1)
+        some = lo <= hi
+        s = signs(g[first[here][some]], k)
+        np.add.at(steps, lo[some], s)
+        np.subtract.at(steps, hi[some] + 1, s)
+    return np.cumsum(steps[:-1], axis=0)
+
+
 def fingerprints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1).reshape(-1, 8)
 
@@ -71,7 +98,7 @@ class Items:
         for a, b in zip(words.first[:-1], words.first[1:], strict=True):
             g = ngrams(words.hash[a:b], min(WIDTH, max(1, b - a)))
             self.sets.append(np.unique(g, return_counts=True))
-            prints.append(fingerprints(signs(g).sum(axis=0, keepdims=True)) if len(g) else np.zeros((1, 8), np.uint8))
+            prints.append(fingerprints(sign_sums(g, len(g))) if len(g) else np.zeros((1, 8), np.uint8))
         self.prints = np.concatenate(prints) if prints else np.zeros((0, 8), np.uint8)
         pairs = [(s, i) for i, (u, _) in enumerate(self.sets) for s in u.tolist()]
         pairs.sort()
@@ -142,9 +169,7 @@ class Items:
                 first, end = max(lo, int(part[0]) - count + 1), min(last, int(part[-1]))
                 if end < first:
                     continue
-                total = np.zeros((end + count - first + 1, 64), np.int32)
-                np.cumsum(signs(g[first: end + count]), axis=0, out=total[1:])
-                prints = fingerprints(total[count:] - total[:-count])
+                prints = fingerprints(sign_sums(g[first: end + count], count))
                 for w, item, dist in zip(*(x.tolist() for x in self.candidates(prints, size)), strict=True):
                     sim = self.similarity(g[first + w: first + w + count], item)
                     if sim >= similarity:

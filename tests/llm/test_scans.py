@@ -2,9 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from cases import as_sorted, by_row, edge_texts, frame, words
 
 from dayspan.llm import secret_index, simhash_decontamination
+from dayspan.llm import simhash_decontamination as sd
 
 
 def benchmark(spark, items):
@@ -106,3 +109,30 @@ def test_trigram_queries_hold_for_every_match():
     assert secret_index.trigram_query(secret_index.Rule("x", "ab|abcd")) is None
     assert secret_index.trigram_query(secret_index.Rule("x", "(foo)+[0-9]*(bar|ba[zx])")) == {
         frozenset(["foo", "bar"]), frozenset(["foo", "baz"]), frozenset(["foo", "bax"])}
+
+
+def test_items_with_repeated_words_are_found():
+    """Long items of which a run is replaced by one repeated word: as many matches as by brute force."""
+    rng = random.Random(7)
+    items, texts = [], []
+    for _ in range(12):
+        w = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        k = rng.randrange(34, 42)
+        a = rng.randrange(0, 400 - k)
+        items.append(" ".join(w))
+        texts.append(" ".join(["before"] * 9 + w[:a] + ["same"] * k + w[a + k:] + ["after"]))
+    want = sd.brute_force(texts, items)
+    assert len(want) > 8
+    assert {(d, i) for d, i, *_ in sd.Items(list(range(12)), items).matches(pa.array(texts))} == want
+
+
+def test_window_sums_count_every_occurrence():
+    rng = random.Random(8)
+    for _ in range(200):
+        g = np.array([rng.randrange(1, rng.choice([3, 6, 40])) for _ in range(rng.randrange(1, 40))], np.uint64)
+        count = rng.randrange(1, len(g) + 1)
+        got = sd.sign_sums(g, count)
+        for p in range(len(g) - count + 1):
+            values, n = np.unique(g[p: p + count], return_counts=True)
+            want = sum(sd.signs(np.array([v], np.uint64), k)[0] for v, m in zip(values, n, strict=True) for k in range(1, m + 1))
+            assert (got[p] == want).all()

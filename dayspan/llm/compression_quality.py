@@ -91,9 +91,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: i
     coin = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string")))
     picked = [marks.where(F.col("y") == y).orderBy(coin, "doc_id").limit(2 * per_class) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1]).withColumn("coin", F.conv(F.substring(coin, -6, 6), 16, 10).cast("long"))
-    # half of the picked teach the dictionaries, half calibrate; ids that repeat in docs count once
-    texts = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 4 x per_class ids
-             .where(F.length(F.trim("text")) > 0))
+    # half of the picked teach the dictionaries, half calibrate; of rows that repeat an id the text of
+    # least hash counts, so at most 4 x per_class texts are used, however often ids repeat
+    texts = (docs.select("doc_id", "text").where(F.length(F.trim("text")) > 0).join(F.broadcast(picked), "doc_id")  # at most 4 x per_class ids
+             .groupBy("doc_id", "y", "coin").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.length("text"))).alias("text")))
     span = F.greatest(F.length("text") - piece_chars, F.lit(0)) + 1
     taught = texts.where(F.col("coin") % 2 == 0).select("y", F.substr("text", (F.col("coin") % span + 1).cast("int"), F.lit(piece_chars)).alias("t"))
     by = {0: [], 1: []}

@@ -153,6 +153,16 @@ def test_quality_on_held_out_texts(spark):
     assert {r.doc_id for r in kept.collect()} >= {i for i in range(300, 400) if i % 5 >= 2} - {i for i in range(400) if out[i] < 0.3}
 
 
+def test_quality_model_ignores_repeated_rows(spark):
+    """Rows that repeat sampled ids, alike or with other texts, change neither dictionaries nor weights."""
+    labels = spark.createDataFrame([(i, 0 if i % 5 < 2 else 1) for i in range(300)], "doc_id long, quality int")
+    rows = quality_rows()
+    once = compression_quality.fit(frame(spark, rows), labels, per_class=60)
+    again = compression_quality.fit(frame(spark, rows + [rows[11]] * 3000 + [rows[12]] * 3000).repartition(7), labels, per_class=60)
+    assert again["good"] == once["good"] and again["bad"] == once["bad"]
+    assert np.allclose(again["weights"], once["weights"], rtol=1e-6)
+
+
 def test_quality_without_labels(spark):
     df = frame(spark, quality_rows(20))
     none = spark.createDataFrame([], "doc_id long, quality int")

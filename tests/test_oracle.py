@@ -25,7 +25,7 @@ def test_matches_oracle(spark, con, name):
 def test_every_query_has_oracle_or_is_model():
     rows_only = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert rows_only == {"logistic_scored", "logistic_tuned", "forest_scored", "forest_weighted",
-                         "logistic_lineitem", "forest_lineitem"}
+                         "forest_lineitem"}
 
 
 def test_entry(spark):

@@ -125,6 +125,8 @@ def _all_set(on: Sequence[str]) -> Column:
 
 def _hot_and_cold(left, right, on, left_span, right_span, how, right_prefix, out_span, hot, clamp) -> DataFrame:
     plain = {"how": how, "right_prefix": right_prefix, "out_span": out_span}
+    # each side is read for the keys, the range, the plain path and the grid
+    left, right = materialize(left, "overlap-left"), materialize(right, "overlap-right")
     # keys that are equal must have one text: the same type on both sides, or integers
     whole = (ByteType, ShortType, IntegerType, LongType)
     one_text = all(a == b or isinstance(a, whole) and isinstance(b, whole) for a, b in ((left.schema[k].dataType, right.schema[k].dataType) for k in on))
@@ -175,9 +177,9 @@ def interval_overlap_join_bucketed(left: DataFrame, right: DataFrame, on: Sequen
     within it only, so a sentinel end such as 9999-12-31 does not explode.
 
     For ``how='left'`` the left rows get an identity of their own in a stage
-    table (no column of ``left`` need be unique), the pairs are built once as
-    a second stage table, and the rows that it lacks are added back with null
-    partner columns.
+    table (no column of ``left`` need be unique), and the rows without a pair are
+    added back with null partner columns. They are found by a semi join, which ends at a row's
+    first partner. No pair is stored: what is written grows with the rows, not with the pairs.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -188,6 +190,7 @@ def interval_overlap_join_bucketed(left: DataFrame, right: DataFrame, on: Sequen
     rs, re_ = right_prefix + right_span[0], right_prefix + right_span[1]
     if how == "left":
         left = materialize(left.withColumn("__row", F.monotonically_increasing_id()), "overlap-left")
+        r = materialize(r, "overlap-right")
     lb, rb = month_pieces(left, ls, le, *clamp, "__lm"), month_pieces(r, rs, re_, *clamp, "__rm")
     cond = [F.col(k) == F.col(rkey[k]) for k in on] + [
         F.col("__lm") == F.col("__rm"), F.col(rs) <= F.col(le), F.col(re_) >= F.col(ls)]
@@ -198,11 +201,18 @@ def interval_overlap_join_bucketed(left: DataFrame, right: DataFrame, on: Sequen
     partner = [right_prefix + c for c in right_cols]
     if how == "inner":
         return pairs.select(*cols, *partner, *overlap)
-    pairs = materialize(pairs.select("__row", *cols, *partner, *overlap), "overlap-pairs")
-    lone = left.join(pairs.select("__row"), "__row", "left_anti")
+    met = lb.join(rb, cond, "left_semi").select("__row")  # two spans that share a month of the grid and overlap are a pair
+    lone = left.join(met, "__row", "left_anti")
+    pairs = pairs.select(*cols, *partner, *overlap)
     types = dict(pairs.dtypes)
     lone = lone.select(*cols, *[F.lit(None).cast(types[c]).alias(c) for c in [*partner, *out_span]])
-    return pairs.select(*lone.columns).unionByName(lone)
+    return pairs.unionByName(lone)
+
+
+def count_copies(df: DataFrame, cols: Sequence[str], out: str = "copies") -> DataFrame:
+    """The distinct ``cols`` with the number of rows that agree in them, combined in every task: a join
+    meets such a class once, and each of its pairs stands for ``out`` pairs of rows."""
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(out))
 
 
 def overlap_days(df: DataFrame, start: str, end: str, out: str = "overlap_days") -> DataFrame:

@@ -401,10 +401,14 @@ def one_worker(df):
 
 
 def q_overlap_join_hot(spark, sf):
+    """Absences of one worker with equal spans are joined once and counted, so a contract of the hot key
+    meets no more rows than there are different spans near it, however many absences the key has."""
     spans = one_worker(clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN))
-    j = intervals.interval_overlap_join(spans, one_worker(kept_absences(spark, sf)), KEYS, SPAN, ("start_date", "end_date"), hot=0.01)
+    classes = intervals.count_copies(one_worker(kept_absences(spark, sf)), [*KEYS, "start_date", "end_date"])
+    j = intervals.interval_overlap_join(spans, classes, KEYS, SPAN, ("start_date", "end_date"), hot=0.01)
     j = intervals.overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
-    return j.groupBy("contract_id").agg(F.count("overlap_start").alias("pairs"), F.sum("overlap_days").cast("long").alias("overlap_days"))
+    return j.groupBy("contract_id").agg(F.coalesce(F.sum("r_copies"), F.lit(0)).alias("pairs"),
+                                        F.coalesce(F.sum(F.col("overlap_days") * F.col("r_copies")), F.lit(0)).cast("long").alias("overlap_days"))
 
 
 _ONE_WORKER = "* replace (case when worker_id % 3 = 0 then 1 else worker_id end as worker_id, case when worker_id % 3 = 0 then 1 else division end as division)"

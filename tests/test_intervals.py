@@ -260,3 +260,22 @@ def test_hot_keys_take_the_grid_and_no_row_changes(spark):
     assert iv.interval_overlap_join(lf, rf.limit(0), ["w"], ("s", "e"), ("s", "e"), hot=0.1).count() == len(left)
     few = spark.createDataFrame([(7, None, None, 1)] * 5, rf.schema)
     assert iv.interval_overlap_join(lf, few, ["w"], ("s", "e"), ("s", "e"), hot=0.1).count() == len(left)
+
+
+def test_bucketed_join_stores_no_pairs(spark, monkeypatch):
+    """300 spans and 300 events of one key are 90,000 pairs; the stage tables hold no more rows than the inputs."""
+    stored, write = [], iv.materialize
+    def kept(df, name, *rest):  # noqa: E306
+        out = write(df, name, *rest)
+        stored.append(out.count())
+        return out
+    monkeypatch.setattr(iv, "materialize", kept)
+    day = F.lit(D(2000, 1, 5))
+    left = spark.range(300).select("id", F.lit(1).alias("w"), day.alias("s"), F.date_add(day, 9).alias("e"))
+    right = left.union(left.selectExpr("id", "2 as w", "s", "e"))
+    for hot in (None, 0.1):
+        j = (iv.interval_overlap_join(left, right, ["w"], ("s", "e"), ("s", "e"), hot=hot) if hot else
+             iv.interval_overlap_join_bucketed(left, right, ["w"], ("s", "e"), ("s", "e"), (D(2000, 1, 1), D(2000, 12, 31))))
+        assert j.count() == 90_000 and max(stored) <= 600
+    copies = iv.count_copies(right, ["w", "s", "e"])
+    assert rows(copies, "w", "copies") == [(1, 300), (2, 300)]

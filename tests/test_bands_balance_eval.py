@@ -88,3 +88,39 @@ def test_histogram_needs_no_single_task_window(spark):
         with contextlib.redirect_stdout(out):
             df.explain("formatted")
         assert "Window" not in out.getvalue()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balance_exact_stores_rows_without_digests_and_never_shuffles_them(spark, monkeypatch):
+    stored, write = {}, balance.materialize
+    def kept(df, name, *rest):  # noqa: E306
+        stored.setdefault(name, []).append((df.columns, _plan(df)))
+        return write(df, name, *rest)
+    monkeypatch.setattr(balance, "materialize", kept)
+    df = _skewed(spark).withColumn("wide", F.repeat(F.lit("x"), 50))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = balance.balance_exact(df, "label", ["id"], levels=2, width=1)
+        assert stored["balance-base"][0][0] == df.columns
+        assert all("SortMergeJoin" not in p for _, p in stored["balance-pending"]) and "SortMergeJoin" not in _plan(out)
+        assert out.groupBy("label").count().where("count = 100").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_balance_exact_with_a_null_class(spark):
+    data = [(i, None if i % 3 else 1) for i in range(300)]
+    got = rows(balance.balance_exact(spark.createDataFrame(data, "id int, label int"), "label", ["id"], levels=1, width=1), "label", "id")
+    assert [sum(r[0] == c for r in got) for c in (None, 1)] == [100, 100] and len(set(got)) == 200
+
+
+def test_class_values_reach_the_rows_without_a_shuffle_of_them(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df in (balance.class_weights(_skewed(spark), "label"), balance.resample(_skewed(spark), "label", ["id"])):
+            assert "SortMergeJoin" not in _plan(df) and "BroadcastHashJoin" in _plan(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -25,7 +25,7 @@ NEAR = 1e-5
 
 # N1, N2 -- the logistic fits are optimal ----------------------------------------------
 def _training_vectors(spark, sf):
-    m = tr.model_frame(spark, sf)
+    m = tr.model_frame(spark, sf, columns=tr.MODEL_COLUMNS)
     train, test = tr.train_test(m)
     train = balance.class_weights(train, tr.LABEL, "weight")
     features = fit_features(tr.SPEC, train)
@@ -136,7 +136,7 @@ FOLDS = 4
 
 def q_tuning_folds(spark, sf) -> DataFrame:
     """Per fold: rows and positives, and whether Spark's own AUC agrees with the rank sums of the fold's model."""
-    m = tr.model_frame(spark, sf)
+    m = tr.model_frame(spark, sf, columns=tr.MODEL_COLUMNS)
     train, _ = tr.train_test(m)
     features = fit_features(tr.SPEC, train)
     table = models.vectors(features, train.withColumn("fold", models.fold_of(UNIT, FOLDS)), [tr.LABEL, "fold"])
@@ -158,7 +158,7 @@ from matrix where year < {fx.TRAIN_BEFORE} group by 1"""))
 def _forest_nodes(weighted: bool):
     def q(spark, sf) -> DataFrame:
         """Test rows by whether the node table and the model agree on the prediction and on the shares."""
-        m = tr.model_frame(spark, sf)
+        m = tr.model_frame(spark, sf, columns=tr.MODEL_COLUMNS)
         train, test = tr.train_test(m)
         train = (balance.class_weights(train, tr.LABEL, "weight") if weighted
                  else balance.resample(train, tr.LABEL, UNIT, rates={0.0: 0.8, 1.0: 3.2}))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,13 @@ SPEC = FeatureSpec(label=LABEL, categorical=CATEGORICAL, numeric=list(NUMERIC),
 FOREST_SPEC = FeatureSpec(label=LABEL, categorical=CATEGORICAL, numeric=list(NUMERIC), passthrough=["holiday_d"],
                           forbidden=FORBIDDEN, one_hot=False)
 
+# what these specs and a row's key need of the day matrix
+MODEL_COLUMNS = ["contract_id", "day", *CATEGORICAL, *NUMERIC.values(), "holiday"]
+
 STAND_IN_CUT = 0.2
 
 
-def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True, columns: Sequence[str] | None = None) -> DataFrame:
     """Day matrix with a double label and double copies of the numerics.
 
     Stage 3 reads the day matrix several times (class histogram, feature
@@ -34,9 +39,12 @@ def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
     it is written once as a table into the shared checkpoint folder -- the
     stage boundary -- instead of being recomputed for every pass, partitioned by year, so that
     the training years, the test year and a back-test read their own files only. Single-pass
-    consumers pass ``materialize=False``.
+    consumers pass ``materialize=False``. ``columns``: those of the matrix that the caller reads; only these,
+    the label and the year are computed and stored (default: all).
     """
     m = day_matrix(spark, sf_dir)
+    if columns is not None:
+        m = m.select(*dict.fromkeys([*columns, "absent", "year"]))
     if materialize:
         m = materialize_table(m, "day-matrix", partition_by=["year"])
     return prepare_model_frame(m)
@@ -44,11 +52,10 @@ def model_frame(spark: SparkSession, sf_dir: str, materialize: bool = True) -> D
 
 def prepare_model_frame(m: DataFrame) -> DataFrame:
     """Any day matrix (e.g. from ``build_day_matrix``) with a double label and
-    double copies of the numerics, ready for ``SPEC`` / ``FOREST_SPEC``."""
+    double copies of the numerics it has, ready for ``SPEC`` / ``FOREST_SPEC``."""
     return m.withColumns({
         LABEL: F.col("absent").cast("double"),
-        **{d: F.col(c).cast("double") for d, c in NUMERIC.items()},
-        "holiday_d": F.col("holiday").cast("double"),
+        **{d: F.col(c).cast("double") for d, c in {**NUMERIC, "holiday_d": "holiday"}.items() if c in m.columns},
     })
 
 

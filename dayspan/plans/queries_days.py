@@ -117,12 +117,13 @@ from ({FLAG_ROWS_SQL}) r group by contract_id""", ("spans", "kept_absences"))
 # E6, H8, H9 -- fold the flag rows per contract-day -------------------------------------
 def q_fold_days(spark, sf):
     spans = clipped_spans(spark, sf).select("contract_id", *KEYS, *SPAN)
+    # the concurrent assignments join the spans, before these become days
+    spans = spans.join(curation.curated_spans(spark, sf).select("contract_id", "concurrent"), "contract_id")
     folded = intervals.flagged_days(spans, kept_absences(spark, sf, distinct=False), KEYS, SPAN, ("start_date", "end_date"),
                                     (fx.WINDOW_START, fx.WINDOW_END), "absence_class")
     named = F.when(F.size("labels") > 0, F.array_join("labels", ",")).otherwise(F.lit(dm.NO_ABSENCE))
-    folded = folded.select("contract_id", "day", F.col("flag").alias("absent"), F.coalesce(named, F.lit(dm.NO_ABSENCE)).alias("absence_class"))
-    conc = curation.curated_spans(spark, sf).select("contract_id", "concurrent")
-    folded = intervals.share(folded.join(conc, "contract_id"), "absent", "concurrent", "absent_share")
+    folded = folded.select("contract_id", "day", F.col("flag").alias("absent"), F.coalesce(named, F.lit(dm.NO_ABSENCE)).alias("absence_class"), "concurrent")
+    folded = intervals.share(folded, "absent", "concurrent", "absent_share")
     return _round(folded, ["absent_share"])
 
 

@@ -77,3 +77,28 @@ def test_years_of_the_stored_matrix_are_pruned(spark):
     files = lambda df: {f.split("year=")[1][:4] for f in df.inputFiles()}
     assert files(m) >= {"1997", "1998", "1999"}
     assert {r.year for r in test.select("year").distinct().collect()} == {1999}
+
+
+def test_stored_matrix_holds_what_is_asked_and_is_written_without_a_sort(spark, monkeypatch):
+    from dayspan.plans import training as tr
+    from dayspan.sources import tables
+    m = tr.model_frame(spark, SF_SMALL, columns=["contract_id", "day"])
+    assert set(m.columns) == {"contract_id", "day", "absent", "year", "label"}
+    before = spark.conf.get(tables.OPEN_FILES_CONF)
+    seen = []
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path: seen.append(spark.conf.get(tables.OPEN_FILES_CONF)))
+    monkeypatch.setattr(type(spark.read), "parquet", lambda self, path: spark.range(0).selectExpr("id as y"))
+    tables.materialize(spark.range(5).selectExpr("id as y"), "t", partition_by=["y"])
+    assert int(seen[0]) >= 16 and spark.conf.get(tables.OPEN_FILES_CONF) == before
+
+
+def test_folded_days_are_not_shuffled(spark):
+    """No join or exchange stands above the expansion of the months' pieces to days."""
+    p = E.queries()["fold_days"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    above = p[:p.index("Generate explode(sequence(__p1#")]
+    assert "Exchange" not in above and "Join" not in above
+
+
+def test_the_loaded_model_scores_in_the_same_pass(spark):
+    p = E.queries()["model_roundtrip"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p

@@ -59,9 +59,21 @@ def fit_on(kind: str, table: DataFrame, features: PipelineModel, spec: FeatureSp
     est = estimator(kind, spec.label, weight, **params)
     if kind == "forest":
         check_cardinality(features, spec, est.getMaxBins())
+        table = spread_for_forest(table, est.getNumTrees())
     return PipelineModel(stages=[features, est.fit(table)])
 
 
+#: bytes of training rows that a task of a forest fit holds, about
+FOREST_TASK_BYTES = 400_000_000
+
+
+def spread_for_forest(table: DataFrame, trees: int) -> DataFrame:
+    """``table`` in enough partitions for a forest. The fit keeps each row with a number per tree, many times
+    the row's size in the file, so a partition that is one split of the stored vectors would grow far too large."""
+    parts = -(-table.count() * (4 * trees + 200) // FOREST_TASK_BYTES)
+    return table.repartition(parts) if parts > table.rdd.getNumPartitions() else table
+
+
 def train(kind: str, train_df: DataFrame, spec: FeatureSpec, weight: str | None = None,
           **params) -> PipelineModel:
     """Fit features and classifier on the training rows only: the features

@@ -91,3 +91,13 @@ def test_folds_do_not_depend_on_the_layout_and_areas_equal_rank_sums(spark):
         want = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg)) if neg else None
         assert r["rows"] == len(pos) + len(neg) and r.positives == len(pos)
         assert r.auc is None if want is None else abs(r.auc - want) < 1e-12
+
+
+def test_forest_rows_are_spread_by_the_size_they_take_in_the_fit(spark, monkeypatch):
+    df = spark.range(1000).coalesce(1)
+    assert models.spread_for_forest(df, 200).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(models, "FOREST_TASK_BYTES", 100_000)  # 100 rows of 200 trees
+    wide = models.spread_for_forest(df, 200)
+    assert wide.rdd.getNumPartitions() == 10 and wide.distinct().count() == 1000
+    assert max(len(p) for p in wide.rdd.glom().collect()) <= 110
+    assert models.spread_for_forest(df.repartition(20), 200).rdd.getNumPartitions() == 20

@@ -148,6 +148,11 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
+def drop_encoders() -> None:
+    """Give back the encoders of this Python worker (a table of words takes over 100 MB), which serves later stages too."""
+    _encoders.clear()
+
+
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None,
                  shard_tokens: int = SHARD_TOKENS, order: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Encode and write in the order of the given columns; returns the manifest:
@@ -195,6 +200,7 @@ def read_back(manifest: DataFrame, doc_type: str = "bigint") -> DataFrame:
     """Per document, decoded from the files: doc_id, start, n_tokens, ids_crc32, shard path."""
 
     def run(batches):
+        drop_encoders()
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 shard = WaveletFile(path)

@@ -72,3 +72,13 @@ def test_table_of_known_words_is_bounded(monkeypatch):
     for t in texts * 2:
         got, n = tool.block(pa.array([t, None]))
         assert got.tolist() == [*tool.tool.encode(t, add_special_tokens=False).ids, 2, 2] and n.tolist() == [len(got) - 1, 1]
+
+
+def test_reading_back_gives_the_encoders_memory_back(spark, monkeypatch):
+    """Workers that encoded serve the tasks that read the files; there the tables of words are of no use."""
+    runs = []
+    monkeypatch.setattr(token_output, "in_arrow", lambda df, run, schema: runs.append(run) or df)
+    before = token_output.encoder(tokenizer_path(), 2)
+    token_output.read_back(spark.createDataFrame([("nowhere", 0)], "path string, start long"))
+    assert token_output._encoders and list(runs[0](iter([]))) == [] and not token_output._encoders
+    assert token_output.encoder(tokenizer_path(), 2) is not before

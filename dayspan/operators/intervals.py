@@ -248,14 +248,26 @@ def month_masks(events: DataFrame, keys: Sequence[str], event_span: tuple[str, s
     __marks, an array of (label, mask).
 
     An event is one row per month it touches, and days are folded by OR, which
-    combines in every task: a hot key sends a long per month, label and task."""
+    combines in every task and meets in one shuffle: a hot key sends a task's distinct (label, days) of a month, at most 496 a label."""
     names = [f"__k{i}" for i in range(len(keys))]
     p = event_pieces(events, keys, event_span, clamp, label).withColumn("__mask", _mask("__d1", "__d2"))
+    covered = F.bit_or("__mask").alias("__any")
     if not label:
-        return p.groupBy(*names, "__em").agg(F.bit_or("__mask").alias("__any"))
-    p = p.groupBy(*names, "__em", "__label").agg(F.bit_or("__mask").alias("__mask"))
-    return p.groupBy(*names, "__em").agg(F.bit_or("__mask").alias("__any"),
-                                         F.collect_list(F.struct(F.col("__label").alias("label"), F.col("__mask").alias("mask"))).alias("__marks"))
+        return p.groupBy(*names, "__em").agg(covered)
+    parts = F.collect_set(F.struct(F.col("__label").alias("label"), F.col("__mask").alias("mask")))
+    return p.groupBy(*names, "__em").agg(covered, parts.alias("__parts")).select(*names, "__em", "__any", _by_label("__parts").alias("__marks"))
+
+
+def _by_label(parts: str) -> Column:
+    """An array of (label, mask) with one mask for each label, from one with several."""
+    zero = F.lit(0).cast("long")
+
+    def union(label: Column) -> Column:
+        own = F.filter(parts, lambda x: x["label"].eqNullSafe(label))
+        return F.struct(label.alias("label"), F.aggregate(own, zero, lambda acc, x: acc.bitwiseOR(x["mask"])).alias("mask"))
+
+    labels = F.array_distinct(F.transform(parts, lambda x: x["label"]))
+    return F.when(F.size(parts) == 1, F.col(parts)).otherwise(F.transform(labels, union))
 
 
 def _meet_months(rows: DataFrame, months: DataFrame, keys: Sequence[str], row_span: tuple[str, str]) -> DataFrame:
@@ -308,19 +320,29 @@ def overlap_day_rows(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequ
 
 
 def month_changes(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple) -> DataFrame:
-    """The sweep line of every keys (__k0, ...) and month (__em): __changes, an array of (day, delta, begun): by how many
-    active events the count changes on that day of the month (+1 at a start or at
-    the month's first day, -1 after an end) and how many begin; and __any, the covered days as a bit mask.
+    """The events of every keys (__k0, ...) and month (__em): __changes, an array of (first, last, n, begun): n events are
+    active on the days first .. last of the month and begun of them begin on day first; and __any, the covered days as a bit mask.
 
-    Changes are summed per keys and day first, so a month holds 31 of them at most, whatever the number of events."""
+    Equal pieces are counted first, a row each. A month with more than 31 kinds of them holds a day each instead
+    (first = last, the events active on it), so it holds 31 items at most, whatever the number of events."""
     names = [f"__k{i}" for i in range(len(keys))]
-    p = event_pieces(events, keys, event_span, clamp).withColumn("__mask", _mask("__d1", "__d2"))
-    change = F.array(
-        F.struct(F.col("__d1").alias("day"), F.lit(1).alias("delta"), F.col("__begins").cast("int").alias("begun"), F.col("__mask").alias("mask")),
-        F.struct((F.col("__d2") + 1).alias("day"), F.lit(-1).alias("delta"), F.lit(0).alias("begun"), F.lit(0).cast("long").alias("mask")))
-    p = p.select(*names, "__em", F.explode(change).alias("c")).groupBy(*names, "__em", "c.day").agg(
-        F.sum("c.delta").alias("delta"), F.sum("c.begun").alias("begun"), F.bit_or("c.mask").alias("mask"))
-    return p.groupBy(*names, "__em").agg(F.bit_or("mask").alias("__any"), F.collect_list(F.struct("day", "delta", "begun")).alias("__changes"))
+    p = event_pieces(events, keys, event_span, clamp).groupBy(*names, "__em", "__d1", "__d2", "__begins").agg(F.count(F.lit(1)).alias("__n"))
+    begun = F.when(F.col("__begins"), F.col("__n")).otherwise(F.lit(0).cast("long"))
+    item = F.struct(F.col("__d1").alias("first"), F.col("__d2").alias("last"), F.col("__n").alias("n"), begun.alias("begun"))
+    p = p.groupBy(*names, "__em").agg(F.bit_or(_mask("__d1", "__d2")).alias("__any"), F.collect_list(item).alias("__items"))
+    return p.select(*names, "__em", "__any", F.when(F.size("__items") <= 31, F.col("__items")).otherwise(_by_day("__items")).alias("__changes"))
+
+
+def _by_day(items: str) -> Column:
+    """The same events as one item for each day that any of them covers."""
+    zero = F.lit(0).cast("long")
+
+    def on(day: Column) -> Column:
+        active = F.aggregate(items, zero, lambda acc, x: acc + F.when((x["first"] <= day) & (x["last"] >= day), x["n"]).otherwise(zero))
+        begun = F.aggregate(items, zero, lambda acc, x: acc + F.when(x["first"] == day, x["begun"]).otherwise(zero))
+        return F.struct(day.alias("first"), day.alias("last"), active.alias("n"), begun.alias("begun"))
+
+    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(31)), on), lambda x: x["n"] > 0)
 
 
 def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequence[str],
@@ -330,24 +352,23 @@ def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Se
     in days (``total``, a day under two events counts twice), the number of
     covered days (``days``) and the number of events met (``events_met``).
 
-    A sweep over each month's changes: a change on day c counts for every day
-    of the row's piece from c on, so no day is expanded and no event is
-    compared with a row. Linear in rows, events and the months they touch, also
+    A sum over each month's ``month_changes`` within the row's piece of the month: no day is expanded
+    and no event is compared with a row. Linear in rows, events and the months they touch, also
     for a key with most of the rows. ``clamp`` bounds every overlap.
     """
     low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
     rs, re_ = F.greatest(F.col(row_span[0]), low), F.least(F.col(row_span[1]), high)
     bounded = F.col(row_span[0]).isNotNull() & F.col(row_span[1]).isNotNull() & (F.col(row_span[0]) <= F.col(row_span[1]))
     narrow = rows.where(bounded).select(F.col(row_id).alias("__id"), *keys, rs.alias("__rs"), re_.alias("__re"))
-    met = _meet_months(narrow, month_changes(events, keys, event_span, clamp), keys, ("__rs", "__re")).where(F.col("__any").isNotNull())
+    met = _meet_months(narrow, month_changes(events, keys, event_span, clamp), keys, ("__rs", "__re")).where(F.col("__changes").isNotNull())
     met = met.select("__id", "__any", "__changes", F.dayofmonth("__p1").alias("__a"), F.dayofmonth("__p2").alias("__b"),
                      (F.col("__p1") == F.col("__rs")).alias("__first"))
-    zero = F.lit(0).cast("long")
-    active = F.aggregate("__changes", zero, lambda acc, c: acc + c["delta"] * F.greatest(
-        F.lit(0), F.col("__b") - F.greatest(c["day"], F.col("__a")) + 1))
-    at_start = F.aggregate(F.filter("__changes", lambda c: c["day"] <= F.col("__a")), zero, lambda acc, c: acc + c["delta"])
-    begun = F.aggregate(F.filter("__changes", lambda c: (c["day"] > F.when(F.col("__first"), F.col("__a")).otherwise(0)) & (c["day"] <= F.col("__b"))),
-                        zero, lambda acc, c: acc + c["begun"])
+    zero, a, b = F.lit(0).cast("long"), F.col("__a"), F.col("__b")
+    active = F.aggregate("__changes", zero, lambda acc, c: acc + c["n"] * F.greatest(
+        F.lit(0), F.least(b, c["last"]) - F.greatest(a, c["first"]) + 1))
+    at_start = F.aggregate("__changes", zero, lambda acc, c: acc + F.when((c["first"] <= a) & (c["last"] >= a), c["n"]).otherwise(zero))
+    begun = F.aggregate("__changes", zero, lambda acc, c: acc + F.when(
+        (c["first"] > F.when(F.col("__first"), a).otherwise(F.lit(0))) & (c["first"] <= b), c["begun"]).otherwise(zero))
     met = met.select("__id", active.alias("__t"), F.when(F.col("__first"), at_start + begun).otherwise(begun).alias("__n"),
                      F.bit_count(F.col("__any").bitwiseAND(_mask("__a", "__b"))).alias("__c")).where(F.col("__t") > 0)
     return met.groupBy(F.col("__id").alias(row_id)).agg(F.sum("__t").alias(total), F.sum("__c").alias(days), F.sum("__n").alias(events_met))

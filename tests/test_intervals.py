@@ -279,3 +279,38 @@ def test_bucketed_join_stores_no_pairs(spark, monkeypatch):
         assert j.count() == 90_000 and max(stored) <= 600
     copies = iv.count_copies(right, ["w", "s", "e"])
     assert rows(copies, "w", "copies") == [(1, 300), (2, 300)]
+
+
+def test_months_fold_in_few_shuffles_and_a_row_per_piece(spark):
+    """Masks by label meet in one shuffle (two before); an event is one row and one item a month (two changes before)."""
+    ev = spark.createDataFrame([(1, "A", D(2000, 1, 3), D(2000, 1, 6)), (1, "A", D(2000, 1, 9), D(2000, 1, 9)), (1, None, D(2000, 1, 31), D(2000, 2, 2)),
+                                (1, None, D(2000, 1, 1), D(2000, 1, 1))], "w int, cls string, s date, e date")
+    window = (D(2000, 1, 1), D(2000, 12, 31))
+    masks = iv.month_masks(ev, ["w"], ("s", "e"), window, "cls")
+    plan = masks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.label, r.mask) for r in masks.where("__em = 24000").selectExpr("inline(__marks)").collect()}
+    assert got == {("A", 0b100111100), (None, (1 << 30) + 1)}
+    changes = iv.month_changes(ev, ["w"], ("s", "e"), window)
+    assert changes._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+    assert {r["__em"]: len(r["__changes"]) for r in changes.collect()} == {24000: 4, 24001: 1}
+
+
+def test_a_month_of_many_kinds_of_events_is_held_by_day(spark):
+    """400 events of over 31 kinds in a month, some begun before it: sums, covered days and events met as compared one by one."""
+    import random
+    rng = random.Random(5)
+    ev = [(s := D(2000, 2, 20) + dt.timedelta(rng.randrange(45)), s + dt.timedelta(rng.randrange(12))) for _ in range(400)]
+    spans = [(i, s := D(2000, 2, 10) + dt.timedelta(rng.randrange(60)), s + dt.timedelta(rng.choice([0, 3, 25, 40]))) for i in range(40)]
+    window = (D(2000, 2, 1), D(2000, 4, 10))
+    ef = spark.createDataFrame([(1, *x) for x in ev], "w int, s date, e date")
+    sf = spark.createDataFrame([(i, 1, s, min(e, window[1])) for i, s, e in spans], "id int, w int, s date, e date")
+    assert max(len(r["__changes"]) for r in iv.month_changes(ef, ["w"], ("s", "e"), window).collect()) == 31
+    got = rows(iv.overlap_day_totals(sf, ef, "id", ["w"], ("s", "e"), ("s", "e"), window), "id", "overlap_days", "covered_days", "events")
+    want = []
+    for i, s, e in spans:
+        met = [(max(s, a), min(e, b, window[1])) for a, b in ev if max(s, a) <= min(e, b, window[1])]
+        if met:
+            days = {a + dt.timedelta(k) for a, b in met for k in range((b - a).days + 1)}
+            want.append((i, sum((b - a).days + 1 for a, b in met), len(days), len(met)))
+    assert got == sorted(want)

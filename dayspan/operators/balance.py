@@ -57,9 +57,9 @@ def replicate(df: DataFrame, rate: Column | str, key: Sequence[str], salt: str =
     r = F.col(rate) if isinstance(rate, str) else rate
     whole = F.floor(r).cast("int")
     extra = F.when(hash_unit(key, salt) < (r - F.floor(r)), F.lit(1)).otherwise(F.lit(0))
-    n = whole + extra
-    return df.withColumn("__n", n).where(F.col("__n") >= 1) \
-             .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
+    # the number of copies is named once: a filter on it beside the array would take the md5 a second time
+    copies = F.posexplode(F.array_repeat(F.lit(True), whole + extra))
+    return df.select("*", copies.alias("__at", "__copy")).withColumn(copy, F.col("__at") + 1).drop("__at", "__copy")
 
 
 def resample(df: DataFrame, label: str, key: Sequence[str], rates: Mapping[object, float] | None = None,

@@ -124,3 +124,12 @@ def test_class_values_reach_the_rows_without_a_shuffle_of_them(spark):
             assert "SortMergeJoin" not in _plan(df) and "BroadcastHashJoin" in _plan(df)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_copies_take_one_digest_a_row(spark):
+    df = spark.range(2000).select("id", (F.col("id") % 2).alias("y"))
+    out = balance.resample(df, "y", ["id"], rates={0: 0.4, 1: 2.5})
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1  # two before
+    n = out.groupBy("y", "id").agg(F.count(F.lit(1)).alias("n"), F.min("copy").alias("low"), F.max("copy").alias("high"))
+    assert {(r.y, r.n) for r in n.collect()} == {(0, 1), (1, 2), (1, 3)}
+    assert n.where("low <> 1 or high <> n").count() == 0 and out.schema["copy"].dataType.simpleString() == "int"

@@ -37,6 +37,18 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(as_col(num).cast("double"), as_col(den).cast("double"))
 
 
+def round_half_up(c: str | Column, digits: int) -> Column:
+    """``F.round`` of a double, value for value, without decimal arithmetic on most rows.
+
+    Away from a tie the nearest whole number of 10^-digits is plain; only what lies within 0.001 of
+    a tie, or has 10^11 units and more (where a double is too coarse for that), NaN included, is left to ``F.round``.
+    """
+    x, unit = as_col(c).cast("double"), F.lit(10.0 ** digits)
+    up = F.floor(x * unit + 0.5)
+    plain = (F.abs(x * unit) < 1e11) & (F.abs(x * unit - up) < 0.499)
+    return F.when(plain, up / unit).otherwise(F.round(x, digits))
+
+
 def hash_key(cols: Sequence[str | Column]) -> Column:
     """Text key of one or more columns, the input of the md5 coins.
 

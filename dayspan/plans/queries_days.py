@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayspan.functions.columns import round_half_up
 from dayspan.operators import intervals
 from dayspan.operators.calendar import calendar_features, elapsed_days, flag_periods
 from dayspan.operators.features import split_label
@@ -17,7 +18,7 @@ from dayspan.sources import fixtures as fx
 
 
 def _round(df: DataFrame, cols) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 6) for c in cols})
+    return df.withColumns({c: round_half_up(c, 6) for c in cols})
 
 
 def _matrix(spark, sf) -> DataFrame:

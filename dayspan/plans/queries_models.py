@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dayspan.functions.columns import round_half_up
 from dayspan.operators import balance, evaluate, models
 from dayspan.operators.features import fit_features
 from dayspan.plans import training as tr
@@ -107,8 +108,8 @@ def q_scale_numeric(spark, sf):
     va = VectorAssembler(inputCols=["age_d", "tenure_d"], outputCol="num")
     sc = StandardScaler(inputCol="num", outputCol="scaled", withMean=False, withStd=True).fit(va.transform(train))
     out = sc.transform(va.transform(m)).withColumn("arr", vector_to_array("scaled"))
-    return out.select(*UNIT, F.round(F.col("arr")[0], 6).alias("age_scaled"),
-                      F.round(F.col("arr")[1], 6).alias("tenure_scaled"))
+    return out.select(*UNIT, round_half_up(F.col("arr")[0], 6).alias("age_scaled"),
+                      round_half_up(F.col("arr")[1], 6).alias("tenure_scaled"))
 
 
 register("scale_numeric", q_scale_numeric, with_matrix(f"""
@@ -326,9 +327,10 @@ def q_features_pipeline(spark, sf):
     out = vector_to_array(F.col("features"))
     v = fit_features(tr.SPEC, train).transform(m).select(*UNIT, out.alias("v"))
     last = {name: F.element_at("v", i - len(tr.NUMERIC) - 1) for i, name in enumerate([*tr.NUMERIC, "holiday_d"])}
-    hot = F.aggregate(F.slice("v", F.lit(1), F.size("v") - len(last)), F.lit(0.0), lambda a, x: a + x)
+    # the one-hot part holds ones and zeros
+    hot = F.size(F.array_remove(F.slice("v", F.lit(1), F.size("v") - len(last)), 0.0))
     return v.select(*UNIT, F.size("v").cast("long").alias("width"), hot.cast("long").alias("hot"),
-                    *[F.round(c, 6).alias(n) for n, c in last.items()])
+                    *[round_half_up(c, 6).alias(n) for n, c in last.items()])
 
 
 _TRAIN = f"from matrix where year < {fx.TRAIN_BEFORE}"

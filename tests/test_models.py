@@ -101,3 +101,23 @@ def test_forest_rows_are_spread_by_the_size_they_take_in_the_fit(spark, monkeypa
     assert wide.rdd.getNumPartitions() == 10 and wide.distinct().count() == 1000
     assert max(len(p) for p in wide.rdd.glom().collect()) <= 110
     assert models.spread_for_forest(df.repartition(20), 200).rdd.getNumPartitions() == 20
+
+
+def test_rounding_agrees_with_spark_bit_by_bit(spark):
+    import random
+    from dayspan.functions.columns import round_half_up
+    rng = random.Random(3)
+    xs = [rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 18) for _ in range(20_000)]
+    xs += [k / 2e6 for k in range(-2001, 2001)] + [rng.randrange(10**9) / 1e6 + 5e-7 for _ in range(5000)] + [rng.randrange(10**7) / 1e6 + 4.99e-7 for _ in range(5000)]
+    xs += [None, float("nan"), float("inf"), float("-inf"), -0.0, 0.0, 1e300, 5e-324, 1e5, 99999.9999995, 1e11 + 0.5]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    r = df.select("x", round_half_up("x", 6).alias("a"), F.round("x", 6).alias("b"))
+    assert r.where("not (a <=> b)").count() == 0
+
+
+def test_feature_rows_take_no_lambda(spark):
+    """The one-hot part is counted and the scaled values are rounded by compiled expressions."""
+    from dayspan.plans import catalog
+    out = catalog.QUERIES["features_pipeline"](spark, SF_SMALL)
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.hot for r in out.select("hot").distinct().collect()} <= set(range(7)) and dict(out.dtypes)["hot"] == "bigint"

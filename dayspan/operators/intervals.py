@@ -221,25 +221,33 @@ def overlap_days(df: DataFrame, start: str, end: str, out: str = "overlap_days")
 
 
 def event_pieces(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple,
-                 label: str | None = None) -> DataFrame:
+                 label: str | None = None, distinct: bool = False) -> DataFrame:
     """The events' share of every calendar month they touch inside ``clamp``: the keys as __k0, __k1, ...,
-    __em (month index), __d1 and __d2 (days of the month), __begins (the event's first day, clamped, lies in this month), __label."""
+    __em (month index), __d1 and __d2 (days of the month), __begins (the event's first day, clamped, lies in this month), __label.
+
+    ``distinct``: events that agree in keys, span (before it is clamped) and label count once. They are told apart piece
+    by piece, after the pieces are dealt by keys and month (a hot key's to a task a month), so that a fold by these needs no further shuffle."""
     es, ee = event_span
     low, high = _lit_date(clamp[0]), _lit_date(clamp[1])
     names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     own = events.where((F.col(es) <= F.col(ee)) & (F.col(es) <= high) & (F.col(ee) >= low)).select(
         *names, (F.col(label) if label else F.lit(None).cast("string")).alias("__label"),
-        F.greatest(F.col(es), low).alias("__es"), F.least(F.col(ee), high).alias("__ee"))
-    pieces = month_pieces(own, "__es", "__ee", *clamp, "__em")
+        F.col(es).alias("__from"), F.col(ee).alias("__to"))
+    first, last = F.greatest(F.col("__from"), low).alias("__es"), F.least(F.col("__to"), high).alias("__ee")
+    pieces = month_pieces(own, "__from", "__to", *clamp, "__em")
+    if distinct:
+        pieces = pieces.repartition(*[f"__k{i}" for i in range(len(keys))], "__em").distinct()
+    pieces = pieces.select("*", first, last)
     begins, ends = _month_index(F.col("__es")) == F.col("__em"), _month_index(F.col("__ee")) == F.col("__em")
     return pieces.select(*[f"__k{i}" for i in range(len(keys))], "__em", "__label", begins.alias("__begins"),
                          F.when(begins, F.dayofmonth("__es")).otherwise(1).alias("__d1"),
                          F.when(ends, F.dayofmonth("__ee")).otherwise(31).alias("__d2"))
 
 
-def _mask(first: str, last: str) -> Column:
+def _mask(first: str | Column, last: str | Column) -> Column:
     """A long with the bits of the days ``first`` .. ``last`` of a month (day 1 is bit 0)."""
-    return F.expr(f"shiftleft(shiftleft(1L, {last} - {first} + 1) - 1L, {first} - 1)")
+    one, first, last = F.lit(1).cast("long"), as_col(first), as_col(last)
+    return F.call_function("shiftleft", F.call_function("shiftleft", one, last - first + 1) - one, first - 1)
 
 
 def month_masks(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple,
@@ -258,7 +266,7 @@ def month_masks(events: DataFrame, keys: Sequence[str], event_span: tuple[str, s
     return p.groupBy(*names, "__em").agg(covered, parts.alias("__parts")).select(*names, "__em", "__any", _by_label("__parts").alias("__marks"))
 
 
-def _by_label(parts: str) -> Column:
+def _by_label(parts: str | Column) -> Column:
     """An array of (label, mask) with one mask for each label, from one with several."""
     zero = F.lit(0).cast("long")
 
@@ -267,17 +275,21 @@ def _by_label(parts: str) -> Column:
         return F.struct(label.alias("label"), F.aggregate(own, zero, lambda acc, x: acc.bitwiseOR(x["mask"])).alias("mask"))
 
     labels = F.array_distinct(F.transform(parts, lambda x: x["label"]))
-    return F.when(F.size(parts) == 1, F.col(parts)).otherwise(F.transform(labels, union))
+    return F.when(F.size(parts) == 1, as_col(parts)).otherwise(F.transform(labels, union))
 
 
-def _meet_months(rows: DataFrame, months: DataFrame, keys: Sequence[str], row_span: tuple[str, str]) -> DataFrame:
-    """``rows`` once per month of their span (__m; __p1 .. __p2 the piece's dates), with what ``months`` has for the keys and month."""
+def _row_pieces(rows: DataFrame, row_span: tuple[str, str]) -> DataFrame:
+    """``rows`` once per month of their span (__m; __p1 .. __p2 the piece's dates)."""
     rs, re_ = F.col(row_span[0]), F.col(row_span[1])
     pieces = rows.where(rs <= re_).withColumn("__m", F.explode(F.sequence(_month_index(rs), _month_index(re_))))
     first = F.expr("make_date(int(`__m` div 12), int(`__m` % 12 + 1), 1)")
-    pieces = pieces.withColumns({"__p1": F.greatest(rs, first), "__p2": F.least(re_, F.last_day(first))})
+    return pieces.withColumns({"__p1": F.greatest(rs, first), "__p2": F.least(re_, F.last_day(first))})
+
+
+def _meet_months(rows: DataFrame, months: DataFrame, keys: Sequence[str], row_span: tuple[str, str], how: str = "left") -> DataFrame:
+    """The ``_row_pieces`` of ``rows`` with what ``months`` has for the keys and month."""
     on = [F.col(k) == F.col(f"__k{i}") for i, k in enumerate(keys)] + [F.col("__m") == F.col("__em")]
-    return pieces.join(months, on, "left")
+    return _row_pieces(rows, row_span).join(months, on, how)
 
 
 def flagged_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_span: tuple[str, str],
@@ -291,8 +303,22 @@ def flagged_days(rows: DataFrame, events: DataFrame, keys: Sequence[str], row_sp
     rows is spread over its months. ``clamp`` bounds every event day that counts.
     """
     met = _meet_months(rows, month_masks(events, keys, event_span, clamp, label), keys, row_span)
+    return _flag_days(met, rows.columns, bool(label))
+
+
+def flagged_days_of(rows: DataFrame, months: str, row_span: tuple[str, str]) -> DataFrame:
+    """The days of ``flagged_days`` with labels, from rows that hold the months of the events they overlap in the column
+    ``months`` (``overlap_day_totals`` with a label; null: none), which is dropped. Nothing is joined or shuffled."""
+    here = F.get(F.filter(months, lambda x: x["month"] == F.col("__m")), F.lit(0))
+    met = _row_pieces(rows, row_span).withColumn("__here", here)
+    met = met.withColumns({"__any": F.col("__here")["any"], "__marks": F.col("__here")["marks"]})
+    return _flag_days(met, [c for c in rows.columns if c != months], True)
+
+
+def _flag_days(met: DataFrame, columns: Sequence[str], label: bool) -> DataFrame:
+    """Pieces of rows with __any (and __marks) of their month, expanded to days with flag (and labels)."""
     extra = ["__any", *(["__marks"] if label else [])]
-    days = met.select(*rows.columns, *extra, F.explode(F.sequence("__p1", "__p2")).alias("day"))
+    days = met.select(*columns, *extra, F.explode(F.sequence("__p1", "__p2")).alias("day"))
     bit = F.dayofmonth("day") - 1
     days = days.withColumn("flag", F.coalesce(F.bit_get("__any", bit).cast("int"), F.lit(0)))
     if label:
@@ -319,38 +345,59 @@ def overlap_day_rows(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequ
     return days.select(F.col("__id").alias(row_id), day, *([F.col("__mark.label").alias(label)] if label else []))
 
 
-def month_changes(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple) -> DataFrame:
+def month_changes(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple,
+                  label: str | None = None, distinct: bool = False, marks: bool = False) -> DataFrame:
     """The events of every keys (__k0, ...) and month (__em): __changes, an array of (first, last, n, begun): n events are
     active on the days first .. last of the month and begun of them begin on day first; and __any, the covered days as a bit mask.
+    With ``marks`` the items are of one label each, which they name (``_marks`` has the days of each).
 
     Equal pieces are counted first, a row each. A month with more than 31 kinds of them holds a day each instead
-    (first = last, the events active on it), so it holds 31 items at most, whatever the number of events."""
+    (first = last, the events active on it), so it holds 31 items (a label) at most, whatever the number of events.
+    ``distinct``: see ``event_pieces``; one shuffle, by keys and month, then serves these steps and a join on them."""
     names = [f"__k{i}" for i in range(len(keys))]
-    p = event_pieces(events, keys, event_span, clamp).groupBy(*names, "__em", "__d1", "__d2", "__begins").agg(F.count(F.lit(1)).alias("__n"))
+    p = event_pieces(events, keys, event_span, clamp, label, distinct)
+    p = p.groupBy(*names, "__em", *(["__label"] if marks else []), "__d1", "__d2", "__begins").agg(F.count(F.lit(1)).alias("__n"))
     begun = F.when(F.col("__begins"), F.col("__n")).otherwise(F.lit(0).cast("long"))
-    item = F.struct(F.col("__d1").alias("first"), F.col("__d2").alias("last"), F.col("__n").alias("n"), begun.alias("begun"))
+    item = F.struct(*([F.col("__label").alias("label")] if marks else []),
+                    F.col("__d1").alias("first"), F.col("__d2").alias("last"), F.col("__n").alias("n"), begun.alias("begun"))
     p = p.groupBy(*names, "__em").agg(F.bit_or(_mask("__d1", "__d2")).alias("__any"), F.collect_list(item).alias("__items"))
-    return p.select(*names, "__em", "__any", F.when(F.size("__items") <= 31, F.col("__items")).otherwise(_by_day("__items")).alias("__changes"))
+    changes = F.when(F.size("__items") <= 31, F.col("__items")).otherwise(_by_day_and_label("__items") if marks else _by_day("__items"))
+    return p.select(*names, "__em", "__any", changes.alias("__changes"))
 
 
-def _by_day(items: str) -> Column:
-    """The same events as one item for each day that any of them covers."""
+def _by_day(items: str | Column, label: Column | None = None) -> Column:
+    """The same events as one item for each day that any of them covers (all of them of ``label``, when given)."""
     zero = F.lit(0).cast("long")
 
     def on(day: Column) -> Column:
         active = F.aggregate(items, zero, lambda acc, x: acc + F.when((x["first"] <= day) & (x["last"] >= day), x["n"]).otherwise(zero))
         begun = F.aggregate(items, zero, lambda acc, x: acc + F.when(x["first"] == day, x["begun"]).otherwise(zero))
-        return F.struct(day.alias("first"), day.alias("last"), active.alias("n"), begun.alias("begun"))
+        return F.struct(*([label.alias("label")] if label is not None else []),
+                        day.alias("first"), day.alias("last"), active.alias("n"), begun.alias("begun"))
 
     return F.filter(F.transform(F.sequence(F.lit(1), F.lit(31)), on), lambda x: x["n"] > 0)
 
 
+def _by_day_and_label(items: str) -> Column:
+    labels = F.array_distinct(F.transform(items, lambda x: x["label"]))
+    return F.flatten(F.transform(labels, lambda label: _by_day(F.filter(items, lambda x: x["label"].eqNullSafe(label)), label)))
+
+
+def _marks(changes: str) -> Column:
+    """An array of (label, mask), one mask for each label, from items of ``month_changes`` that name their label."""
+    return _by_label(F.transform(changes, lambda x: F.struct(x["label"].alias("label"), _mask(x["first"], x["last"]).alias("mask"))))
+
+
 def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequence[str],
                        row_span: tuple[str, str], event_span: tuple[str, str], clamp: tuple,
-                       total: str = "overlap_days", days: str = "covered_days", events_met: str = "events") -> DataFrame:
+                       total: str = "overlap_days", days: str = "covered_days", events_met: str = "events",
+                       label: str | None = None, months: str | None = None, distinct: bool = False) -> DataFrame:
     """Per row that any event of the same keys overlaps: the sum of its overlaps
     in days (``total``, a day under two events counts twice), the number of
     covered days (``days``) and the number of events met (``events_met``).
+    ``months``: also an array (month, any, marks) of the months of its span in which it meets
+    events: their days, and those of each label, as bit masks, for ``flagged_days_of``.
+    ``distinct``: events that agree in keys, span and label count once.
 
     A sum over each month's ``month_changes`` within the row's piece of the month: no day is expanded
     and no event is compared with a row. Linear in rows, events and the months they touch, also
@@ -360,8 +407,10 @@ def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Se
     rs, re_ = F.greatest(F.col(row_span[0]), low), F.least(F.col(row_span[1]), high)
     bounded = F.col(row_span[0]).isNotNull() & F.col(row_span[1]).isNotNull() & (F.col(row_span[0]) <= F.col(row_span[1]))
     narrow = rows.where(bounded).select(F.col(row_id).alias("__id"), *keys, rs.alias("__rs"), re_.alias("__re"))
-    met = _meet_months(narrow, month_changes(events, keys, event_span, clamp), keys, ("__rs", "__re")).where(F.col("__changes").isNotNull())
-    met = met.select("__id", "__any", "__changes", F.dayofmonth("__p1").alias("__a"), F.dayofmonth("__p2").alias("__b"),
+    folded = month_changes(events, keys, event_span, clamp, label, distinct, marks=months is not None)
+    met = _meet_months(narrow, folded, keys, ("__rs", "__re"), "inner")
+    month = F.struct(F.col("__em").alias("month"), F.col("__any").alias("any"), _marks("__changes").alias("marks")) if months else F.lit(None)
+    met = met.select("__id", "__any", "__changes", month.alias("__month"), F.dayofmonth("__p1").alias("__a"), F.dayofmonth("__p2").alias("__b"),
                      (F.col("__p1") == F.col("__rs")).alias("__first"))
     zero, a, b = F.lit(0).cast("long"), F.col("__a"), F.col("__b")
     active = F.aggregate("__changes", zero, lambda acc, c: acc + c["n"] * F.greatest(
@@ -370,8 +419,9 @@ def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Se
     begun = F.aggregate("__changes", zero, lambda acc, c: acc + F.when(
         (c["first"] > F.when(F.col("__first"), a).otherwise(F.lit(0))) & (c["first"] <= b), c["begun"]).otherwise(zero))
     met = met.select("__id", active.alias("__t"), F.when(F.col("__first"), at_start + begun).otherwise(begun).alias("__n"),
-                     F.bit_count(F.col("__any").bitwiseAND(_mask("__a", "__b"))).alias("__c")).where(F.col("__t") > 0)
-    return met.groupBy(F.col("__id").alias(row_id)).agg(F.sum("__t").alias(total), F.sum("__c").alias(days), F.sum("__n").alias(events_met))
+                     F.bit_count(F.col("__any").bitwiseAND(_mask("__a", "__b"))).alias("__c"), "__month").where(F.col("__t") > 0)
+    return met.groupBy(F.col("__id").alias(row_id)).agg(F.sum("__t").alias(total), F.sum("__c").alias(days), F.sum("__n").alias(events_met),
+                                                        *([F.collect_list("__month").alias(months)] if months else []))
 
 
 def expand_days(df: DataFrame, start: str, end: str, out: str = "day") -> DataFrame:

@@ -54,10 +54,12 @@ def prepare_contracts(contracts: DataFrame, as_of, keys=KEYS) -> DataFrame:
     """Blank defaults, hire date default, previous end per ``keys`` and
     open-ended repair on any contract table with the columns of
     ``fixtures.contracts``. The defaulted contracts are a stage table, read
-    for the previous ends and again for the rows."""
+    for the previous ends (``prev_end``), which only the open-ended ones need and get, and again for the rows."""
     c = fill_blank(contracts, BLANK_DEFAULTS)
     c = materialize_table(fill_null(c, {"hire_date": F.col("start_date")}), "contracts")
-    c = previous_end(c, keys, "end_date", as_of, "prev_end")
+    is_open = F.coalesce(F.year("end_date") == fx.OPEN_END.year, F.lit(False))
+    repaired = previous_end(c, keys, "end_date", as_of, "prev_end", onto=c.where(is_open))
+    c = c.where(~is_open).withColumn("prev_end", F.lit(None).cast("date")).unionByName(repaired)
     return repair_open_ended(c, "start_date", "end_date", "prev_end", out="eff_start")
 
 
@@ -66,17 +68,19 @@ def prepared_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curated_spans(spark: SparkSession, sf_dir: str, materialize: bool = False,
-                  absences: DataFrame | None = None) -> DataFrame:
+                  absences: DataFrame | None = None, months: bool = False) -> DataFrame:
     """One row per contract touching the window. ``absences`` (worker_id,
     division, absence_class, start_date, end_date) default to the kept
     absences; absences already clipped to the window give the same totals,
-    since every span lies inside the window."""
-    absences = absences if absences is not None else kept_absences(spark, sf_dir)
-    return curate_spans(fx.contracts(spark, sf_dir), absences, WINDOW, fx.AS_OF, materialize=materialize)
+    since every span lies inside the window. ``months``: see ``curate_spans``."""
+    own = absences is None  # the line items' absences may repeat; the fold counts equal ones once
+    absences = kept_absences(spark, sf_dir, distinct=False) if own else absences
+    return curate_spans(fx.contracts(spark, sf_dir), absences, WINDOW, fx.AS_OF, materialize=materialize, months=months, distinct=own)
 
 
 def curate_spans(contracts: DataFrame, absences: DataFrame, window, as_of, keys=KEYS,
-                 concurrent_keys=CONCURRENT_KEYS, totals: str = "sum", materialize: bool = False) -> DataFrame:
+                 concurrent_keys=CONCURRENT_KEYS, totals: str = "sum", materialize: bool = False,
+                 months: bool = False, distinct: bool = False) -> DataFrame:
     """Stage 1 on any contract and absence tables with the columns of
     ``fixtures.contracts`` / ``fixtures.absences``, which pass through as they
     are (birth date included).
@@ -84,7 +88,10 @@ def curate_spans(contracts: DataFrame, absences: DataFrame, window, as_of, keys=
     ``window`` (first, last day) and ``as_of`` are the caller's; ``keys`` are
     the columns that tie an absence to a contract (e.g. also cost centre, order
     and contract) and group the previous ends; ``concurrent_keys`` those that
-    group concurrent assignments. ``totals``: see ``absence_totals``.
+    group concurrent assignments. ``totals``: see ``absence_totals``. ``months``:
+    the spans also get ``absence_months``, the months in which they meet absences, for the day matrix.
+    ``distinct``: absences that agree in keys, class and dates count once (as their ``distinct`` rows would,
+    without a shuffle of its own).
     """
     if window is None or as_of is None:
         raise ValueError("window and as_of are required")
@@ -95,9 +102,13 @@ def curate_spans(contracts: DataFrame, absences: DataFrame, window, as_of, keys=
     # the spans are a stage table with an identity of their own, read for the
     # concurrent counts, the totals and the rows
     c = materialize_table(c.withColumn(ROW, F.monotonically_increasing_id()), "spans")
-    t = absence_totals(c, absences, window, keys, totals)
-    c = group_size(c, concurrent_keys, "concurrent")
-    c = c.join(t.withColumnRenamed(ROW, "__row2"), F.col(ROW) == F.col("__row2"), "left").drop(ROW, "__row2") \
+    t = absence_totals(c, absences, window, keys, totals, months, distinct)
+    # counts and totals are found on narrow rows; the wide ones are shuffled once, by their identity, for both
+    n = group_size(c.select(ROW, *concurrent_keys), concurrent_keys, "concurrent").where(F.col("concurrent") > 1)
+    n = n.select(F.col(ROW).alias("__row1"), "concurrent")
+    c = c.join(t.withColumnRenamed(ROW, "__row2"), F.col(ROW) == F.col("__row2"), "left") \
+         .join(n, F.col(ROW) == F.col("__row1"), "left").drop(ROW, "__row1", "__row2") \
+         .withColumn("concurrent", F.coalesce("concurrent", F.lit(1).cast("long"))) \
          .withColumn("total_absence_days", F.coalesce(F.col("total_absence_days"), F.lit(0).cast("long"))) \
          .withColumn("total_absence_share", F.round(ratio("total_absence_days", "span_days"), 6))
     return materialize_table(c, "curated-spans") if materialize else c
@@ -123,15 +134,19 @@ def overlap_rows(spans: DataFrame, absences: DataFrame) -> DataFrame:
     return overlap_days(j, "overlap_start", "overlap_end", "overlap_days")
 
 
-def absence_totals(spans: DataFrame, absences: DataFrame, window, keys=KEYS, totals: str = "sum") -> DataFrame:
+def absence_totals(spans: DataFrame, absences: DataFrame, window, keys=KEYS, totals: str = "sum",
+                   months: bool = False, distinct: bool = False) -> DataFrame:
     """``__row`` and total_absence_days of the spans (with that identity) that
     any absence overlaps. ``sum`` adds the overlaps of all absences, so a day
     under two absences counts twice; ``distinct_days`` counts it once.
-    ``window`` bounds every span (they are clipped to it)."""
+    ``window`` bounds every span (they are clipped to it). With ``months`` also ``absence_months``; ``distinct``:
+    equal absences count once (both: ``overlap_day_totals``)."""
     if totals not in ("sum", "distinct_days"):
         raise ValueError("totals must be 'sum' or 'distinct_days'")
-    t = overlap_day_totals(spans, absences, ROW, keys, SPAN, ("start_date", "end_date"), window)
-    return t.select(ROW, F.col("overlap_days" if totals == "sum" else "covered_days").alias("total_absence_days"))
+    t = overlap_day_totals(spans, absences, ROW, keys, SPAN, ("start_date", "end_date"), window,
+                           label="absence_class", months="absence_months" if months else None, distinct=distinct)
+    return t.select(ROW, F.col("overlap_days" if totals == "sum" else "covered_days").alias("total_absence_days"),
+                    *(["absence_months"] if months else []))
 
 
 def contract_totals(spark: SparkSession, sf_dir: str) -> DataFrame:

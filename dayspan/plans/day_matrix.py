@@ -1,8 +1,9 @@
 """Stage 2: the day matrix, one row per contract and calendar day.
 
 Absences are folded per worker, division and month to bit masks of days, one
-for each class; curated spans meet them month by month, in one shuffle, and are
-expanded to days after it. Then: share per
+for each class. Spans meet them month by month once, in stage 1, where their totals are
+found; the masks of the months in which a span meets absences stay with it as an array, and the curated spans
+are expanded to days without another join. Then: share per
 concurrent assignment, age and tenure in days, holiday flag, calendar
 features and age/tenure bands whose cut points come from span-level min/max
 (exact, since age and tenure grow with the day along a span).
@@ -16,11 +17,10 @@ from pyspark.sql import functions as F
 from dayspan.functions.columns import guarded_greatest
 from dayspan.operators.bands import range_bands
 from dayspan.operators.calendar import calendar_features, elapsed_days, flag_periods
-from dayspan.operators.intervals import flagged_days, share
+from dayspan.operators.intervals import flagged_days_of, share
 from dayspan.operators.clean import exclude_values
-from dayspan.operators.intervals import clip_span
 from dayspan.plans.curation import curate_spans, curated_spans
-from dayspan.plans.spans import KEYS, SPAN, clipped_absences
+from dayspan.plans.spans import KEYS, SPAN
 from dayspan.sources import fixtures as fx
 from dayspan.sources.tables import materialize
 
@@ -36,12 +36,11 @@ SPAN_COLS = ["contract_id", *KEYS, "cost_center", "category", "contract_type", *
              "hire_date", "birth_date", "concurrent", "total_absence_days", "total_absence_share"]
 
 
-def absence_days(spans: DataFrame, absences: DataFrame, window, keys=KEYS) -> DataFrame:
+def absence_days(spans: DataFrame) -> DataFrame:
     """Contract-days with ``absent`` (0/1) and ``absence_class`` (sorted
-    distinct classes joined by ',', or ``no_absence``). Absences are folded per
-    keys and month first; the spans are shuffled once, by month, and expanded
-    to days after that."""
-    m = flagged_days(spans, absences, keys, SPAN, ("abs_start", "abs_end"), window, "absence_class")
+    distinct classes joined by ',', or ``no_absence``), from curated spans with
+    their ``absence_months``."""
+    m = flagged_days_of(spans, "absence_months", SPAN)
     named = F.when(F.size("labels") > 0, F.array_join("labels", ",")).otherwise(F.lit(NO_ABSENCE))
     return m.withColumn("absence_class", F.coalesce(named, F.lit(NO_ABSENCE))).withColumnRenamed("flag", "absent").drop("labels")
 
@@ -75,39 +74,26 @@ def day_features(m: DataFrame, spans: DataFrame, holidays: DataFrame) -> DataFra
                        "tenure_band")
 
 
-def day_matrix(spark: SparkSession, sf_dir: str, spans: DataFrame | None = None,
-               absences: DataFrame | None = None) -> DataFrame:
-    """Stage 2 over the stage-1 outputs. When not given they are computed and
-    written as tables into the shared checkpoint folder (the stage boundary):
-    lineage is cut there and both are read, not recomputed, by the span-level
-    min/max subqueries and the day join."""
-    if absences is None:
-        absences = materialize(clipped_absences(spark, sf_dir), "clipped-absences")
-    if spans is None:
-        clipped = absences.select(*KEYS, "absence_class", F.col("abs_start").alias("start_date"),
-                                  F.col("abs_end").alias("end_date"))
-        spans = curated_spans(spark, sf_dir, absences=clipped)
-    spans = spans_table(spans)
-    m = absence_days(spans, absences, (fx.WINDOW_START, fx.WINDOW_END))
-    return day_features(m, spans, fx.holiday_periods(spark))
+def day_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stage 2 over the stage-1 output, which is written as a table into the
+    shared checkpoint folder (the stage boundary): lineage is cut there and it
+    is read, not recomputed, by the span-level min/max subqueries and the days."""
+    spans = spans_table(curated_spans(spark, sf_dir, months=True))
+    return day_features(absence_days(spans), spans, fx.holiday_periods(spark))
 
 
 def spans_table(spans: DataFrame) -> DataFrame:
     """The spans as a stage table, read for the extremes of age and tenure and for the days."""
-    return materialize(spans.select(*SPAN_COLS), "curated-spans")
+    return materialize(spans.select(*SPAN_COLS, "absence_months"), "curated-spans")
 
 
 def build_day_matrix(contracts: DataFrame, absences: DataFrame, holidays: DataFrame, window, as_of,
                      excluded=(), keys=KEYS) -> DataFrame:
     """Stages 1 and 2 on any contract, absence and holiday tables (columns as
     in ``fixtures``): absences of the ``excluded`` classes are dropped (a null
-    class is kept), both tables are clipped to ``window``, stage-1 outputs are
-    written as tables into the shared checkpoint folder, and the day matrix is
+    class is kept), both tables are clipped to ``window``, the stage-1 output is
+    written as a table into the shared checkpoint folder, and the day matrix is
     returned."""
     kept = exclude_values(absences, "absence_class", excluded, keep_null=True)
-    ab = materialize(clip_span(kept, "start_date", "end_date", window[0], window[1], "abs_start", "abs_end"),
-                     "clipped-absences")
-    clipped = ab.select(*keys, "absence_class", F.col("abs_start").alias("start_date"),
-                        F.col("abs_end").alias("end_date"))
-    spans = spans_table(curate_spans(contracts, clipped, window, as_of, keys))
-    return day_features(absence_days(spans, ab, window, keys), spans, holidays)
+    spans = spans_table(curate_spans(contracts, kept, window, as_of, keys, months=True))
+    return day_features(absence_days(spans), spans, holidays)

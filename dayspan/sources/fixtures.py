@@ -75,17 +75,18 @@ def absences(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFra
     set semantics downstream (e.g. a distinct per worker and day), saving a
     shuffle of the largest table.
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")
-    owner = order_owner(spark, sf_dir).select("o_orderkey", "o_custkey", "c_nationkey")
     start = F.to_date("l_shipdate")
-    out = li.join(owner, li.l_orderkey == owner.o_orderkey, "inner").select(
-        F.col("o_custkey").alias("worker_id"),
-        F.col("c_nationkey").alias("division"),
+    # class and dates are taken before the join, whose rows are narrower then
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
         F.concat(F.col("l_returnflag"), F.col("l_linestatus")).alias("absence_class"),
         start.alias("start_date"),
         F.date_add(start, (F.col("l_quantity") % 10).cast("int")).alias("end_date"),
     )
+    owner = order_owner(spark, sf_dir).select("o_orderkey", "o_custkey", "c_nationkey")
+    out = li.join(owner, li.l_orderkey == owner.o_orderkey, "inner").select(
+        F.col("o_custkey").alias("worker_id"), F.col("c_nationkey").alias("division"),
+        "absence_class", "start_date", "end_date")
     return out.distinct() if distinct else out
 
 

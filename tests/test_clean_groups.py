@@ -110,3 +110,19 @@ def test_sketched_profile_against_the_exact_one(spark):
     assert got["gone"].median is None and got["gone"].most_frequent == [] and got["a b"].median is None
     assert {v.value for v in got["a b"].most_frequent} <= {"", "v0", "v1", "v2"} and len(got["a b"].most_frequent) == 3
     assert got["a b"].distinct_values == 4
+
+
+def test_group_value_with_null_keys_shuffles_the_groups_once(spark):
+    """The groups stay where their aggregate put them; ``onto`` names the rows that get the value."""
+    df = spark.createDataFrame([(1, None, 1), (1, None, 2), (None, "x", 3), (1, "x", 4)], "a int, b string, id int").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        g = groups.group_size(df, ["a", "b"], "n")
+        plan = g._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the rows and the groups
+        assert rows(g, "id", "n") == [(1, 2), (2, 2), (3, 1), (4, 1)]
+        some = groups.group_value(df, ["a", "b"], F.max("id"), "most", onto=df.where("id < 3"))
+        assert rows(some, "id", "most") == [(1, 2), (2, 2)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -314,3 +314,44 @@ def test_a_month_of_many_kinds_of_events_is_held_by_day(spark):
             days = {a + dt.timedelta(k) for a, b in met for k in range((b - a).days + 1)}
             want.append((i, sum((b - a).days + 1 for a, b in met), len(days), len(met)))
     assert got == sorted(want)
+
+
+def _random_spans(rng, n, low, most):
+    return [(rng.randrange(4), s := low + dt.timedelta(rng.randrange(200)), s + dt.timedelta(rng.randrange(most))) for _ in range(n)]
+
+
+def test_months_of_a_row_give_its_flagged_days(spark):
+    """Days from the months kept with a row equal those of a second meeting of rows and events, also in months held by day."""
+    import random
+    rng = random.Random(11)
+    window = (D(2000, 1, 10), D(2000, 7, 5))
+    ev = [(k, rng.choice(["A", "B", "C", "", None]), s, e) for k, s, e in _random_spans(rng, 60, D(1999, 12, 20), 50)]
+    ev += [(7, rng.choice(["A", "B"]), D(2000, 3, 1 + i % 25), D(2000, 3, 1 + i % 25 + i % 6)) for i in range(300)]  # over 31 kinds in March
+    ef = spark.createDataFrame(ev, "w int, cls string, s date, e date")
+    sp = _random_spans(rng, 40, D(1999, 12, 25), 70) + [(7, D(2000, 2, 27), D(2000, 4, 2)), (9, D(2000, 2, 1), D(2000, 2, 3)), (None, D(2000, 2, 1), D(2000, 2, 2))]
+    rf = spark.createDataFrame([(i, *x) for i, x in enumerate(sp)], "id int, w int, s date, e date")
+    t = iv.overlap_day_totals(rf, ef, "id", ["w"], ("s", "e"), ("s", "e"), window, label="cls", months="met")
+    plain = iv.overlap_day_totals(rf, ef, "id", ["w"], ("s", "e"), ("s", "e"), window)
+    assert rows(t.drop("met")) == rows(plain) and plain.count() > 20
+    days = iv.flagged_days_of(rf.join(t.select(F.col("id").alias("i"), "met"), F.col("id") == F.col("i"), "left").drop("i"), "met", ("s", "e"))
+    want = iv.flagged_days(rf, ef, ["w"], ("s", "e"), ("s", "e"), window, "cls")
+    assert days.columns == want.columns
+    assert days.exceptAll(want).count() == 0 and want.exceptAll(days).count() == 0 and days.where("flag = 1").count() > 100
+
+
+def test_repeated_events_count_once_in_one_shuffle(spark):
+    """``distinct`` gives what the distinct events give. Events that the window makes equal stay two; the pieces are shuffled once."""
+    import random
+    rng = random.Random(3)
+    window = (D(2000, 1, 10), D(2000, 6, 30))
+    ev = [(k, rng.choice(["A", "B"]), s, e) for k, s, e in _random_spans(rng, 50, D(2000, 1, 1), 45)]
+    ev += ev[:30] + [(1, "A", D(1999, 1, 1), D(2000, 1, 20)), (1, "A", D(1999, 2, 1), D(2000, 1, 20)), (1, "A", D(1999, 2, 1), D(2000, 1, 20))]
+    ef = spark.createDataFrame(ev, "w int, cls string, s date, e date")
+    rf = spark.createDataFrame([(i, *x) for i, x in enumerate(_random_spans(rng, 60, D(2000, 1, 1), 60) + [(1, D(2000, 1, 1), D(2000, 1, 31))])], "id int, w int, s date, e date")
+    args = ("id", ["w"], ("s", "e"), ("s", "e"), window)
+    got = iv.overlap_day_totals(rf, ef, *args, label="cls", months="met", distinct=True)
+    want = iv.overlap_day_totals(rf, ef.distinct(), *args)
+    assert rows(got.drop("met")) == rows(want)
+    assert rows(got.drop("met")) != rows(iv.overlap_day_totals(rf, ef, *args))
+    folded = iv.month_changes(ef, ["w"], ("s", "e"), window, "cls", distinct=True, marks=True)
+    assert folded._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

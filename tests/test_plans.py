@@ -32,6 +32,12 @@ def test_wide_rows_are_expanded_after_the_last_shuffle(spark):
     assert "Exchange" not in above
 
 
+def test_curated_spans_become_days_without_a_shuffle(spark):
+    """The day matrix meets no absences again (its spans and folded absences were shuffled by month a second time before)."""
+    p = E.queries()["day_matrix"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "absence_months" in p and "hashpartitioning(__k0" not in p and "hashpartitioning(worker_id" not in p
+
+
 def test_daily_rate_aggregates_before_shuffling_days(spark):
     """Contract-days are pre-aggregated per day in the task that expands them."""
     p = _plan(E.entry(spark))

@@ -345,14 +345,19 @@ def overlap_day_rows(rows: DataFrame, events: DataFrame, row_id: str, keys: Sequ
     return days.select(F.col("__id").alias(row_id), day, *([F.col("__mark.label").alias(label)] if label else []))
 
 
+#: items of a month up to which the days of its labels are found after a join, for the rows that meet it
+FEW = 4
+
+
 def month_changes(events: DataFrame, keys: Sequence[str], event_span: tuple[str, str], clamp: tuple,
                   label: str | None = None, distinct: bool = False, marks: bool = False) -> DataFrame:
     """The events of every keys (__k0, ...) and month (__em): __changes, an array of (first, last, n, begun): n events are
     active on the days first .. last of the month and begun of them begin on day first; and __any, the covered days as a bit mask.
-    With ``marks`` the items are of one label each, which they name (``_marks`` has the days of each).
+    With ``marks`` the items also name their label, and a month with more than ``FEW`` of them has __marks, as in ``month_masks``
+    (else null: ``_marks`` finds them from the items, so that rows stay narrow in a join).
 
     Equal pieces are counted first, a row each. A month with more than 31 kinds of them holds a day each instead
-    (first = last, the events active on it), so it holds 31 items (a label) at most, whatever the number of events.
+    (first = last, the events active on it), so it holds 31 items at most, whatever the number of events.
     ``distinct``: see ``event_pieces``; one shuffle, by keys and month, then serves these steps and a join on them."""
     names = [f"__k{i}" for i in range(len(keys))]
     p = event_pieces(events, keys, event_span, clamp, label, distinct)
@@ -361,12 +366,14 @@ def month_changes(events: DataFrame, keys: Sequence[str], event_span: tuple[str,
     item = F.struct(*([F.col("__label").alias("label")] if marks else []),
                     F.col("__d1").alias("first"), F.col("__d2").alias("last"), F.col("__n").alias("n"), begun.alias("begun"))
     p = p.groupBy(*names, "__em").agg(F.bit_or(_mask("__d1", "__d2")).alias("__any"), F.collect_list(item).alias("__items"))
-    changes = F.when(F.size("__items") <= 31, F.col("__items")).otherwise(_by_day_and_label("__items") if marks else _by_day("__items"))
-    return p.select(*names, "__em", "__any", changes.alias("__changes"))
+    none = F.lit(None).cast(events.schema[label].dataType) if marks else None
+    changes = F.when(F.size("__items") <= 31, F.col("__items")).otherwise(_by_day("__items", none)).alias("__changes")
+    found = [F.when(F.size("__items") > FEW, _marks("__items")).alias("__marks")] if marks else []
+    return p.select(*names, "__em", "__any", changes, *found)
 
 
 def _by_day(items: str | Column, label: Column | None = None) -> Column:
-    """The same events as one item for each day that any of them covers (all of them of ``label``, when given)."""
+    """The same events as one item for each day that any of them covers (with ``label``, when given)."""
     zero = F.lit(0).cast("long")
 
     def on(day: Column) -> Column:
@@ -378,11 +385,6 @@ def _by_day(items: str | Column, label: Column | None = None) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.lit(31)), on), lambda x: x["n"] > 0)
 
 
-def _by_day_and_label(items: str) -> Column:
-    labels = F.array_distinct(F.transform(items, lambda x: x["label"]))
-    return F.flatten(F.transform(labels, lambda label: _by_day(F.filter(items, lambda x: x["label"].eqNullSafe(label)), label)))
-
-
 def _marks(changes: str) -> Column:
     """An array of (label, mask), one mask for each label, from items of ``month_changes`` that name their label."""
     return _by_label(F.transform(changes, lambda x: F.struct(x["label"].alias("label"), _mask(x["first"], x["last"]).alias("mask"))))
@@ -409,7 +411,7 @@ def overlap_day_totals(rows: DataFrame, events: DataFrame, row_id: str, keys: Se
     narrow = rows.where(bounded).select(F.col(row_id).alias("__id"), *keys, rs.alias("__rs"), re_.alias("__re"))
     folded = month_changes(events, keys, event_span, clamp, label, distinct, marks=months is not None)
     met = _meet_months(narrow, folded, keys, ("__rs", "__re"), "inner")
-    month = F.struct(F.col("__em").alias("month"), F.col("__any").alias("any"), _marks("__changes").alias("marks")) if months else F.lit(None)
+    month = F.struct(F.col("__em").alias("month"), F.col("__any").alias("any"), F.coalesce("__marks", _marks("__changes")).alias("marks")) if months else F.lit(None)
     met = met.select("__id", "__any", "__changes", month.alias("__month"), F.dayofmonth("__p1").alias("__a"), F.dayofmonth("__p2").alias("__b"),
                      (F.col("__p1") == F.col("__rs")).alias("__first"))
     zero, a, b = F.lit(0).cast("long"), F.col("__a"), F.col("__b")

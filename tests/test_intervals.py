@@ -355,3 +355,14 @@ def test_repeated_events_count_once_in_one_shuffle(spark):
     assert rows(got.drop("met")) != rows(iv.overlap_day_totals(rf, ef, *args))
     folded = iv.month_changes(ef, ["w"], ("s", "e"), window, "cls", distinct=True, marks=True)
     assert folded._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_busy_month_of_many_labels_holds_31_items(spark):
+    """With labels too a month holds 31 items at most, and its masks by label are found once, before rows meet it."""
+    ev = spark.range(2_000).select(F.lit(1).alias("w"), F.expr("concat('c', id % 5)").alias("cls"), F.expr("date_add(date'2000-01-01', int(id % 27))").alias("s"),
+                                   F.expr("date_add(date'2000-01-01', int(id % 27) + int(id % 4))").alias("e"))
+    args = (["w"], ("s", "e"), (D(2000, 1, 1), D(2000, 1, 31)), "cls")
+    m = iv.month_changes(ev, *args, distinct=True, marks=True).first()
+    assert len(m["__changes"]) <= 31 and sum(c["begun"] for c in m["__changes"]) == ev.distinct().count()
+    want = iv.month_masks(ev, *args).first()
+    assert m["__any"] == want["__any"] and sorted(m["__marks"]) == sorted(want["__marks"]) and len(m["__marks"]) == 5

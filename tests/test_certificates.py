@@ -123,3 +123,19 @@ def test_large_forests_are_joined_without_a_broadcast_hint(spark, planted):
     held = models.vectors(model.stages[0], df, ["id"])
     small, large = (ce.score_by_nodes(held, ["id"], nodes, 3, 3, n) for n in (10, ce.SMALL_FOREST + 1))
     assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_small_forests_are_walked_without_multiplying_or_shuffling_rows(spark, planted):
+    """One pass over the rows, not a row per tree and a join per level; the shares are those of the joins."""
+    _, _, df = planted
+    spec = FeatureSpec(label="y", categorical=["kind"], numeric=["a", "b"], one_hot=False)
+    df = df.withColumn("id", F.monotonically_increasing_id())
+    model = models.train("forest", df, spec, numTrees=9, maxDepth=4)
+    nodes = ce.forest_nodes(spark, model.stages[-1], scratch_path(spark, "test-forest"))
+    held = models.vectors(model.stages[0], df, ["id"])
+    got = ce.score_by_nodes(held, ["id"], nodes, 9, 4, model.stages[-1].totalNumNodes)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Generate", "Aggregate"))
+    want = {r.id: r for r in ce.score_by_joins(held, ["id"], nodes, 9, 4).collect()}
+    rows = got.collect()
+    assert len(rows) == len(want) and all(r.prediction == want[r.id].prediction and r.shares == pytest.approx(want[r.id].shares, abs=1e-12) for r in rows)

@@ -5,7 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from dayspan.operators import certificates, forest, models
-from dayspan.operators.features import FeatureSpec, fit_features
+from dayspan.operators.features import FeatureSpec, fit_features, places
 from dayspan.session import scratch_path
 
 SPEC = FeatureSpec(label="label", categorical=["c"], numeric=["a", "b"], one_hot=False)
@@ -90,3 +90,57 @@ def test_thresholds_lie_between_values():
     assert forest._thresholds([1.0, 1.0, 2.0, 4.0], 90).tolist() == [1.5, 3.0]
     assert forest._thresholds([float("nan"), 3.0], 90).tolist() == [] and forest._thresholds([], 90).tolist() == []
     assert len(forest._thresholds(list(range(1001)), 90)) == 89
+
+
+@pytest.mark.parametrize("weight", [None, "weight", "own"])
+def test_features_counted_together_give_the_forest_of_features_counted_alone(spark, weight, monkeypatch):
+    """Two features share a table of counts where these are few; weights are counted only where rows of a class differ in theirs."""
+    df = _rows(spark, 3000).withColumn("own", F.col("weight") + F.col("id") % 3)
+    est = models.estimator("forest", "label", weight, numTrees=8, maxDepth=4)
+    features = fit_features(SPEC, df)
+    levels, counted = [], forest._level
+    monkeypatch.setattr(forest, "_level", lambda blocks, plans, bins, weighted, *a: levels.append((plans, weighted)) or counted(blocks, plans, bins, weighted, *a))
+
+    def nodes():
+        model = forest.fit_forest_on(df, places(features, df), est)
+        return sorted(map(str, certificates.forest_nodes(spark, model, scratch_path(spark, "forest-test")).collect()))
+
+    together = nodes()
+    assert {w for _, w in levels} == {weight == "own"}
+    assert any(g[0] >= 0 for plans, _ in levels for _, groups, _, _ in plans.values() for own in groups for g in own)
+    monkeypatch.setattr(forest, "PAIR", 0)
+    levels.clear()
+    assert nodes() == together and all(g[0] < 0 for plans, _ in levels for _, groups, _, _ in plans.values() for own in groups for g in own)
+
+
+def test_places_are_the_values_of_the_vector(spark):
+    """Null and unseen categories, a constant number, missing numbers; other stages are left to Spark's transform."""
+    df = _rows(spark, 300).withColumn("d", F.lit(2.0))
+    spec = FeatureSpec(label="label", categorical=["c"], numeric=["a", "d"], passthrough=["b"], one_hot=False)
+    features = fit_features(spec, df)
+    odd = df.withColumn("c", F.when(F.col("id") % 7 == 0, "unseen").when(F.col("id") % 7 > 1, F.col("c"))).withColumn("a", F.when(F.col("id") % 5 > 0, F.col("a")))
+    known = places(features, odd)
+    assert [k for _, k in known] == [7, 0, 0, 0]
+    both = features.transform(odd).select(vector_to_array("features").alias("want"), F.array(*[c.cast("double") for c, _ in known]).alias("got")).collect()
+    assert len(both) == 300 and all(np.array_equal(r.want, r.got, equal_nan=True) for r in both)
+    assert places(fit_features(FeatureSpec(label="label", categorical=["c"]), df), df) is None
+
+
+def test_forest_is_scored_from_its_node_table_as_its_transform_does(spark, monkeypatch):
+    """The same columns and values, bit for bit, without an evaluation of 200 trees a row in the model's own code."""
+    df = _rows(spark)
+    model = models.train("forest", df, SPEC, weight="weight", numTrees=20)
+    held = df.limit(500).withColumn("c", F.when(F.col("id") % 7 > 0, F.col("c")))
+    cols = ["id", vector_to_array("rawPrediction"), vector_to_array("probability"), "prediction"]
+    want, columns = sorted(model.transform(held).select(*cols).collect()), model.transform(held).columns
+    monkeypatch.setattr(RandomForestClassificationModel, "transform", lambda *a: pytest.fail("the model's own code"))
+    got = models.score(model, held)
+    assert sorted(got.columns) == sorted(columns) and sorted(got.select(*cols).collect()) == want
+    assert len({r.prediction for r in got.collect()}) == 2
+
+
+def test_draws_are_poisson():
+    times = np.concatenate([forest.drawn_times(3, t, 1, 9999) for t in range(40)])
+    share = np.bincount(times, minlength=6)[:6] / len(times)
+    assert np.abs(share - np.exp(-1) / np.array([1, 1, 2, 6, 24, 120])).max() < 0.003 and times.max() < forest.UNSURE
+    assert np.array_equal(forest.drawn_times(3, 5, 1, 9999), times[5 * 9999: 6 * 9999])

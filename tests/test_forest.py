@@ -1,6 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.feature import Binarizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -120,10 +122,12 @@ def test_places_are_the_values_of_the_vector(spark):
     features = fit_features(spec, df)
     odd = df.withColumn("c", F.when(F.col("id") % 7 == 0, "unseen").when(F.col("id") % 7 > 1, F.col("c"))).withColumn("a", F.when(F.col("id") % 5 > 0, F.col("a")))
     known = places(features, odd)
-    assert [k for _, k in known] == [7, 0, 0, 0]
-    both = features.transform(odd).select(vector_to_array("features").alias("want"), F.array(*[c.cast("double") for c, _ in known]).alias("got")).collect()
+    assert [p.categories for p in known] == [7, 0, 0, 0]
+    both = features.transform(odd).select(vector_to_array("features").alias("want"), F.array(*[p.column.cast("double") for p in known]).alias("got")).collect()
     assert len(both) == 300 and all(np.array_equal(r.want, r.got, equal_nan=True) for r in both)
-    assert places(fit_features(FeatureSpec(label="label", categorical=["c"]), df), df) is None
+    hot = places(fit_features(FeatureSpec(label="label", categorical=["c"], numeric=["a"]), df), df)
+    assert [(p.categories, p.hot) for p in hot] == [(6, True), (0, False)]
+    assert places(PipelineModel(stages=[Binarizer(inputCol="a", outputCol="features", threshold=0.0)]), df) is None
 
 
 def test_forest_is_scored_from_its_node_table_as_its_transform_does(spark, monkeypatch):

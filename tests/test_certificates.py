@@ -139,3 +139,20 @@ def test_small_forests_are_walked_without_multiplying_or_shuffling_rows(spark, p
     want = {r.id: r for r in ce.score_by_joins(held, ["id"], nodes, 9, 4).collect()}
     rows = got.collect()
     assert len(rows) == len(want) and all(r.prediction == want[r.id].prediction and r.shares == pytest.approx(want[r.id].shares, abs=1e-12) for r in rows)
+
+
+def test_certificate_of_columns_is_that_of_vectors(spark, planted, monkeypatch):
+    """Fits of one set of weights share their passes over stored columns; no vectors are stored and Spark fits nothing."""
+    _, _, df = planted
+    features = fit_features(SPEC, df)
+    names = ce.feature_names(features, SPEC)
+    table = models.vectors(features, df, ["y", "w"])
+    fits = {"weighted": (True, {}), "unweighted": (False, {"regParam": 0.05}), "light": (True, {"regParam": 0.01, "tol": 1e-10, "maxIter": 1000})}
+    monkeypatch.setattr(models, "vectors", lambda *a: pytest.fail("vectors are stored"))
+    monkeypatch.setattr(models.LogisticRegression, "_fit", lambda *a: pytest.fail("Spark's fit"))
+    for name, (rows, model) in models.fit_all_logistic(features, df, "y", "w", fits).items():
+        weight = "w" if fits[name][0] else None
+        want, got = (by_feature(ce.logistic_certificate(t, model, names, "y", weight)) for t in (table, rows))
+        assert want.keys() == got.keys() and max(r.violation for r in got.values()) < 1e-6
+        for k, r in got.items():
+            assert all(a == b if a is None or b is None else a == pytest.approx(b, abs=1e-8) for a, b in zip(r, want[k], strict=True) if not isinstance(a, str))
